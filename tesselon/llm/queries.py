@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, pii
+from . import bpe, licenses, media, pii, toxicity
 from .textcore import read_table
 
 
@@ -24,6 +24,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.columns(read_table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(read_table(spark, sf_dir, "documents"))
 
@@ -32,12 +36,18 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_licenses": op1_licenses,
         "op5_token_counts": op5_token_counts,
+        "op6_media": op6_media,
         "op7_pii": op7_pii,
         "op8_bpe": op8_bpe,
+        "op9_toxicity": op9_toxicity,
     }
 
 
