@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, licenses, media, ngram_join, pii, toxicity
+from . import bpe, decontamination, licenses, media, ngram_join, pii, suffix_dedup, toxicity
 from .textcore import read_table
 
 
@@ -20,6 +20,10 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(read_table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.groups(read_table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_licenses": op1_licenses,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_ngram_join": op3_ngram_join,
         "op5_token_counts": op5_token_counts,
         "op6_media": op6_media,
