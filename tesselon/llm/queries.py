@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, licenses, media, ngram_join, pii, suffix_dedup, toxicity
+from . import bpe, decontamination, licenses, lm, media, ngram_join, pii, suffix_dedup, toxicity
 from .textcore import read_table
 
 
@@ -28,6 +28,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.groups(read_table(spark, sf_dir, "documents"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read_table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_licenses": op1_licenses,
         "op2_suffix_dedup": op2_suffix_dedup,
         "op3_ngram_join": op3_ngram_join,
+        "op4_lm_score": op4_lm_score,
         "op5_token_counts": op5_token_counts,
         "op6_media": op6_media,
         "op7_pii": op7_pii,

@@ -172,7 +172,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return d.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows predicted toxic, with all their columns."""
     index, weights, bias = train(docs, labels)
 
