@@ -16,7 +16,7 @@ def smaller_types(s: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next one (the end of the string is smallest)."""
     n = len(s)
     step = np.zeros(n, np.int8)
-    step[:-1] = np.sign(s[1:].astype(np.int64) - s[:-1])
+    step[:-1] = (s[1:] > s[:-1]).astype(np.int8) - (s[1:] < s[:-1])
     step[-1] = -1
     place = np.where(step != 0, np.arange(n), n - 1)
     decided = np.minimum.accumulate(place[::-1])[::-1]
@@ -102,7 +102,7 @@ def _induce_scan(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, size: np.n
     for p in lms[::-1].tolist():
         end[text[p]] -= 1
         sa[end[text[p]]] = p
-    seeded = sa[:]
+    seeds = [i for i in range(n) if sa[i] >= 0]
     c = text[n - 1]
     sa[head[c]] = n - 1
     head[c] += 1
@@ -112,9 +112,8 @@ def _induce_scan(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, size: np.n
             c = text[j]
             sa[head[c]] = j
             head[c] += 1
-    for i, p in enumerate(seeded):  # leftmost-smaller suffixes are placed anew from the right
-        if p >= 0 and sa[i] == p and small[p]:
-            sa[i] = -1
+    for i in seeds:  # leftmost-smaller suffixes are placed anew from the right
+        sa[i] = -1
     end = tail.tolist()
     for i in range(n - 1, -1, -1):
         j = sa[i] - 1
@@ -125,6 +124,47 @@ def _induce_scan(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, size: np.n
     return np.array(sa, np.int32)
 
 
+def substring_names(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, k: int) -> tuple[np.ndarray, int]:
+    """Ranks of the leftmost-smaller substrings in text order, equal for equal ones, and their number.
+
+    A substring runs from one leftmost-smaller place to the next, that one included. With the type beside each
+    symbol none is a proper prefix of another, so they are compared as packed runs of symbols; only groups that are
+    still equal look at their next run.
+    """
+    n, m = len(s), len(lms)
+    bits = int(2 * k + 2).bit_length()
+    per = max(1, 62 // bits)
+    end = np.append(lms[1:], n - 1)  # last symbol of each
+
+    def packed(which: np.ndarray, t: int) -> np.ndarray:
+        key = np.zeros(len(which), np.int64)
+        for j in range(t, t + per):
+            at = lms[which] + j
+            inside = at <= end[which]
+            at = np.minimum(at, n - 1)
+            key = key << bits | np.where(inside, 2 * s[at].astype(np.int64) + smaller[at] + 1, 0)
+        return key
+
+    rank = np.zeros(m, np.int64)
+    live, t = np.arange(m), 0
+    while len(live):
+        key = packed(live, t)
+        order = np.lexsort((key, rank[live])) if t else np.argsort(key, kind="stable")
+        r, key = rank[live][order], key[order]
+        at = np.arange(len(live))
+        group = np.concatenate([[True], r[1:] != r[:-1]])
+        part = group.copy()
+        part[1:] |= key[1:] != key[:-1]
+        first = np.maximum.accumulate(np.where(part, at, 0))
+        rank[live[order]] = r + first - np.maximum.accumulate(np.where(group, at, 0))
+        alone = part & np.append(part[1:], True)
+        live = live[order][~alone]
+        t += per
+        live = live[lms[live] + t <= end[live]]
+    used, name = np.unique(rank, return_inverse=True)
+    return name, len(used)
+
+
 def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
     """Suffix array of symbols 0 .. k-1 (the end sorts before every symbol)."""
     n = len(s)
@@ -133,49 +173,35 @@ def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
     size = np.bincount(s, minlength=k)
     if size.max() == 1:
         return np.argsort(s, kind="stable").astype(np.int32)
-    induce = _induce_buckets if k <= SMALL else _induce_scan
     smaller = smaller_types(s)
     lms = leftmost_smaller(smaller)
     if len(lms) > 1:
-        # sort leftmost-smaller substrings, name them, and sort the string of names
-        sa = induce(s, smaller, lms, size)
-        is_lms = np.zeros(n, bool)
-        is_lms[lms] = True
-        ordered = sa[is_lms[sa]]
-        following = np.full(n, n, np.int64)
-        following[lms[:-1]] = lms[1:]
-        length = following[ordered] - ordered + 1
-        a, b = ordered[:-1].astype(np.int64), ordered[1:].astype(np.int64)
-        equal = (length[:-1] == length[1:]) & (following[a] < n) & (following[b] < n)
-        left = np.flatnonzero(equal)
-        t = 0
-        while len(left):
-            same = s[a[left] + t] == s[b[left] + t]
-            equal[left[~same]] = False
-            left = left[same]
-            t += 1
-            left = left[length[left] > t]
-        name = np.zeros(n, np.int64)
-        name[ordered] = np.concatenate([[0], np.cumsum(~equal)])
-        names = name[lms]
-        lms = lms[suffix_array(names, int(names.max()) + 1)]
-    return induce(s, smaller, lms, size)
+        names, kinds = substring_names(s, smaller, lms, k)
+        lms = lms[suffix_array(names.astype(np.int32), kinds)]
+    return (_induce_buckets if k <= SMALL else _induce_scan)(s, smaller, lms, size)
 
 
 def permuted_common_prefixes(s: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """For each position, the common prefix with the suffix before it in the array, counted up to `most`."""
+    """For each position, the common prefix with the suffix before it in the array, counted up to `most`.
+
+    s is a byte array; eight bytes are compared at once, and the lowest differing bit tells the first difference.
+    """
     n = len(s)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
-    out = np.zeros(n, np.int16)
+    padded = np.zeros(n + most + 16, np.uint8)
+    padded[:n] = s
+    words = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))
+    out = np.zeros(n, np.int32)
     live = np.flatnonzero(before >= 0)
-    other = before[live]
-    for t in range(most):
-        inside = np.maximum(live, other) + t < n
-        live, other = live[inside], other[inside]
-        same = s[live + t] == s[other + t]
-        live, other = live[same], other[same]
+    for t in range(0, most, 8):
+        x = words[live + t] ^ words[before[live] + t]
+        same = x == 0
+        low = x[~same]
+        out[live[~same]] = t + (np.log2((low & (~low + np.uint64(1))).astype(np.float64)).astype(np.int32) >> 3)
+        live = live[same]
         if not len(live):
             break
-        out[live] = t + 1
-    return out
+    out[live] = most
+    place = np.maximum(np.arange(n), before)
+    return np.minimum(out, np.minimum(most, n - place)).astype(np.int16)

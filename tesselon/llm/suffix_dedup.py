@@ -37,7 +37,11 @@ GRAM = 20
 _SLIDE = SPAN - GRAM + 1  # places of an anchor in a window
 BEFORE = SPAN - GRAM  # context bytes before an anchor; after its start come SPAN
 #: Bytes of contexts whose suffix array is built at once.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
+#: Shards for each shuffle partition.
+SHARDS = 4
+#: Two equal windows hold a string of SPAN - GRID bytes at one of these places before the anchor.
+GRID = 10
 
 
 def _sliding(h: np.ndarray, width: int, best) -> np.ndarray:
@@ -159,9 +163,9 @@ def earliest(data: np.ndarray, length: np.ndarray, least: np.ndarray) -> tuple[n
     """
     n = len(length)
     first = np.cumsum(length + 1) - length - 1
-    s = np.zeros(int(length.sum()) + n, np.int64)
-    s[runs(first, length)] = data.astype(np.int64) + 1
-    sa = suffix_array(s, 257)
+    s = np.zeros(int(length.sum()) + n, np.uint8)
+    s[runs(first, length)] = data + 1  # UTF-8 has no byte 255
+    sa = suffix_array(s, 256)
     common = permuted_common_prefixes(s, sa, SPAN)
     context = np.repeat(np.arange(n), length + 1)
     offset = np.arange(len(s)) - first[context]
@@ -175,6 +179,37 @@ def earliest(data: np.ndarray, length: np.ndarray, least: np.ndarray) -> tuple[n
     return context[at], offset[at], low
 
 
+def may_share(data, base, before, length, key) -> np.ndarray:
+    """Whether a context has a string of SPAN - GRID bytes, at a grid place, in common with another of its anchor.
+
+    Any 50-byte window around the anchor holds such a string, so contexts without one share no window.
+    """
+    out = np.zeros(len(key), bool)
+    size = SPAN - GRID
+    for left in range(0, BEFORE + 1, GRID):
+        some = np.flatnonzero((before >= left) & (length - before + left >= size))
+        h = np.zeros(len(some), np.uint64)
+        for lo in range(0, len(some), 8192):
+            own = some[lo : lo + 8192]
+            low, high = base[own].min(), (base[own] + length[own]).max()
+            for at in _near(own, base, low, high):
+                first = base[own[at]].min()
+                buf = data[first : (base[own[at]] + length[own[at]]).max()]
+                begin = base[own[at]] + before[own[at]] - left - first
+                h[lo + at] = span_hash(prefix_hash(buf), begin, begin + size)
+        h ^= key[some]
+        _, place, count = np.unique(h, return_inverse=True, return_counts=True)
+        out[some[count[place] > 1]] = True
+    return out
+
+
+def _near(own, base, low, high):
+    """Indices of own in slices whose contexts lie within a few chunks of data."""
+    order = np.argsort(base[own], kind="stable")
+    cut = np.searchsorted(base[own][order], np.arange(low, high, 1 << 20))
+    return [x for x in np.split(order, cut[1:]) if len(x)]
+
+
 def resolve(table: pa.Table) -> pa.Table:
     """Of one shard, the ranges that each sender's documents lose: (g, number of the document, start, end)."""
     gs = table.column("g").to_pylist()
@@ -207,6 +242,7 @@ def resolve(table: pa.Table) -> pa.Table:
     several = np.concatenate([[False], distinct_key[1:] == distinct_key[:-1]])
     several[:-1] |= several[1:].copy()
     chosen = np.flatnonzero(several)
+    chosen = chosen[may_share(data, base[one[chosen]], before[one[chosen]].astype(np.int64), length[one[chosen]], distinct_key[chosen])]
     smallest = np.flatnonzero(~whole)
     smallest = smallest[np.argsort(owner[smallest], kind="stable")]
     from_owner = np.searchsorted(owner[smallest], np.arange(len(one) + 1))
@@ -280,7 +316,7 @@ def dedup(docs: DataFrame, keep: bool = False) -> DataFrame:
             distinct, place = np.unique(k, return_inverse=True)
             return df[place] > 1 if len(distinct) else np.zeros(0, bool)
 
-        return by_shard(key[0].as_py(), contexts(texts, ids, shared), n)
+        return by_shard(key[0].as_py(), contexts(texts, ids, shared), SHARDS * n)
 
     def finish(key, left, right):
         mine, rest = class_rows(right)
@@ -311,9 +347,9 @@ def dedup(docs: DataFrame, keep: bool = False) -> DataFrame:
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     sent = d.groupBy("g").cogroup(classes.groupBy("g")).applyInArrow(send, EMIT)
-    back = sent.groupBy("b").applyInArrow(answer, REPLY)
+    back = sent.repartition(n, "b").groupBy("b").applyInArrow(answer, REPLY)
     around = d.groupBy("g").cogroup(back.unionByName(classes).groupBy("g")).applyInArrow(surround, EMIT)
-    lost = around.groupBy("b").applyInArrow(resolve, REPLY)
+    lost = around.repartition(n, "b").groupBy("b").applyInArrow(resolve, REPLY)
     out = d.groupBy("g").cogroup(lost.unionByName(classes).groupBy("g")).applyInArrow(finish, RESULT + ", kept binary" * keep)
     alone = docs.where("doc_id IS NULL").select(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("t"))
     size = F.octet_length("t").cast("long")
