@@ -138,15 +138,18 @@ class Network:
                 total[own[: who[0]]] += np.bincount(rows, got, minlength=who[0])
         return total
 
-    def train(self, docs: list[np.ndarray], passes: int = 2, rate: float = 0.01) -> None:
-        """Truncated backpropagation: windows of WINDOW steps over parallel streams, the state carried over."""
+    def train(self, docs: list[np.ndarray], passes: int = 2, updates: int = 400, rate: float = 0.01) -> None:
+        """Truncated backpropagation: windows of WINDOW steps over parallel streams, the state carried over.
+
+        Goes over the documents `passes` times, and more often where that gives under `updates` steps.
+        """
         docs = [d for d in docs if len(d)]
         if not docs:
             return
         whole = np.concatenate(docs)
         begins = np.zeros(len(whole), bool)
         begins[np.cumsum([0] + [len(d) for d in docs[:-1]])] = True
-        streams = max(1, min(STREAMS, len(whole) // WINDOW))
+        streams = max(1, min(STREAMS, len(whole) // (8 * WINDOW)))
         length = len(whole) // streams
         t = whole[: streams * length].reshape(streams, length).T
         s = begins[: streams * length].reshape(streams, length).T.copy()
@@ -155,7 +158,7 @@ class Network:
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(w) for k, w in self.p.items()}
         n = 0
-        for _ in range(passes):
+        for _ in range(max(passes, min(50, updates * WINDOW // length))):
             h = np.zeros((streams, self.hidden), np.float32)
             for at in range(0, length - length % WINDOW or length, WINDOW):
                 h, grad = self._window(h, x[at : at + WINDOW], t[at : at + WINDOW], s[at : at + WINDOW])
