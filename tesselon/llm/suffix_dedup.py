@@ -9,9 +9,10 @@ Equal strings have to meet in one shard, so shards are made by content:
    hold them; an anchor of one document only is dropped. (32-bit keys in a bucket: a collision keeps an anchor
    that is not needed, it never drops one.)
 3. Each remaining anchor sends its context, the at most 80 bytes that hold all its windows, to the shard of its
-   hash. There equal contexts are one, and where an anchor has several different contexts, their suffix array is
-   induced (leftmost-smaller suffixes, recursively) and permuted common prefixes cut it into groups of equal
-   50-byte windows. The smallest doc_id of a group decides for all its windows.
+   hash. There equal contexts are one. Where an anchor has several different contexts, they are cut into pieces
+   around the strings of 40 bytes that equal windows must share, equal pieces are one again, and of what is still
+   different the suffix array is induced (leftmost-smaller suffixes, recursively); permuted common prefixes cut it
+   into groups of equal 50-byte windows. The smallest doc_id of a group decides for all its windows.
 4. Covered ranges go back to the documents, are joined, and cut out of the bytes.
 
 Documents are "smaller" by doc_id; rows that repeat a doc_id do not remove each other's bytes. Null text is empty.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .ngram_join import _WIRE, _frequencies, class_rows, keyed, representatives, sent_classes
 from .suffix import permuted_common_prefixes, suffix_array
-from .textcore import EMIT, REPLY, chunks_of, bucket_edges, emit, gathered, md5_hex, partitions, prefix_hash, replies, span_hash, texts_of
+from .textcore import EMIT, MULTIPLIERS, REPLY, bucket_edges, chunks_of, emit, gathered, md5_hex, mix, partitions, prefix_hash, replies, span_hash, texts_of
 
 SPAN = 50
 GRAM = 20
@@ -40,7 +41,7 @@ BEFORE = SPAN - GRAM  # context bytes before an anchor; after its start come SPA
 SHARD_BYTES = 2 << 20
 #: Shards for each shuffle partition.
 SHARDS = 4
-#: Two equal windows hold a string of SPAN - GRID bytes at one of these places before the anchor.
+#: Step of the places at which windows are told apart before they are sorted.
 GRID = 10
 
 
@@ -179,35 +180,74 @@ def earliest(data: np.ndarray, length: np.ndarray, least: np.ndarray) -> tuple[n
     return context[at], offset[at], low
 
 
-def may_share(data, base, before, length, key) -> np.ndarray:
-    """Whether a context has a string of SPAN - GRID bytes, at a grid place, in common with another of its anchor.
+def cut(data, before, length, key) -> tuple[np.ndarray, ...]:
+    """Pieces of contexts: (context, start, end, group, content).
 
-    Any 50-byte window around the anchor holds such a string, so contexts without one share no window.
+    A 50-byte window around the anchor holds the string of SPAN - GRID bytes at exactly one grid place that starts
+    less than GRID bytes after it. A piece is such a string, its core, with what its windows need on both sides.
+    Windows can only be equal if their cores are: pieces of one anchor, place and core are a group. Pieces with the
+    same content and core place have the same content number.
     """
-    out = np.zeros(len(key), bool)
     size = SPAN - GRID
-    for left in range(0, BEFORE + 1, GRID):
-        some = np.flatnonzero((before >= left) & (length - before + left >= size))
-        h = np.zeros(len(some), np.uint64)
-        for lo in range(0, len(some), 8192):
-            own = some[lo : lo + 8192]
-            low, high = base[own].min(), (base[own] + length[own]).max()
-            for at in _near(own, base, low, high):
-                first = base[own[at]].min()
-                buf = data[first : (base[own[at]] + length[own[at]]).max()]
-                begin = base[own[at]] + before[own[at]] - left - first
-                h[lo + at] = span_hash(prefix_hash(buf), begin, begin + size)
-        h ^= key[some]
-        _, place, count = np.unique(h, return_inverse=True, return_counts=True)
-        out[some[count[place] > 1]] = True
-    return out
-
-
-def _near(own, base, low, high):
-    """Indices of own in slices whose contexts lie within a few chunks of data."""
-    order = np.argsort(base[own], kind="stable")
-    cut = np.searchsorted(base[own][order], np.arange(low, high, 1 << 20))
-    return [x for x in np.split(order, cut[1:]) if len(x)]
+    base = np.cumsum(length) - length
+    out = []
+    for first in range(0, len(key), 8192):
+        own = np.arange(first, min(first + 8192, len(key)))
+        h = prefix_hash(data[base[own[0]] : base[own[-1]] + length[own[-1]]])
+        for left in range(0, BEFORE + 1, GRID):
+            core = before[own] - left
+            lo, hi = np.maximum(core - GRID + 1, 0), np.minimum(core + SPAN, length[own])
+            ok = (core >= 0) & (core + size <= length[own]) & (hi - lo >= SPAN)
+            some, core, lo, hi = own[ok], core[ok], lo[ok], hi[ok]
+            at = base[some] - base[own[0]]
+            group = mix(span_hash(h, at + core, at + core + size) + (key[some] ^ MULTIPLIERS[left]))
+            content = mix(span_hash(h, at + lo, at + hi) + group * MULTIPLIERS[40] + (core - lo).astype(np.uint64))
+            out.append((some, lo, hi, group, content))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def earlier_ranges(data, before, length, key, least) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, begin, end) of windows that another context of the same anchor holds under a smaller id."""
+    none = np.zeros(0, np.int64)
+    if not len(key):
+        return none, none, none
+    base = np.cumsum(length) - length
+    context, lo, hi, group, content = cut(data, before, length, key)
+    if not len(context):
+        return none, none, none
+    order = np.lexsort((content, group))
+    context, lo, hi, group, content = (x[order] for x in (context, lo, hi, group, content))
+    starts = np.concatenate([[True], (content[1:] != content[:-1]) | (group[1:] != group[:-1])])
+    first = np.flatnonzero(starts)
+    number = np.cumsum(starts) - 1
+    low = np.minimum.reduceat(least[context], first)
+    # one content in a group: all its windows have the smallest id of its contexts
+    lost = low[number] < least[context]
+    out = [(context[lost], lo[lost], hi[lost])]
+    # several contents: their windows are compared by a suffix array
+    g = group[first]
+    several = np.concatenate([[False], g[1:] == g[:-1]])
+    several[:-1] |= several[1:].copy()
+    chosen = np.flatnonzero(several)
+    members = np.diff(np.concatenate([first, [len(context)]]))
+    sizes = (hi - lo)[first]
+    i = 0
+    while i < len(chosen):  # whole groups up to the bound
+        j = i + max(1, int(np.searchsorted(np.cumsum(sizes[chosen[i:]] + 1), SHARD_BYTES)))
+        while j < len(chosen) and g[chosen[j]] == g[chosen[j - 1]]:
+            j += 1
+        some = chosen[i:j]
+        at = first[some]
+        c, offset, window_low = earliest(data[runs(base[context[at]] + lo[at], sizes[some])], sizes[some], low[some])
+        better = window_low < low[some][c]
+        c, offset, window_low = some[c[better]], offset[better], window_low[better]
+        piece = runs(first[c], members[c])
+        repeated = members[c]
+        begin = lo[piece] + np.repeat(offset, repeated)
+        lost = np.repeat(window_low, repeated) < least[context[piece]]
+        out.append((context[piece][lost], begin[lost], begin[lost] + SPAN))
+        i = j
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def resolve(table: pa.Table) -> pa.Table:
@@ -242,27 +282,15 @@ def resolve(table: pa.Table) -> pa.Table:
     several = np.concatenate([[False], distinct_key[1:] == distinct_key[:-1]])
     several[:-1] |= several[1:].copy()
     chosen = np.flatnonzero(several)
-    chosen = chosen[may_share(data, base[one[chosen]], before[one[chosen]].astype(np.int64), length[one[chosen]], distinct_key[chosen])]
     smallest = np.flatnonzero(~whole)
     smallest = smallest[np.argsort(owner[smallest], kind="stable")]
     from_owner = np.searchsorted(owner[smallest], np.arange(len(one) + 1))
-    lo = 0
-    while lo < len(chosen):
-        # whole anchors up to the bound
-        total = np.cumsum(length[one[chosen[lo:]]] + 1)
-        hi = lo + max(1, int(np.searchsorted(total, SHARD_BYTES)))
-        while hi < len(chosen) and distinct_key[chosen[hi]] == distinct_key[chosen[hi - 1]]:
-            hi += 1
-        some = chosen[lo:hi]
-        rows = one[some]
-        c, offset, low = earliest(data[runs(base[rows], length[rows])], length[rows], least[some])
-        lost = low < least[some][c]
-        c, offset = some[c[lost]], offset[lost]
-        m = from_owner[c + 1] - from_owner[c]
-        who = smallest[runs(from_owner[c], m)]
-        begin = start[who].astype(np.int64) + np.repeat(offset, m)
-        out.append((sender[who], text[who], begin, begin + SPAN))
-        lo = hi
+    rows = one[chosen]
+    c, lo, hi = earlier_ranges(data[runs(base[rows], length[rows])], before[rows].astype(np.int64), length[rows], distinct_key[chosen], least[chosen])
+    c = chosen[c]
+    m = from_owner[c + 1] - from_owner[c]
+    who = smallest[runs(from_owner[c], m)]
+    out.append((sender[who], text[who], start[who] + np.repeat(lo, m), start[who] + np.repeat(hi, m)))
     sender, text, begin, end = (np.concatenate(x) for x in zip(*out))
     order = np.lexsort((begin, text, sender))
     sender, text, begin, end = sender[order], text[order], begin[order], end[order]
