@@ -9,7 +9,8 @@ EPSILON = 1e-12
 
 
 def clamp01(x: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    """x within 0 .. 1; null stays null (greatest and least would skip it)."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
 def min_max(x: Column, low: Column, high: Column, degenerate: float = 0.5) -> Column:
@@ -19,7 +20,7 @@ def min_max(x: Column, low: Column, high: Column, degenerate: float = 0.5) -> Co
 
 
 def log1p_positive(x: Column) -> Column:
-    return F.log1p(F.greatest(x, F.lit(0.0)))
+    return F.when(x.isNotNull(), F.log1p(F.greatest(x, F.lit(0.0))))
 
 
 def half_life_decay(age: Column, half_life: float) -> Column:

@@ -38,14 +38,14 @@ def shares(candidates: DataFrame, signals: list[str], weights: dict[str, float])
 
 def weighted(candidates: DataFrame, signals: list[str], weights: dict[str, float] | None = None) -> DataFrame:
     """Adds score; signals of the query are scaled among the candidates that have them, corpus signals clamped."""
-    share = shares(candidates, signals, weights or WEIGHTS)
+    share = shares(candidates, signals, WEIGHTS if weights is None else weights)
     value = {s: S.scaled_within(F.col(s), "query_id") if s in QUERY_SIGNALS else F.coalesce(S.clamp01(F.col(s)), F.lit(0.0)) for s in signals}
     return candidates.withColumn("score", _sum([share[s] * value[s] for s in signals]))
 
 
 def reciprocal(candidates: DataFrame, signals: list[str], weights: dict[str, float] | None = None) -> DataFrame:
     """Adds score: each signal gives share * (k + 1) / (k + rank); candidates without it rank last."""
-    share = shares(candidates, signals, weights or WEIGHTS)
+    share = shares(candidates, signals, WEIGHTS if weights is None else weights)
 
     def rank(s: str) -> Column:
         return F.row_number().over(Window.partitionBy("query_id").orderBy(F.round(s, 9).desc_nulls_last(), "id"))

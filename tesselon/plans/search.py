@@ -226,7 +226,7 @@ def _sql_weighted() -> str:
         if s in rank.QUERY_SIGNALS:
             x = f"CASE WHEN {s} IS NULL THEN 0e0 WHEN max({s}) OVER w - min({s}) OVER w < 1e-12 THEN 1e0 ELSE ({s} - min({s}) OVER w) / (max({s}) OVER w - min({s}) OVER w) END"
         else:
-            x = f"coalesce(greatest(0e0, least(1e0, {s})), 0e0)"
+            x = f"CASE WHEN {s} IS NULL THEN 0e0 ELSE greatest(0e0, least(1e0, {s})) END"
         parts.append(f"w_{s} / w_all * ({x})")
     return f"""WITH {SQL_SIGNALS}, {_sql_share()}, sco AS (SELECT query_id, id, {' + '.join(parts)} AS score FROM tot WINDOW w AS (PARTITION BY query_id))
 SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(sco.score, 9) DESC, id)::INTEGER AS rank FROM sco QUALIFY rank <= 20"""

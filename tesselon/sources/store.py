@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import time
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import NotIndexedError
@@ -40,12 +41,12 @@ class Store:
 
     def meta(self) -> dict | None:
         """The current version's description; null if there is none or it has another schema."""
-        text = self._read_text("current.json")
-        if text is None:
-            return None
         try:
+            text = self._read_text("current.json")
+            if text is None:
+                return None
             value = json.loads(text)
-        except ValueError:
+        except (ValueError, Py4JJavaError):  # broken, or its checksum is wrong
             return None
         return value if value.get("schema_version") == SCHEMA_VERSION else None
 
