@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pretokens import pretokens
+from .textcore import release, text_rows
 
 #: Distinct pre-tokens that a task keeps before it starts its table anew.
 TABLE_TYPES = 600_000
@@ -187,6 +188,7 @@ def batches(rows, types_of, out_of):
                 types = types_of()
             first = last
         yield ids, done
+        release()
 
 
 # --- op 8 --------------------------------------------------------------------------------------------------
@@ -230,7 +232,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, keep: bool = False) -> DataF
             columns = list(zip(*done)) if done else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", *names])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return text_rows(docs).mapInArrow(run, schema)
 
 
 # --- op 5 --------------------------------------------------------------------------------------------------
@@ -285,5 +287,5 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFram
             columns = [pa.array(c, pa.int64()) for c in zip(*done)] if done else [pa.array([], pa.int64())] * 2
             yield pa.RecordBatch.from_arrays([ids, *columns], ["doc_id", "n_bytes", "n_tokens"])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    out = text_rows(docs).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > F.lit(limit))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import LOWER, chunks_of, texts_of
+from .textcore import LOWER, bounded_batches, chunks_of, text_rows, texts_of
 
 Q = 8
 PIECE = 256
@@ -167,8 +167,6 @@ def blocks(benchmark: DataFrame):
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_items, item_ids (comma-joined, ascending), least_edits (null without items), contaminated."""
-    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
-
     def one(items):
         def run(rows):
             index = Index(items)
@@ -178,7 +176,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 least = pa.array([min((d for _, d in x), default=None) for x in got], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0), ids, least], ["doc_id", "ids", "least_edits"])
 
-        return docs.select(*columns).mapInArrow(run, "doc_id long, ids array<long>, least_edits long")
+        return text_rows(docs).mapInArrow(run, "doc_id long, ids array<long>, least_edits long")
 
     parts = [one(items) for items in blocks(benchmark)]
     if len(parts) > 1:  # several passes over the documents: one row per document again
@@ -193,6 +191,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that hold a benchmark item, with all their columns."""
+    bounded_batches(docs.sparkSession)
     out = docs
     for items in blocks(benchmark):
         def run(rows, items=items):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import checkpointed, chunks_of, crc_mod, emit, gathered, partitions, replies, split_counts, texts_of, word_hashes
+from .textcore import checkpointed, chunks_of, crc_mod, emit, gathered, partitions, replies, split_counts, text_rows, texts_of, trimmed, word_hashes
 
 HEAD, WIDTH, BINS = 1024, 32, 40
 HIDDEN, WINDOW, STREAMS = 16, 32, 64
@@ -220,7 +220,7 @@ class Network:
 # --- counts of the corpus ----------------------------------------------------------------------------------
 def _keyed(docs: DataFrame, n: int) -> DataFrame:
     held = F.coalesce(crc_mod() % 7 == 2, F.lit(False)).alias("held_out")
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    d = text_rows(docs)
     return d.select(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n)).cast("int").alias("g"), "doc_id", "text", held)
 
 
@@ -261,7 +261,7 @@ def corpus_counts(d: DataFrame, n: int) -> DataFrame:
             .append_column("head", pa.array([head, *rest], entry)).append_column("bins", pa.array([bins, *rest], pair))
         )
 
-    return d.groupBy("g").applyInArrow(send, "b int, g int, payload binary").groupBy("b").applyInArrow(answer, _COUNTS)
+    return d.groupBy("g").applyInArrow(trimmed(send), "b int, g int, payload binary").groupBy("b").applyInArrow(trimmed(answer), _COUNTS)
 
 
 def score(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
@@ -316,7 +316,7 @@ def score(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
         return pa.table({"doc_id": left.column("doc_id").combine_chunks(), "held_out": held, "n_tokens": pa.array(lens), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(model / np.log(10))})
 
     slim = counts.where("g >= 0").select("g", "b", "payload")
-    out = d.groupBy("g").cogroup(slim.groupBy("g")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = d.groupBy("g").cogroup(slim.groupBy("g")).applyInArrow(trimmed(finish), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jpeg
-from .textcore import texts_of
+from .textcore import text_rows, texts_of
 
 UNIT = 192
 _NAMES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
@@ -64,4 +64,4 @@ def columns(docs: DataFrame, keep: bool = False) -> DataFrame:
                 made = list(zip(*map(row, texts_of(part.column(1)))))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(made, kinds))], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return text_rows(docs).mapInArrow(run, schema)

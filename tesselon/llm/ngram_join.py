@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .textcore import (
     EMIT, REPLY, checkpointed, chunks_of, components, doc_key, emit, gathered, md5_hex, partitions, replies,
-    shingle_hashes, split_counts, text_classes, texts_of, word_hashes,
+    shingle_hashes, split_counts, text_classes, text_rows, texts_of, trimmed, word_hashes,
 )
 
 SHINGLE = 5
@@ -75,7 +75,7 @@ def sent_classes(docs: DataFrame, n: int) -> DataFrame:
 
 
 def keyed(docs: DataFrame, n: int) -> DataFrame:
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
+    d = text_rows(docs).where("doc_id IS NOT NULL")
     return d.select(doc_key(d, n).alias("g"), "doc_id", "text")
 
 
@@ -134,9 +134,9 @@ def prepared(docs: DataFrame) -> DataFrame:
             prefixes.append(rare.astype(np.int64).tolist())
         return pa.table([pa.array(x, t) for x, t in zip((ids, hs, [len(s) for s in sets], shared, prefixes), _SETS_TYPE.types)], schema=_SETS_TYPE)
 
-    sent = d.groupBy("g").cogroup(classes.groupBy("g")).applyInArrow(send, EMIT)
-    back = sent.groupBy("b").applyInArrow(answer, REPLY)
-    return d.groupBy("g").cogroup(back.unionByName(classes).groupBy("g")).applyInArrow(finish, SETS)
+    sent = d.groupBy("g").cogroup(classes.groupBy("g")).applyInArrow(trimmed(send), EMIT)
+    back = sent.groupBy("b").applyInArrow(trimmed(answer), REPLY)
+    return d.groupBy("g").cogroup(back.unionByName(classes).groupBy("g")).applyInArrow(trimmed(finish), SETS)
 
 
 # --- T-occurrence search -----------------------------------------------------------------------------------
@@ -236,7 +236,7 @@ def links(sets: DataFrame) -> DataFrame:
         got = linked(table.column("doc_id").to_numpy(), table.column("n_shingles").to_numpy(), sets_)
         return pa.table([pa.array([e[k] for e in got], pa.int64()) for k in (0, 1)], schema=_EDGE_TYPE)
 
-    return own.groupBy("key").applyInArrow(search, "u long, v long")
+    return own.groupBy("key").applyInArrow(trimmed(search), "u long, v long")
 
 
 def groups(docs: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .ngram_join import _WIRE, _frequencies, class_rows, keyed, representatives, sent_classes
 from .suffix import permuted_common_prefixes, suffix_array
-from .textcore import EMIT, MULTIPLIERS, REPLY, bucket_edges, chunks_of, emit, gathered, md5_hex, mix, partitions, prefix_hash, replies, span_hash, texts_of
+from .textcore import EMIT, MULTIPLIERS, REPLY, bucket_edges, chunks_of, emit, gathered, md5_hex, mix, partitions, prefix_hash, replies, span_hash, texts_of, trimmed
 
 SPAN = 50
 GRAM = 20
@@ -374,11 +374,11 @@ def dedup(docs: DataFrame, keep: bool = False) -> DataFrame:
         columns = list(zip(*rows)) if rows else [()] * len(schema)
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    sent = d.groupBy("g").cogroup(classes.groupBy("g")).applyInArrow(send, EMIT)
-    back = sent.repartition(n, "b").groupBy("b").applyInArrow(answer, REPLY)
-    around = d.groupBy("g").cogroup(back.unionByName(classes).groupBy("g")).applyInArrow(surround, EMIT)
-    lost = around.repartition(n, "b").groupBy("b").applyInArrow(resolve, REPLY)
-    out = d.groupBy("g").cogroup(lost.unionByName(classes).groupBy("g")).applyInArrow(finish, RESULT + ", kept binary" * keep)
+    sent = d.groupBy("g").cogroup(classes.groupBy("g")).applyInArrow(trimmed(send), EMIT)
+    back = sent.repartition(n, "b").groupBy("b").applyInArrow(trimmed(answer), REPLY)
+    around = d.groupBy("g").cogroup(back.unionByName(classes).groupBy("g")).applyInArrow(trimmed(surround), EMIT)
+    lost = around.repartition(n, "b").groupBy("b").applyInArrow(trimmed(resolve), REPLY)
+    out = d.groupBy("g").cogroup(lost.unionByName(classes).groupBy("g")).applyInArrow(trimmed(finish), RESULT + ", kept binary" * keep)
     alone = docs.where("doc_id IS NULL").select(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("t"))
     size = F.octet_length("t").cast("long")
     alone = alone.select(F.lit(None).cast("long").alias("doc_id"), size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("t", 256).alias("kept_sha256"), *([F.col("t").alias("kept")] if keep else []))

@@ -6,6 +6,8 @@ whole chunks, so a word, a shingle or a window costs a few vector operations and
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import tempfile
 
@@ -14,6 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+try:  # only the GNU C library has malloc_trim
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim
+except (OSError, AttributeError):
+    _libc = None
+
 #: Bytes of text handled at once by the vector code.
 CHUNK_BYTES = 1 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -21,9 +29,48 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, by a path that only Spark has to understand."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of text that travel to Python at once, unless the session says otherwise: a batch of long texts stays small.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of texts small on both sides, unless the session sets their size itself."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def release() -> None:
+    """Give memory that a finished group or batch no longer needs back to the system, as workers stay alive."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+def trimmed(f):
+    """f, a function of one to three grouped tables, with memory given back after each call."""
+
+    def call(*args):
+        try:
+            return f(*args)
+        finally:
+            release()
+
+    # Spark counts the arguments of what it is given
+    return {1: lambda a: call(a), 2: lambda a, b: call(a, b), 3: lambda a, b, c: call(a, b, c)}[f.__code__.co_argcount]
+
+
+def text_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of documents, whatever other columns they have."""
+    bounded_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder of spark.checkpoint.dir; set one only where the session names none (tests)."""
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import LOWER, chunks_of, crc_mod, prefix_hash, span_hash, texts_of
+from .textcore import LOWER, bounded_batches, chunks_of, crc_mod, prefix_hash, span_hash, texts_of
 
 #: Bounds of the training sample.
 POSITIVES, UNLABELLED = 4000, 8000
@@ -140,6 +140,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, positives: int, unlabelled
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED):
     """Fit the classifier; labels come only from rows whose crc32(doc_id) mod 4 is not 2."""
+    bounded_batches(docs.sparkSession)
     labelled = labels.where((crc_mod() % 4 != 2) & F.col("toxic").isNotNull())
     prior = labelled.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
 
