@@ -16,12 +16,14 @@ confirmed toxic row the classifier is the prior. Repeated rows give equal rows;
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import LOWER, bounded_batches, chunks_of, crc_mod, prefix_hash, span_hash, texts_of
+from .textcore import LOWER, bounded_batches, chunks_of, crc_mod, prefix_hash, release, span_hash, texts_of
 
 #: Bounds of the training sample.
 POSITIVES, UNLABELLED = 4000, 8000
@@ -61,7 +63,7 @@ def present(texts: list[bytes]) -> list[np.ndarray]:
     for lo, hi in chunks_of(texts):
         rows, cols = features(texts[lo:hi])
         pair = np.unique(rows * (1 << BITS) + cols)
-        out += np.split(pair & ((1 << BITS) - 1), np.searchsorted(pair >> BITS, np.arange(1, hi - lo)))
+        out += np.split((pair & ((1 << BITS) - 1)).astype(np.int32), np.searchsorted(pair >> BITS, np.arange(1, hi - lo)))
     return out
 
 
@@ -83,11 +85,13 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     kept = seen[(n >= 3) & (n > expected) & (evidence >= EVIDENCE)]
 
     def matrix(own):
-        rows = np.repeat(np.arange(len(own)), [len(x) for x in own])
-        cols = np.concatenate(own)
-        at = np.minimum(np.searchsorted(kept, cols), max(len(kept) - 1, 0))
-        good = kept[at] == cols if len(kept) else np.zeros(len(cols), bool)
-        return rows[good], at[good], len(own)
+        rows, cols = [], []
+        for i, x in enumerate(own):
+            at = np.minimum(np.searchsorted(kept, x), max(len(kept) - 1, 0))
+            at = at[kept[at] == x] if len(kept) else at[:0]
+            cols.append(at)
+            rows.append(np.full(len(at), i))
+        return np.concatenate(rows), np.concatenate(cols), len(own)
 
     p, u = matrix(positive), matrix(unlabelled)
     w, bias = np.zeros(len(kept)), float(np.log(prior / (1 - prior)))
@@ -147,16 +151,20 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     def run(rows):
         for batch in rows:
             own = present(texts_of(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tolist() for x in own], pa.list_(pa.int32()))], ["positive", "f"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int32()))], ["positive", "f"])
 
     chosen = training_rows(docs.select("doc_id"), labels, positives, unlabelled)
     # at most positives + unlabelled ids of 9 bytes
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("positive", "text").mapInArrow(run, "positive boolean, f array<int>")
     got = sample.limit(2 * (positives + unlabelled)).toArrow()
     kind = got.column("positive").to_pylist()
-    own = [np.asarray(x, np.int64) for x in got.column("f").to_pylist()]
-    order = sorted(range(len(own)), key=lambda i: own[i].tobytes())
-    return fit([own[i] for i in order if kind[i]], [own[i] for i in order if not kind[i]], prior or 0.0)
+    own = [x for chunk in got.column("f").chunks if len(chunk) for x in np.split(chunk.flatten().to_numpy(), np.cumsum(chunk.value_lengths().to_numpy())[:-1])]
+    del got
+    order = sorted(range(len(own)), key=lambda i: (len(own[i]), zlib.crc32(own[i])))
+    out = fit([own[i] for i in order if kind[i]], [own[i] for i in order if not kind[i]], prior or 0.0)
+    del own
+    release()
+    return out
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
