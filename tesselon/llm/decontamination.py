@@ -15,8 +15,6 @@ documents, so what is broadcast is bounded whatever the size of the benchmark.
 from __future__ import annotations
 
 import math
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -167,23 +165,21 @@ def blocks(benchmark: DataFrame):
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_items, item_ids (comma-joined, ascending), least_edits (null without items), contaminated."""
-    def one(items):
-        def run(rows):
+    kinds = {"doc_id": pa.int64(), "text": pa.string(), "ids": pa.list_(pa.int64()), "least_edits": pa.int64()}
+    d = text_rows(docs).select("doc_id", "text", F.array().cast("array<long>").alias("ids"), F.lit(None).cast("long").alias("least_edits"))
+    for items in blocks(benchmark):  # every block adds its items to the rows; nothing is shuffled
+
+        def run(rows, items=items):
             index = Index(items)
             for batch in rows:
-                got = index.leaks(texts_of(batch.column(1)))
-                ids = pa.array([[i for i, _ in x] for x in got], pa.list_(pa.int64()))
-                least = pa.array([min((d for _, d in x), default=None) for x in got], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), ids, least], ["doc_id", "ids", "least_edits"])
-
-        return text_rows(docs).mapInArrow(run, "doc_id long, ids array<long>, least_edits long")
-
-    parts = [one(items) for items in blocks(benchmark)]
-    if len(parts) > 1:  # several passes over the documents: one row per document again
-        many = reduce(DataFrame.union, parts)
-        d = many.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"), F.min("least_edits").alias("least_edits"))
-    else:
-        d = parts[0]
+                ids, least = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+                for k, got in enumerate(index.leaks(texts_of(batch.column(1)))):
+                    ids[k] = sorted({*ids[k], *(i for i, _ in got)})
+                    least[k] = min([*(x for x in [least[k]] if x is not None), *(e for _, e in got)], default=None)
+                columns = [batch.column(0), batch.column(1), ids, least]
+                yield pa.RecordBatch.from_arrays([c if k < 2 else pa.array(c, t) for k, (c, t) in enumerate(zip(columns, kinds.values()))], list(kinds))
+
+        d = d.mapInArrow(run, "doc_id long, text string, ids array<long>, least_edits long")
     ids = F.array_join(F.transform(F.array_sort("ids"), lambda x: x.cast("string")), ",")
     n = F.size("ids").cast("long")
     return d.select("doc_id", n.alias("n_items"), ids.alias("item_ids"), "least_edits", (n > 0).alias("contaminated"))

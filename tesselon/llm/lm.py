@@ -265,7 +265,7 @@ def corpus_counts(d: DataFrame, n: int) -> DataFrame:
 
 
 def score(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    n = partitions(docs.sparkSession)
+    n = partitions(docs)
     d = _keyed(docs, n)
     texts = sample(d, sample_docs)
     # the sample asks for its counts as one more group, of no weight

@@ -100,7 +100,7 @@ _SETS_TYPE = pa.schema([("doc_id", pa.int64()), ("h", pa.string()), ("n_shingles
 
 def prepared(docs: DataFrame) -> DataFrame:
     """One row per class: its set size and, if it may have partners, its shared shingles and rarest ones."""
-    n = partitions(docs.sparkSession)
+    n = partitions(docs)
     d, classes = keyed(docs, n), sent_classes(docs, n)
 
     def send(key, left, right):
@@ -219,7 +219,7 @@ _EDGE_TYPE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 def links(sets: DataFrame) -> DataFrame:
     """Edges (u, v) whose components are those of all links between the rows of `prepared`."""
-    n = partitions(sets.sparkSession)
+    n = max(1, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     able = sets.where("shared IS NOT NULL")
     rare = able.select("doc_id", F.explode("prefix").alias("token"))
     first = rare.groupBy("token").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("most")).where("m < most").select("token", "m")
@@ -259,3 +259,19 @@ def kept(docs: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy(F.md5(F.coalesce("text", F.lit(""))))
     out = out.withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
     return out.unionByName(docs.where("doc_id IS NULL"))
+
+
+def oracle() -> str:
+    """The same rows from a join of all shingles and a closure over the links."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY ALL),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 75 * (x.n + y.n - c)),
+b AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, b.v FROM r JOIN b ON r.y = b.u)
+SELECT x AS doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(y) AS component_id FROM r LEFT JOIN n ON n.doc_id = x GROUP BY x
+"""

@@ -72,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licenses": licenses.oracle()}
+    return {"op1_licenses": licenses.oracle(), "op2_suffix_dedup": suffix_dedup.oracle(), "op3_ngram_join": ngram_join.oracle()}

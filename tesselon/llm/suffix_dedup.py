@@ -318,7 +318,7 @@ _RESULT_TYPE = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_r
 
 def dedup(docs: DataFrame, keep: bool = False) -> DataFrame:
     """One row per row of docs; with keep also kept (the remaining bytes)."""
-    n = partitions(docs.sparkSession)
+    n = partitions(docs)
     d, classes = keyed(docs, n), sent_classes(docs, n)
     schema = _RESULT_TYPE.append(pa.field("kept", pa.binary())) if keep else _RESULT_TYPE
 
@@ -383,3 +383,22 @@ def dedup(docs: DataFrame, keep: bool = False) -> DataFrame:
     size = F.octet_length("t").cast("long")
     alone = alone.select(F.lit(None).cast("long").alias("doc_id"), size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("t", 256).alias("kept_sha256"), *([F.col("t").alias("kept")] if keep else []))
     return out.unionByName(alone)
+
+
+def oracle() -> str:
+    """The same rows from all 50-byte windows, written as hexadecimal digits."""
+    return """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+w AS (SELECT doc_id, unnest(generate_series(0, length(hx) // 2 - 50)) AS i, hx FROM h WHERE length(hx) >= 100),
+k AS (SELECT doc_id, i, hash(substr(hx, 2 * i + 1, 100)) AS a, md5(substr(hx, 2 * i + 1, 100)) AS m FROM w),
+f AS (SELECT a, m, min(doc_id) AS d FROM k GROUP BY ALL),
+lost AS (SELECT doc_id, i FROM k JOIN f USING (a, m) WHERE d < doc_id),
+cut AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM
+  (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM lost)),
+runs AS (SELECT doc_id, min(i) AS s, max(i) + 50 AS e FROM cut GROUP BY doc_id, run),
+gap AS (SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS s, s AS e FROM (SELECT doc_id, s, e FROM runs UNION ALL SELECT doc_id, length(hx) // 2, length(hx) // 2 FROM h)),
+kept AS (SELECT doc_id, string_agg(substr(hx, 2 * gap.s + 1, 2 * (gap.e - gap.s)), '' ORDER BY gap.s) AS t FROM gap JOIN h USING (doc_id) WHERE gap.e > gap.s GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(e - s) AS removed, count(*) AS spans FROM runs GROUP BY doc_id)
+SELECT h.doc_id, (length(hx) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(t, ''))) AS kept_sha256
+FROM h LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

@@ -83,8 +83,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of the input that a group of documents may stand for.
+GROUP_BYTES = 12 << 20
+
+
+def partitions(docs: DataFrame) -> int:
+    """Number of document groups and of hash-range buckets: the shuffle partitions, or more where the optimizer's
+    size of the input gives groups over GROUP_BYTES. Only the plan's statistics are read."""
+    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return n if size > 1 << 60 else max(n, -(-size // GROUP_BYTES))  # larger: unknown to the optimizer
 
 
 def doc_key(df: DataFrame, n: int):
