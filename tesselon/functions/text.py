@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that are never indexed (language keywords, then words of questions).
@@ -31,21 +31,33 @@ def split_identifier(word: Column) -> Column:
     return F.regexp_extract_all(word, F.lit(PART), F.lit(0))
 
 
+def words(text: Column) -> Column:
+    """Identifiers of a text; runs of digits are no terms, and what follows them is an identifier of its own."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[A-Za-z_$][A-Za-z0-9_$]*"), F.lit(0))
+
+
+def word_terms(w: Column) -> Column:
+    """Terms of one identifier."""
+    none = F.array().cast("array<string>")
+    low, rest = F.lower(w), F.substring(w, 2, 1_000_000)
+    single = F.when(F.length(low) >= 2, F.array(low)).otherwise(none)
+    # one part without a search: no separator, no capital after the first letter, no digit after a capital
+    plain = (F.locate("_", w) == 0) & (F.locate("$", w) == 0) & (rest == F.lower(rest)) & ((w == low) | (F.substring(w, 2, 1) > "9"))
+    whole = F.when((F.length(low) >= 2) & (F.length(low) <= 48), F.array(low)).otherwise(none)
+    parts = F.filter(F.transform(split_identifier(w), F.lower), _is_term)
+    several = F.when(F.size(split_identifier(w)) > 1, F.concat(whole, parts)).otherwise(single)
+    return F.when(low.isin(*STOPWORDS), none).when(plain, single).otherwise(several)
+
+
 def tokenize(text: Column) -> Column:
     """Terms of a text in order: a compound identifier gives itself (2 to 48 letters) and each of its parts."""
-    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
-    words = F.filter(words, lambda w: ~w.rlike(r"^\d+$") & ~F.lower(w).isin(*STOPWORDS))
-
-    def terms(w: Column) -> Column:
-        low = F.lower(w)
-        parts = F.filter(F.transform(split_identifier(w), F.lower), _is_term)
-        whole = F.when((F.length(low) >= 2) & (F.length(low) <= 48), F.array(low)).otherwise(F.array().cast("array<string>"))
-        single = F.when(F.length(low) >= 2, F.array(low)).otherwise(F.array().cast("array<string>"))
-        # a word of lower-case letters and digits is one part: no second search
-        plain = w.rlike(r"^[a-z0-9]+$")
-        return F.when(plain, single).when(F.size(split_identifier(w)) > 1, F.concat(whole, parts)).otherwise(single)
-
-    return F.flatten(F.transform(words, terms))
+    return F.flatten(F.transform(words(text), word_terms))
+
+
+def term_rows(df: DataFrame, text: str, *keys: str) -> DataFrame:
+    """(keys, term) with a row for each term of a text: tokenize() as rows, which compiles to one stage."""
+    w = df.select(*keys, F.explode(words(F.col(text))).alias("_w"))
+    return w.select(*keys, F.explode(word_terms(F.col("_w"))).alias("term"))
 
 
 def identifiers(text: Column) -> Column:

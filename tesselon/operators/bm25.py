@@ -13,13 +13,13 @@ K1, B = 1.2, 0.75
 
 def postings(corpus: DataFrame) -> DataFrame:
     """(id, term, tf). One shuffle on (id, term) with map-side partial counts."""
-    terms = corpus.select("id", F.explode(T.tokenize(F.col("text"))).alias("term"))
-    return terms.groupBy("id", "term").agg(F.count("*").alias("tf"))
+    return T.term_rows(corpus, "text", "id").groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
 def lengths(corpus: DataFrame) -> DataFrame:
     """(id, len) of every document, those without terms too."""
-    return corpus.select("id", F.size(T.tokenize(F.col("text"))).cast("long").alias("len"))
+    w = corpus.select("id", F.explode_outer(T.words(F.col("text"))).alias("w"))
+    return w.groupBy("id").agg(F.coalesce(F.sum(F.size(T.word_terms(F.col("w")))), F.lit(0)).cast("long").alias("len"))
 
 
 def document_frequency(index: DataFrame) -> DataFrame:
@@ -35,21 +35,21 @@ def idf(df, n):
 
 
 def matches(corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    """Scores of (query_id, id) for queries (query_id, query): a scan of the corpus that keeps query terms only.
+    """Scores of (query_id, id) for queries (query_id, query): one pass over the corpus that keeps query terms only.
 
-    Query terms are a bounded table (queries are few and short) and are sent to every task; document frequencies
-    are needed for those terms alone.
+    Query terms are a bounded table (queries are few and short) and are sent to every task. Of a document only the
+    counts of those terms and of all others together are shuffled; its length is their sum.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(T.tokenize(F.col("query")))).alias("term"))
-    wanted = terms.select("term").distinct()
-    base = corpus.select("id", T.tokenize(F.col("text")).alias("tokens"))
-    sized = base.select("id", F.size("tokens").cast("long").alias("len"), "tokens")
-    total = statistics(sized)
-    hits = sized.select("id", "len", F.explode("tokens").alias("term")).join(F.broadcast(wanted), "term")
-    tf = hits.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    df = document_frequency(tf)
-    scored = tf.join(F.broadcast(df.withColumn("_k", F.lit(1)).join(F.broadcast(total.withColumn("_k", F.lit(1))), "_k").drop("_k")), "term")
-    length = F.col("len") / F.when(F.col("avgdl") == 0, 1.0).otherwise(F.col("avgdl"))
+    wanted = terms.select("term", F.col("term").alias("q")).distinct()
+    counts = T.term_rows(corpus, "text", "id").join(F.broadcast(wanted), "term", "left").groupBy("id", "q").agg(F.count("*").alias("tf"))
+    lens = counts.groupBy("id").agg(F.sum("tf").alias("len"))
+    hits = counts.where("q IS NOT NULL").withColumnRenamed("q", "term")
+    n = corpus.agg(F.count("*").alias("n")).withColumn("_k", F.lit(1))
+    total = lens.agg(F.coalesce(F.sum("len"), F.lit(0)).alias("total")).withColumn("_k", F.lit(1)).join(F.broadcast(n), "_k")
+    df = document_frequency(hits).withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k").drop("_k")  # one row per query term
+    scored = hits.join(F.broadcast(df), "term").join(lens, "id")
+    length = F.col("len") / F.when(F.col("total") == 0, 1.0).otherwise(F.col("total") / F.col("n"))
     gain = idf(F.col("df"), F.col("n")) * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * length))
     scored = scored.select("id", "term", gain.alias("gain"))
     return scored.join(F.broadcast(terms), "term").groupBy("query_id", "id").agg(F.sum("gain").alias("score")).where("score > 0")

@@ -63,7 +63,7 @@ def nearest(vectors: DataFrame, queries: list[tuple[int, list[float]]], limit: i
 
 def hashed_sparse(corpus: DataFrame) -> DataFrame:
     """Local embedding of (id, text) as sparse cells (id, idx, val) before normalization."""
-    terms = corpus.select("id", F.explode(T.tokenize(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    terms = T.term_rows(corpus, "text", "id").groupBy("id", "term").agg(F.count("*").alias("tf"))
     h = T.fnv1a32(F.col("term"))
     cell = terms.select("id", "tf", h.alias("h"))
     sign = F.when(F.shiftright("h", SIGN_BIT).bitwiseAND(F.lit(1)) == 1, -1.0).otherwise(1.0)
