@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .textcore import (
-    EMIT, REPLY, checkpointed, chunks_of, components, doc_key, emit, gathered, md5_hex, partitions, replies,
+    EMIT, REPLY, checkpointed, chunks_of, components, doc_key, emit, free_name, gathered, md5_hex, partitions, replies,
     shingle_hashes, split_counts, text_classes, text_rows, texts_of, trimmed, word_hashes,
 )
 
@@ -257,7 +257,8 @@ def kept(docs: DataFrame) -> DataFrame:
     chosen = groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     out = docs.join(chosen, docs["doc_id"] == chosen["_kept"], "left_semi")
     order = Window.partitionBy("doc_id").orderBy(F.md5(F.coalesce("text", F.lit(""))))
-    out = out.withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
+    row = free_name(docs, "row")
+    out = out.withColumn(row, F.row_number().over(order)).where(F.col(row) == 1).drop(row)
     return out.unionByName(docs.where("doc_id IS NULL"))
 
 

@@ -8,8 +8,8 @@ Check digits are computed anew, so pseudonyms pass the same validation. An e-mai
 local part becomes a keyed digest of the whole address in lower case.
 
 Numbers and dates that fail validation stay as they are. Null text stays null with nothing found. Repeated rows
-give equal rows; columns besides doc_id and text are passed through by `pseudonymize` unless they clash with the
-names it adds, which then replace them.
+give equal rows; columns besides text are passed through by `pseudonymize`, but n_found and kinds are replaced when it
+reports them.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .textcore import free_name
+
 ROUNDS = 8
 KEY = "tesselon-pseudonyms-1"
 
@@ -205,22 +207,22 @@ def _match(m: Column, key: str) -> Column:
     return out
 
 
-def pseudonymize(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """docs with text replaced and the columns n_found (values replaced) and kinds (each kind once, sorted)."""
-    own = [c for c in docs.columns if c not in ("text", "n_found", "kinds", "_found", "_between")]
-    d = docs.select(*[F.col(f"`{c}`") for c in own], F.col("text"))
+def pseudonymize(docs: DataFrame, key: str = KEY, report: bool = True) -> DataFrame:
+    """docs with text replaced; with report also n_found (values replaced) and kinds (each kind once, sorted)."""
+    own = [c for c in docs.columns if not (report and c in ("n_found", "kinds"))]
+    between, found = free_name(docs, "between"), free_name(docs, "found")
     # most texts are split once; only those with a match are searched again
-    d = d.withColumn("_between", F.split("text", ANY, -1))
-    d = d.withColumn("_found", F.when(F.size("_between") > 1, F.regexp_extract_all("text", F.lit(ANY), 0)))
-    d = d.withColumn("_found", F.transform("_found", lambda m: F.struct(m.alias("old"), _match(m, key).alias("made"))))
-    good = F.filter("_found", lambda x: x["made"]["kind"].isNotNull())
-    new = F.zip_with("_between", F.transform("_found", lambda x: F.coalesce(x["made"]["new"], x["old"])), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    return d.select(
-        *[F.col(f"`{c}`") for c in own],
-        F.when(F.col("_found").isNull(), F.col("text")).otherwise(F.array_join(new, "")).alias("text"),
-        F.when(F.col("_found").isNull(), F.lit(0)).otherwise(F.size(good)).cast("long").alias("n_found"),
-        F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.transform(good, lambda x: x["made"]["kind"]))), ","), F.lit("")).alias("kinds"),
-    )
+    d = docs.withColumn(between, F.split("text", ANY, -1))
+    d = d.withColumn(found, F.when(F.size(between) > 1, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
+    d = d.withColumn(found, F.transform(found, lambda m: F.struct(m.alias("old"), _match(m, key).alias("made"))))
+    good = F.filter(found, lambda x: x["made"]["kind"].isNotNull())
+    new = F.zip_with(between, F.transform(found, lambda x: F.coalesce(x["made"]["new"], x["old"])), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    text = F.when(F.col(found).isNull(), F.col("text")).otherwise(F.array_join(new, "")).alias("text")
+    columns = [text if c == "text" else F.col(f"`{c}`") for c in own]
+    if report:
+        columns.append(F.when(F.col(found).isNull(), F.lit(0)).otherwise(F.size(good)).cast("long").alias("n_found"))
+        columns.append(F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.transform(good, lambda x: x["made"]["kind"]))), ","), F.lit("")).alias("kinds"))
+    return d.select(*columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -65,6 +65,14 @@ def trimmed(f):
     return {1: lambda a: call(a), 2: lambda a, b: call(a, b), 3: lambda a, b, c: call(a, b, c)}[f.__code__.co_argcount]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, text) of documents, whatever other columns they have."""
     bounded_batches(docs.sparkSession)

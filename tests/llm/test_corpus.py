@@ -337,6 +337,19 @@ def test_decontamination_of_nothing(spark, edges, none):
 
 
 # --- pipeline ----------------------------------------------------------------------------------------------
+def test_stages_keep_odd_columns(spark, tmp_path):
+    """Names that the stages use themselves, nulls and repeated rows."""
+    labels_of(spark, []).write.parquet(str(tmp_path / "labels.parquet"))
+    bench(spark, []).write.parquet(str(tmp_path / "benchmark.parquet"))
+    names = ["row", "kept", "between", "found", "n_found", "kinds", "component_id", "label", "score", "u", "v"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame([(i, t, None, None, None, *[None if i == 4 else n for n in names]) for i, t in EDGES], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.count() == len(EDGES) - (2 if name == "ngram_join" else 0), name
+        assert {tuple(r[5:]) for r in out.collect()} <= {tuple(names), (None,) * len(names)}
+
+
 def test_pipeline(spark, tmp_path):
     rows, labels = toxic_rows(600)
     r = random.Random(2)
