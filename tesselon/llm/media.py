@@ -14,7 +14,6 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import jpeg
 from .textcore import text_rows, texts_of
