@@ -6,9 +6,7 @@ import math
 import os
 import sys
 import time
-from dataclasses import replace
 from datetime import datetime, timezone
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -427,10 +425,6 @@ class Engine:
         checks.append({"check": "plugins", "ok": True, "detail": ", ".join(p.name for p in self.plugins.all) or "none"})
         return checks
 
-    def with_config(self, **changes) -> "Engine":
-        self.config = replace(self.config, **changes)
-        return self
-
 
 def prefix(lines: list[str], budget: int) -> list[str]:
     """Lines up to the first that overflows."""
@@ -480,4 +474,4 @@ def file_summary(a: dict | None) -> str:
 
 
 def symbol_summary(item: dict) -> str:
-    return reduce(lambda a, b: f"{a}\n{b}", [x for x in (item["signature"], item["doc"], f"{item['file']}:{item['start_line']}") if x])
+    return "\n".join(x for x in (item["signature"], item["doc"], f"{item['file']}:{item['start_line']}") if x)

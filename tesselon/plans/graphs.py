@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import scale as S
 from ..operators import expand, graph, metrics, report
 from . import tables as D
-from .tables import SQL_EDGES, SQL_EVENTS, SQL_NODES, SQL_PAGES
+from .tables import SQL_EDGES, SQL_EVENTS, SQL_NODES
 
 SEED = "nat:3"
 CHOSEN = "substr(id, -1) = '7'"
@@ -72,7 +71,7 @@ def _sql_path_score(path: str) -> str:
     )
 
 
-def _sql_scaled(x: str, low: str = "", log: bool = False) -> str:
+def _sql_scaled(x: str, log: bool = False) -> str:
     v = f"ln(1 + greatest({x}::DOUBLE, 0e0))" if log else x
     return f"CASE WHEN max({v}) OVER () - min({v}) OVER () < 1e-12 THEN 0.5e0 ELSE ({v} - min({v}) OVER ()) / (max({v}) OVER () - min({v}) OVER ()) END"
 
