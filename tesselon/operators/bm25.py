@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.checkpoints import checkpointed
 
 # Parameters of the scoring formula.
 K1, B = 1.2, 0.75
@@ -43,6 +44,8 @@ def matches(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     terms = queries.select("query_id", F.explode(F.array_distinct(T.tokenize(F.col("query")))).alias("term"))
     wanted = terms.select("term", F.col("term").alias("q")).distinct()
     counts = T.term_rows(corpus, "text", "id").join(F.broadcast(wanted), "term", "left").groupBy("id", "q").agg(F.count("*").alias("tf"))
+    # used three times below; plans with lambdas are not recognized as equal, so it is written once instead
+    counts = checkpointed(counts)
     lens = counts.groupBy("id").agg(F.sum("tf").alias("len"))
     hits = counts.where("q IS NOT NULL").withColumnRenamed("q", "term")
     n = corpus.agg(F.count("*").alias("n")).withColumn("_k", F.lit(1))

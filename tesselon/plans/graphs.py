@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import expand, graph, metrics, report
+from ..sources.checkpoints import checkpointed
 from . import tables as D
 from .tables import SQL_EDGES, SQL_EVENTS, SQL_NODES
 
@@ -26,7 +27,7 @@ def degree_fan(spark, sf):
 
 
 def _ranks(spark, sf):
-    return metrics.pagerank(D.nodes(spark, sf), D.edges(spark, sf))
+    return metrics.pagerank(D.nodes(spark, sf), checkpointed(D.edges(spark, sf)))
 
 
 def pagerank(spark, sf):
@@ -117,13 +118,13 @@ def path_score(spark, sf):
 def expand_hop1(spark, sf):
     seeds = D.nodes(spark, sf).where(F.col("id") == SEED).select(F.lit(1).alias("query_id"), "id", F.lit(0.8).alias("score"))
     limits = expand.Limits(depth=1, budget=1_000_000, nodes=1_000_000)
-    got = expand.expand(D.nodes(spark, sf), D.edges(spark, sf), seeds, limits)
+    got = expand.expand(D.nodes(spark, sf), checkpointed(D.edges(spark, sf)), seeds, limits)
     return got.select("id", F.round("score", 6).alias("score"), "depth")
 
 
 def expand_best_first(spark, sf):
     s = D.nodes(spark, sf).where("kind = 'directory'").select(F.substring_index("id", ":", -1).cast("int").alias("query_id"), "id", F.lit(1.0).alias("score"))
-    got = expand.expand(D.nodes(spark, sf), D.edges(spark, sf), s)
+    got = expand.expand(D.nodes(spark, sf), checkpointed(D.edges(spark, sf)), s)
     return got.select("query_id", "id", F.round("score", 6).alias("score"), "depth")
 
 

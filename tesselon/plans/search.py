@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import bm25, candidates, expand, pack, rank, vectors
+from ..sources.checkpoints import checkpointed
 from . import tables as D
 from .tables import SQL_CORPUS, SQL_QUERIES, sql_tokens
 
@@ -117,7 +118,7 @@ def vec_prune(spark, sf):
 
 # --- candidates --------------------------------------------------------------------------------------------
 def _lexical(spark, sf):
-    return bm25.search(D.corpus(spark, sf), D.queries(spark), LIMIT).select("query_id", F.col("id").cast("string").alias("id"), "score")
+    return checkpointed(bm25.search(D.corpus(spark, sf), D.queries(spark), LIMIT).select("query_id", F.col("id").cast("string").alias("id"), "score"))
 
 
 def _semantic(spark, sf):
