@@ -9,8 +9,10 @@ p(w | h) = p(class | h) * p(w | class, h). The HEAD most frequent tokens stand i
 their own; every other token is in the class of its count's power of two, inside which it has its add-one share of
 the class, and an unseen token is the class of its own, so the probabilities of a text are proper. Class sizes and
 shares come from the counts of the whole corpus. The weights are fitted in numpy by truncated backpropagation
-through time on at most SAMPLE_DOCS whole training documents (those with the smallest hash of doc_id). Scoring
-covers every row and whole texts: long texts run in windows with the state carried from one to the next.
+through time in one pass over all training documents, whatever the size of the input: in each of ROUNDS rounds every group
+of documents goes over the next share of its own from the common weights, and the groups' weights are averaged by
+their tokens. Texts are turned to classes once and kept as such for the rounds and the scoring. Scoring covers every row
+and whole texts: long texts run in windows with the state carried from one to the next.
 
 Null and empty texts are the end token alone. Rows with null doc_id are scored and count as training rows. Without
 training rows every token is unseen. Repeated rows count as often as they occur and give equal rows. Words are
@@ -19,6 +21,8 @@ recognized by 64-bit hashes. Other columns are ignored.
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,10 +31,13 @@ from pyspark.sql import functions as F
 from .textcore import checkpointed, chunks_of, crc_mod, emit, gathered, partitions, replies, split_counts, text_rows, texts_of, trimmed, word_hashes
 
 HEAD, WIDTH, BINS = 1024, 32, 40
-HIDDEN, WINDOW, STREAMS = 16, 32, 64
-SAMPLE_DOCS = 1500
+HIDDEN, WINDOW, STREAMS = 16, 32, 256
+#: Shares of the one pass over all training documents, and updates of a group in a round before it takes more streams.
+ROUNDS, UPDATES, RATE = 2, 200, 0.01
+#: Pieces in which weights are averaged.
+PARTS = 32
 #: Documents scored side by side, and steps whose outputs are computed at once.
-BATCH_DOCS, STEPS = 4096, 32
+BATCH_DOCS, BATCH_BYTES, STEPS = 4096, 16 << 20, 32
 END = np.uint64(0xE0D0C0B0A0908070)
 _WIRE = np.dtype([("key", "<u8"), ("n", "<u4")])
 _COUNTS = "g int, b int, payload binary, tokens long, kinds long, head array<struct<k:long,c:long>>, bins array<struct<mass:long,share:long>>"
@@ -55,6 +62,13 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-x))
 
 
+def _softmax(x, count):
+    """Softmax of the rows in place, divided by count."""
+    x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x *= 1 / (x.sum(1, keepdims=True) * count)
+
+
 class Network:
     """Classes 0 .. C-1 hold head tokens, the others are count bins; inputs are tokens, bins and the start."""
 
@@ -138,37 +152,35 @@ class Network:
                 total[own[: who[0]]] += np.bincount(rows, got, minlength=who[0])
         return total
 
-    def train(self, docs: list[np.ndarray], passes: int = 2, updates: int = 400, rate: float = 0.01) -> None:
-        """Truncated backpropagation: windows of WINDOW steps over parallel streams, the state carried over.
-
-        Goes over the documents `passes` times, and more often where that gives under `updates` steps.
-        """
+    def train(self, docs: list[np.ndarray], rate: float = RATE) -> None:
+        """One pass of truncated backpropagation: windows of WINDOW steps over parallel streams, the state carried
+        over. Every token is a target; the end of the last stream is padded with -1."""
         docs = [d for d in docs if len(d)]
         if not docs:
             return
-        whole = np.concatenate(docs)
+        whole = np.concatenate(docs).astype(np.int64)
         begins = np.zeros(len(whole), bool)
         begins[np.cumsum([0] + [len(d) for d in docs[:-1]])] = True
-        streams = max(1, min(STREAMS, len(whole) // (8 * WINDOW)))
-        length = len(whole) // streams
-        t = whole[: streams * length].reshape(streams, length).T
-        s = begins[: streams * length].reshape(streams, length).T.copy()
+        streams = max(1, min(STREAMS, len(whole) // (UPDATES * WINDOW)))
+        length = -(-len(whole) // streams)
+        pad = streams * length - len(whole)
+        t = np.append(whole, np.full(pad, -1)).reshape(streams, length).T
+        s = np.append(begins, np.ones(pad, bool)).reshape(streams, length).T.copy()
         s[0] = True
         x = np.where(s, self.inputs - 1, np.concatenate([t[:1], t[:-1]]))
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(w) for k, w in self.p.items()}
         n = 0
-        for _ in range(max(passes, min(50, updates * WINDOW // length))):
-            h = np.zeros((streams, self.hidden), np.float32)
-            for at in range(0, length - length % WINDOW or length, WINDOW):
-                h, grad = self._window(h, x[at : at + WINDOW], t[at : at + WINDOW], s[at : at + WINDOW])
-                n += 1
-                norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-                for k, g in grad.items():
-                    g *= min(1.0, 5.0 / (norm + 1e-9))
-                    m[k] += 0.1 * (g - m[k])
-                    v[k] += 0.01 * (g * g - v[k])
-                    self.p[k] -= (rate / (1 + n / 2000) * (m[k] / (1 - 0.9**n)) / (np.sqrt(v[k] / (1 - 0.99**n)) + 1e-6)).astype(np.float32)
+        h = np.zeros((streams, self.hidden), np.float32)
+        for at in range(0, length, WINDOW):
+            h, grad = self._window(h, x[at : at + WINDOW], t[at : at + WINDOW], s[at : at + WINDOW])
+            n += 1
+            norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
+            for k, g in grad.items():
+                g *= min(1.0, 5.0 / (norm + 1e-9))
+                m[k] += 0.1 * (g - m[k])
+                v[k] += 0.01 * (g * g - v[k])
+                self.p[k] -= (rate / (1 + n / 2000) * (m[k] / (1 - 0.9**n)) / (np.sqrt(v[k] / (1 - 0.99**n)) + 1e-6)).astype(np.float32)
 
     def _window(self, h, x, t, start):
         k, p = self.hidden, self.p
@@ -176,34 +188,40 @@ class Network:
         for i in range(len(x)):
             h = h * ~start[i][:, None]
             a, b = p["x"][x[i]], h @ p["u"]
-            z, r = _sigmoid(a[:, :k] + b[:, :k]), _sigmoid(a[:, k : 2 * k] + b[:, k : 2 * k])
-            q = b[:, 2 * k :]
+            gate = _sigmoid(a[:, : 2 * k] + b[:, : 2 * k])
+            z, r, q = gate[:, :k], gate[:, k:], b[:, 2 * k :]
             new = np.tanh(a[:, 2 * k :] + r * q)
             kept.append((h, z, r, q, new))
             h = new + z * (h - new)
+        real = np.flatnonzero(t.ravel() >= 0)
+        target = t.ravel()[real]
         states = np.concatenate([new + z * (before - new) for before, z, _, _, new in kept])
-        target = t.ravel()
-        count = np.float32(len(target))
+        back = np.zeros_like(states)
+        states = states[real]
+        count = np.float32(max(len(target), 1))
         grad = {n: np.zeros_like(w) for n, w in p.items()}
-        logits = states @ p["c"] + p["cb"]
-        prob = np.exp(logits - logits.max(1, keepdims=True))
-        prob /= prob.sum(1, keepdims=True)
+        prob = states @ p["c"]
+        prob += p["cb"]
+        _softmax(prob, count)
         c = self.classes(target)
-        prob[np.arange(len(c)), c] -= 1
-        prob /= count
+        prob[np.arange(len(c)), c] -= 1 / count
         grad["c"], grad["cb"] = states.T @ prob, prob.sum(0)
-        back = prob @ p["c"].T
-        for j in np.unique(c[target < self.head]).tolist():
-            some = np.flatnonzero((c == j) & (target < self.head))
-            own = states[some] @ p["w"][j] + p["wb"][j]
-            e = np.exp(own - own.max(1, keepdims=True))
-            e /= e.sum(1, keepdims=True)
-            e[np.arange(len(some)), target[some] % WIDTH] -= 1
-            e /= count
-            grad["w"][j], grad["wb"][j] = states[some].T @ e, e.sum(0)
-            back[some] += e @ p["w"][j].T
+        own_back = prob @ p["c"].T
+        inner = np.flatnonzero(target < self.head)
+        inner = inner[np.argsort(c[inner].astype(np.int16), kind="stable")]
+        edges = np.searchsorted(c[inner], np.arange(self.groups + 1))
+        for j in np.flatnonzero(np.diff(edges)).tolist():
+            some = inner[edges[j] : edges[j + 1]]
+            at = states[some]
+            e = at @ p["w"][j] + p["wb"][j]
+            _softmax(e, count)
+            e[np.arange(len(some)), target[some] % WIDTH] -= 1 / count
+            grad["w"][j], grad["wb"][j] = at.T @ e, e.sum(0)
+            own_back[some] += e @ p["w"][j].T
+        back[real] = own_back
         back = back.reshape(len(x), -1, k)
         carry = np.zeros_like(h)
+        into = np.zeros((*x.shape, 3 * k), h.dtype)
         for i in range(len(x) - 1, -1, -1):
             before, z, r, q, new = kept[i]
             d = back[i] + carry
@@ -211,11 +229,24 @@ class Network:
             dz = d * (before - new) * z * (1 - z)
             dr = dn * q * r * (1 - r)
             db = np.concatenate([dz, dr, dn * r], 1)
-            np.add.at(grad["x"], x[i], np.concatenate([dz, dr, dn], 1))
+            into[i] = np.concatenate([dz, dr, dn], 1)
             grad["u"] += before.T @ db
             carry = (d * z + db @ p["u"].T) * ~start[i][:, None]
+        order = np.argsort(x.ravel().astype(np.int16), kind="stable")
+        keys, first = np.unique(x.ravel()[order], return_index=True)
+        grad["x"][keys] = np.add.reduceat(into.reshape(-1, 3 * k)[order], first, axis=0)
         return h, grad
 
+    def weights(self) -> np.ndarray:
+        return np.concatenate([self.p[k].ravel() for k in sorted(self.p)])
+
+    def take(self, flat: np.ndarray) -> None:
+        at = 0
+        for k in sorted(self.p):
+            size = self.p[k].size
+            self.p[k] = flat[at : at + size].reshape(self.p[k].shape).astype(np.float32)
+            at += size
+
 
 # --- counts of the corpus ----------------------------------------------------------------------------------
 def _keyed(docs: DataFrame, n: int) -> DataFrame:
@@ -264,13 +295,52 @@ def corpus_counts(d: DataFrame, n: int) -> DataFrame:
     return d.groupBy("g").applyInArrow(trimmed(send), "b int, g int, payload binary").groupBy("b").applyInArrow(trimmed(answer), _COUNTS)
 
 
-def score(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def fitted(rows: DataFrame, network: Network, turn: int) -> Network:
+    """The network after round `turn`: each group's pass over that share of its training documents, averaged by tokens."""
+
+    def passes(batches):
+        def one(g, own):
+            net = copy.deepcopy(network)
+            # in an order of their own, as rows come in any
+            docs = [np.frombuffer(t, np.uint16) for _, _, t in sorted(own)[turn::ROUNDS]]
+            net.train(docs, RATE / (1 + turn))
+            tokens = sum(map(len, docs))
+            parts = [x.tobytes() for x in np.array_split(net.weights(), PARTS)]
+            return pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([g] * PARTS, pa.int32()), pa.array([tokens] * PARTS, pa.int64()), pa.array(parts, pa.binary())], ["part", "g", "tokens", "payload"])
+
+        # the rows of a group are next to each other
+        last, own = None, []
+        for batch in batches:
+            for g, i, t in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if g != last and own:
+                    yield one(last, own)
+                    own = []
+                last = g
+                own.append((i is not None, i or 0, t))
+        if own:
+            yield one(last, own)
+
+    def mean(table):
+        order = np.argsort(table.column("g").to_numpy())
+        weight, payload = table.column("tokens").to_numpy(), table.column("payload").to_pylist()
+        total = sum(np.frombuffer(payload[k], np.float32) * float(weight[k]) for k in order.tolist())
+        total = total / weight.sum() if weight.sum() else np.frombuffer(payload[0], np.float32)
+        return pa.table({"part": table.column("part").combine_chunks().slice(0, 1), "payload": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+    train = rows.where("NOT held_out").select("g", "doc_id", "tokens")
+    trained = train.mapInArrow(passes, "part int, g int, tokens long, payload binary")
+    # bounded: PARTS pieces of one set of weights
+    got = trained.repartition(PARTS, "part").groupBy("part").applyInArrow(trimmed(mean), "part int, payload binary").collect()
+    out = copy.deepcopy(network)
+    if got:
+        out.take(np.frombuffer(b"".join(r["payload"] for r in sorted(got, key=lambda r: r["part"])), np.float32))
+    return out
+
+
+def score(docs: DataFrame) -> DataFrame:
     n = partitions(docs)
     d = _keyed(docs, n)
-    texts = sample(d, sample_docs)
-    # the sample asks for its counts as one more group, of no weight
-    asking = docs.sparkSession.createDataFrame([(-1, None, t.decode(), True) for t in texts], d.schema)
-    counts = checkpointed(corpus_counts(d.union(asking), n))
+    counts = checkpointed(corpus_counts(d, n))
     tokens, kinds = counts.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     # bounded: HEAD tokens and BINS sums
     head = counts.select(F.inline("head")).orderBy(F.desc("c"), "k").limit(HEAD).collect()
@@ -293,15 +363,9 @@ def score(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
         t = np.where(known, place[at] if len(keys) else 0, len(keys) + bins)
         return t, np.where(known | (bins == 0), 0.0, np.log((count + 1) / np.maximum(share[bins], 1)))
 
-    network = Network(c, mass)
-    if texts:
-        own = token_hashes(texts)
-        distinct, at = np.unique(np.concatenate(own), return_inverse=True)
-        t, _ = classed(distinct, gathered(counts.where("g = -1").select("b", "payload").toArrow(), "<u8").astype(np.int64))
-        network.train(np.split(t[at], np.cumsum([len(x) for x in own])[:-1]))
     floor = float(tokens + kinds + 1)
 
-    def finish(key, left, right):
+    def classes(key, left, right):
         own = token_hashes(texts_of(left.column("text")))
         whole = np.concatenate(own) if own else np.zeros(0, np.uint64)
         distinct, at = np.unique(whole, return_inverse=True)
@@ -311,19 +375,35 @@ def score(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
         t, inside = classed(distinct, count)
         base = np.bincount(doc, np.log10((count[at] + 1) / floor), minlength=len(own))
         known = np.bincount(doc, count[at] > 0, minlength=len(own)).astype(np.int64)
-        model = network.score(np.split(t[at], np.cumsum(lens)[:-1])) + np.bincount(doc, inside[at], minlength=len(own))
+        share = np.bincount(doc, inside[at], minlength=len(own))
+        model = [x.tobytes() for x in np.split(t.astype(np.uint16)[at], np.cumsum(lens)[:-1])] if own else []
+        g = pa.array(np.full(len(own), key[0].as_py(), np.int32))
         held = left.column("held_out").combine_chunks()
-        return pa.table({"doc_id": left.column("doc_id").combine_chunks(), "held_out": held, "n_tokens": pa.array(lens), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(model / np.log(10))})
+        return pa.table({"g": g, "doc_id": left.column("doc_id").combine_chunks(), "tokens": pa.array(model, pa.binary()), "held_out": held, "n_tokens": pa.array(lens), "n_known": pa.array(known), "base_score": pa.array(base), "inside": pa.array(share)})
 
-    slim = counts.where("g >= 0").select("g", "b", "payload")
-    out = d.groupBy("g").cogroup(slim.groupBy("g")).applyInArrow(trimmed(finish), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    kinds_of = "g int, doc_id long, tokens binary, held_out boolean, n_tokens long, n_known long, base_score double, inside double"
+    rows = checkpointed(d.groupBy("g").cogroup(counts.select("g", "b", "payload").groupBy("g")).applyInArrow(trimmed(classes), kinds_of))
+    network = Network(c, mass)
+    for turn in range(ROUNDS):
+        network = fitted(rows, network, turn)
+
+    def scored(batches):
+        def finish(own):
+            table = pa.Table.from_batches(own)
+            model = network.score([np.frombuffer(x, np.uint16).astype(np.int64) for x in table.column("tokens").to_pylist()]) + table.column("inside").to_numpy()
+            return table.select(["doc_id", "held_out", "n_tokens", "n_known", "base_score"]).append_column("score", pa.array(model / np.log(10))).to_batches()
+
+        # many documents side by side
+        own, n_rows, n_bytes = [], 0, 0
+        for batch in batches:
+            own.append(batch)
+            n_rows += batch.num_rows
+            n_bytes += batch.nbytes
+            if n_rows >= BATCH_DOCS or n_bytes >= BATCH_BYTES:
+                yield from finish(own)
+                own, n_rows, n_bytes = [], 0, 0
+        if n_rows:
+            yield from finish(own)
+
+    out = rows.select("doc_id", "tokens", "held_out", "n_tokens", "n_known", "base_score", "inside").mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def sample(d: DataFrame, most: int) -> list[bytes]:
-    """At most `most` whole training documents, by the smallest hash of doc_id."""
-    train = d.where("NOT held_out")
-    chosen = train.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    # at most `most` ids
-    texts = train.join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return [r["text"].encode() for r in texts.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most).collect()]

@@ -229,6 +229,40 @@ def test_model_beats_the_base_on_regular_text(make):
     assert sum(x.score for x in got) > 0.8 * sum(x.base_score for x in got)
 
 
+def test_every_training_document_shapes_the_weights(spark):
+    net = lm.Network(np.arange(64, 0, -1), np.ones(lm.BINS))
+    r = np.random.default_rng(5)
+    docs = [r.integers(0, 64, 6).astype(np.uint16) for _ in range(1900)]
+    schema = "g int, doc_id long, tokens binary, held_out boolean"
+
+    def fitted(docs):
+        rows = spark.createDataFrame([(k * 2 // len(docs), k, bytearray(d.tobytes()), False) for k, d in enumerate(docs)], schema).coalesce(1)
+        out = net
+        for turn in range(lm.ROUNDS):
+            out = lm.fitted(rows, out, turn)
+        return out.weights()
+
+    whole = fitted(docs)
+    assert np.array_equal(whole, fitted(docs)) and not np.array_equal(whole, net.weights())
+    for k in (0, 949, 1501, 1898, 1899):  # far over 1,500, the former bound
+        assert not np.array_equal(whole, fitted([*docs[:k], (docs[k] + 1) % 64, *docs[k + 1 :]])), k
+
+
+@pytest.mark.parametrize("n", [5, 33, 1000, 2 * lm.UPDATES * lm.WINDOW + 41])
+def test_every_token_is_a_target_once_at_every_size(n, monkeypatch):
+    net = lm.Network(np.arange(64, 0, -1), np.ones(lm.BINS), hidden=4)
+    seen, window = collections.Counter(), net._window
+
+    def count(h, x, t, start):
+        seen.update(t[t >= 0].tolist())
+        return window(h, x, t, start)
+
+    monkeypatch.setattr(net, "_window", count)
+    tokens = np.random.default_rng(n).integers(0, 64, n)
+    net.train([tokens[: n // 3], tokens[n // 3 :]])
+    assert seen == collections.Counter(tokens.tolist())
+
+
 def test_scores_of_nothing(none):
     assert lm.score(none).collect() == []
 
