@@ -1,10 +1,12 @@
 """Benchmark decontamination by the q-gram lemma (op 10).
 
-A benchmark piece (a whole item up to PIECE bytes, else overlapping windows of it) of length L leaks into a document
+A benchmark piece (a whole item up to PIECE bytes, else any window of PIECE bytes of it) of length L leaks into a document
 if some region of the document is within k = L // 10 edits of it, both lower-cased (A-Z) and with every white space
 byte as a blank. By the q-gram lemma such a region shares at least L - q + 1 - k * q of the piece's q-grams, all on
 diagonals that differ by at most k. Shared q-grams are therefore counted in overlapping diagonal bands of twice
-the step k + 1; bands that reach the bound are verified by a banded alignment.
+the step k + 1; bands that reach the bound are verified by a banded alignment. Of the windows of an item every
+STRIDE-th is indexed, with the bound lowered by the q-grams in which the windows up to STRIDE // 2 away may differ
+from it; what reaches that bound is aligned with the bytes those windows share and then with each of them.
 
 Pieces too short for the bound get the largest k that keeps it positive; items under q bytes and null items are
 never matched. Null and empty texts hold nothing. An item counts once for a document however often it occurs;
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from .textcore import LOWER, bounded_batches, chunks_of, text_rows, texts_of
 
 Q = 8
-PIECE = 256
+PIECE, STRIDE = 256, 16
 EDITS = 0.1
 BLOCK_BYTES = 8 << 20
 _TABLE_BITS = 22
@@ -36,11 +38,9 @@ def normal(text: bytes) -> np.ndarray:
     return _NORMAL[np.frombuffer(text, np.uint8)]
 
 
-def pieces_of(text: bytes) -> list[bytes]:
-    if len(text) <= PIECE:
-        return [text]
-    starts = [*range(0, len(text) - PIECE, PIECE // 2), len(text) - PIECE]
-    return [text[s : s + PIECE] for s in starts]
+def starts_of(text: bytes) -> list[int]:
+    """Starts of the indexed pieces."""
+    return [*range(0, len(text) - PIECE, STRIDE), max(len(text) - PIECE, 0)]
 
 
 def grams(buf: np.ndarray) -> np.ndarray:
@@ -74,17 +74,20 @@ class Index:
     """Postings of the q-grams of all pieces."""
 
     def __init__(self, items: list[tuple[int, bytes]]):
-        self.item, self.piece = [], []
+        self.item, self.piece, self.whole, self.start = [], [], [], []
         for number, text in items:
-            whole = normal(text).tobytes()
-            for p in pieces_of(whole):
-                if len(p) >= Q:
+            whole = normal(text)
+            if len(whole) >= Q:
+                for s in starts_of(whole):
                     self.item.append(number)
-                    self.piece.append(np.frombuffer(p, np.uint8))
+                    self.piece.append(whole[s : s + PIECE])
+                    self.whole.append(whole)
+                    self.start.append(s)
         lens = np.array([len(p) for p in self.piece], np.int64)
         self.lens = lens
         self.edits = np.minimum((lens * EDITS).astype(np.int64), np.maximum((lens - Q) // Q, 0))
-        self.bound = lens - Q + 1 - self.edits * Q
+        self.slack = np.array([STRIDE // 2 if len(w) > PIECE else 0 for w in self.whole], np.int64)
+        self.bound = lens - Q + 1 - self.edits * Q - self.slack
         own = [grams(p) for p in self.piece]
         g = np.concatenate(own) if own else np.zeros(0, np.uint64)
         which = np.repeat(np.arange(len(own)), [len(x) for x in own]) if own else np.zeros(0, np.int64)
@@ -122,9 +125,27 @@ class Index:
         for p, b in out:
             s = int(self.edits[p]) + 1
             first = b * s - PIECE
-            regions.append((p, first - s, first + 2 * s + int(self.lens[p]) + s))
+            more = int(self.slack[p])
+            regions.append((p, first - s - more, first + 2 * s + int(self.lens[p]) + s + more))
         return regions
 
+    def least(self, piece: int, region: np.ndarray, most: int) -> int:
+        """Least edits between the region and the piece or a window up to STRIDE // 2 away, or most + 1."""
+        whole, more = self.whole[piece], int(self.slack[piece])
+        a, z = max(self.start[piece] - more, 0), min(self.start[piece] + more, len(whole) - int(self.lens[piece]))
+        windows = [whole[s : s + self.lens[piece]] for s in range(a, z + 1)]
+        text = region.tobytes()
+        if any(w.tobytes() in text for w in windows):
+            return 0
+        # no window has fewer edits than the part that all share
+        if more and alignment(whole[z : a + self.lens[piece]], region, most) > most:
+            return most + 1
+        best = most + 1
+        for w in windows:
+            if best:
+                best = min(best, alignment(w, region, best - 1))
+        return best
+
     def leaks(self, texts: list[bytes]) -> list[list[tuple[int, int]]]:
         """For each text the items found in it with their least edits, by item."""
         out: list[list[tuple[int, int]]] = [[] for _ in texts]
@@ -144,10 +165,10 @@ class Index:
                     item, most = self.item[piece], int(self.edits[piece])
                     if z - a < self.lens[piece] - most or best.get((doc, item), most + 1) == 0:
                         continue
-                    own = self.piece[piece]
-                    d = 0 if own.tobytes() in buf[a:z].tobytes() else alignment(own, buf[a:z], most)
+                    most = min(most, best.get((doc, item), most + 1) - 1)
+                    d = self.least(piece, buf[a:z], most)
                     if d <= most:
-                        best[doc, item] = min(d, best.get((doc, item), d))
+                        best[doc, item] = d
             for (doc, item), d in sorted(best.items()):
                 out[lo + doc].append((item, d))
         return out
@@ -156,7 +177,9 @@ class Index:
 def blocks(benchmark: DataFrame):
     """The items in blocks of bounded size; each is collected by itself."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
+    # a byte of an item over PIECE is in PIECE // STRIDE pieces
+    times = F.when(F.octet_length("text") > PIECE, PIECE // STRIDE).otherwise(2)
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text") * times / 2 + 64), F.lit(0))).first()[0]
     n = max(1, math.ceil(2 * total / BLOCK_BYTES)) if total > BLOCK_BYTES else 1
     for k in range(n):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items

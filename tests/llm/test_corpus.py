@@ -365,6 +365,19 @@ def test_blocks_of_a_large_benchmark(spark, make, monkeypatch):
     assert decontamination.clean(make(rows), bench(spark, items)).count() == 1
 
 
+def test_any_window_of_a_long_item_is_found():
+    r = random.Random(9)
+    item = bytes(r.choice(b"abcdefghijklmnopqrstuvwxyz ") for _ in range(394))
+    index = decontamination.Index([(1, item)])
+    around = bytes(r.choice(b"ABCDEFGHIJ ") for _ in range(300))
+    edited = bytearray(item[60:350])
+    edited[20::13] = b"#" * len(edited[20::13])
+    for quote, edits in ((item[60:350], 0), *((item[s : s + 256], 0) for s in (1, 7, 61, 72, 100, 137)), (bytes(edited), 19)):
+        got = index.leaks([around + quote + around])[0]
+        assert [i for i, _ in got] == [1] and got[0][1] <= edits, (len(quote), edits, got)
+    assert index.leaks([around + item[60:280] + around]) == [[]]
+
+
 def test_decontamination_of_nothing(spark, edges, none):
     assert decontamination.find(none, bench(spark, [(1, "some item text of the benchmark")])).collect() == []
     assert decontamination.find(edges, bench(spark, [])).where("contaminated").count() == 0
