@@ -9,8 +9,8 @@ p(w | h) = p(class | h) * p(w | class, h). The HEAD most frequent tokens stand i
 their own; every other token is in the class of its count's power of two, inside which it has its add-one share of
 the class, and an unseen token is the class of its own, so the probabilities of a text are proper. Class sizes and
 shares come from the counts of the whole corpus. The weights are fitted in numpy by truncated backpropagation
-through time in one pass over all training documents, whatever the size of the input: in each of ROUNDS rounds every group
-of documents goes over the next share of its own from the common weights, and the groups' weights are averaged by
+through time on all training documents, in ROUNDS passes whatever the size of the input: in each of them every group
+of documents goes once over all of its own from the common weights, and the groups' weights are averaged by
 their tokens. Texts are turned to classes once and kept as such for the rounds and the scoring. Scoring covers every row
 and whole texts: long texts run in windows with the state carried from one to the next.
 
@@ -32,7 +32,7 @@ from .textcore import checkpointed, chunks_of, crc_mod, emit, gathered, partitio
 
 HEAD, WIDTH, BINS = 1024, 32, 40
 HIDDEN, WINDOW, STREAMS = 16, 32, 256
-#: Shares of the one pass over all training documents, and updates of a group in a round before it takes more streams.
+#: Passes over all training documents, and updates of a group in a round before it takes more streams.
 ROUNDS, UPDATES, RATE = 2, 200, 0.01
 #: Pieces in which weights are averaged.
 PARTS = 32
@@ -296,13 +296,13 @@ def corpus_counts(d: DataFrame, n: int) -> DataFrame:
 
 
 def fitted(rows: DataFrame, network: Network, turn: int) -> Network:
-    """The network after round `turn`: each group's pass over that share of its training documents, averaged by tokens."""
+    """The network after round `turn`: each group's pass over all its training documents, averaged by tokens."""
 
     def passes(batches):
         def one(g, own):
             net = copy.deepcopy(network)
             # in an order of their own, as rows come in any
-            docs = [np.frombuffer(t, np.uint16) for _, _, t in sorted(own)[turn::ROUNDS]]
+            docs = [np.frombuffer(t, np.uint16) for _, _, t in sorted(own)]
             net.train(docs, RATE / (1 + turn))
             tokens = sum(map(len, docs))
             parts = [x.tobytes() for x in np.array_split(net.weights(), PARTS)]
