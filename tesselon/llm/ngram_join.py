@@ -7,22 +7,29 @@ Documents are sets of word shingles; two link when 100 * |intersection| >= 75 *
    the buckets send the frequencies back. A document whose shared shingles (frequency over 1) are fewer than
    75 % of its set has no partner and stops here.
 3. Of the others, the rarest shared shingles (prefix filter: any linked pair shares one) are grouped; connected
-   groups are coarse clusters that hold every linked pair. A cluster within BLOCK_BYTES is one block; a larger one
-   is cut by hash into blocks and every pair of its blocks is compared, so no task gets an unbounded group.
-4. Inside a block a T-occurrence search over inverted lists finds the links (DivideSkip: the short lists are
-   merged by counting, the long ones probed by binary search for the documents still able to reach T).
+   groups are coarse clusters that hold every linked pair. Clusters within BLOCK_BYTES are searched whole. A larger
+   one is cut by hash into blocks, and every block is searched with a few documents of the cluster, the hubs, added.
+   What that does not connect with the cluster's largest component then goes to all of its blocks. So each pair of a
+   cluster is compared, or connected already; the members of a large group of near copies do not meet in one task,
+   and the work on it grows with its size. (A cluster of many unconnected documents costs documents times blocks.)
+4. A T-occurrence search over inverted lists finds the links: DivideSkip sets the longest lists aside by its cost
+   rule, merges the short ones by a heap that skips, and probes the long ones by binary search.
 5. Links of all blocks are contracted to components.
 
 Frequencies use 32-bit keys inside a bucket: a collision can only raise a frequency, which keeps a document
 longer, never drops one. Sets are compared by 64-bit shingle hashes.
 
 Null, empty and blank texts have no shingles and link with nothing: their component is their own id. Rows with
-null doc_id take no part (0 shingles, null component). Rows that repeat a doc_id are one node. Other columns are
-ignored.
+null doc_id take no part (0 shingles, null component). Rows that repeat a doc_id are one node: each row has the size of
+its own set, and all that have shingles share the component of every link that one of them has. Ties go to the
+smaller doc_id. A text of any length is one set, held whole by one task. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -35,7 +42,9 @@ from .textcore import (
 
 SHINGLE = 5
 #: Packed shingles of a coarse cluster that one block may hold.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 1 << 20
+#: Documents of a cluster over a block that all of its blocks get.
+HUBS = 4
 _WIRE = np.dtype([("key", "<u4"), ("n", "u1")])
 
 
@@ -76,7 +85,8 @@ def sent_classes(docs: DataFrame, n: int) -> DataFrame:
 
 def keyed(docs: DataFrame, n: int) -> DataFrame:
     d = text_rows(docs).where("doc_id IS NOT NULL")
-    return d.select(doc_key(d, n).alias("g"), "doc_id", "text")
+    # a fixed number of partitions: the optimizer would join small ones to large tasks
+    return d.select(doc_key(d, n).alias("g"), "doc_id", "text").repartition(n, "g")
 
 
 def _frequencies(merged: np.ndarray) -> np.ndarray:
@@ -96,10 +106,24 @@ def needed(n: int) -> int:
 
 SETS = "doc_id long, h string, n_shingles long, shared binary, prefix array<long>"
 _SETS_TYPE = pa.schema([("doc_id", pa.int64()), ("h", pa.string()), ("n_shingles", pa.int64()), ("shared", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+#: n_shingles of the rows that only name a class which a repeated doc_id has.
+_NAMED = -1
+
+
+def repeated(left: pa.Table) -> list[tuple[int, str]]:
+    """(doc_id, md5) of the different texts of doc_ids that have more than one."""
+    held: dict[int, set[str]] = {}
+    ids = left.column("doc_id").to_pylist()
+    if len(set(ids)) == len(ids):
+        return []
+    for i, t in zip(ids, texts_of(left.column("text"))):
+        held.setdefault(i, set()).add(md5_hex(t))
+    return sorted((i, h) for i, own in held.items() if len(own) > 1 for h in own)
 
 
 def prepared(docs: DataFrame) -> DataFrame:
-    """One row per class: its set size and, if it may have partners, its shared shingles and rarest ones."""
+    """One row per class: its set size and, if it may have partners, its shared shingles and rarest ones. Of a doc_id
+    with several texts also a row for each of them, without a set."""
     n = partitions(docs)
     d, classes = keyed(docs, n), sent_classes(docs, n)
 
@@ -132,54 +156,101 @@ def prepared(docs: DataFrame) -> DataFrame:
             rare = few[np.lexsort((few, of))][: len(own) - least + 1 - int((~common).sum())]
             shared.append(few.tobytes())
             prefixes.append(rare.astype(np.int64).tolist())
-        return pa.table([pa.array(x, t) for x, t in zip((ids, hs, [len(s) for s in sets], shared, prefixes), _SETS_TYPE.types)], schema=_SETS_TYPE)
+        more = repeated(left)
+        none = [None] * len(more)
+        columns = (ids + [i for i, _ in more], hs + [h for _, h in more], [len(s) for s in sets] + [_NAMED] * len(more), shared + none, prefixes + none)
+        return pa.table([pa.array(x, t) for x, t in zip(columns, _SETS_TYPE.types)], schema=_SETS_TYPE)
 
     sent = d.groupBy("g").cogroup(classes.groupBy("g")).applyInArrow(trimmed(send), EMIT)
-    back = sent.groupBy("b").applyInArrow(trimmed(answer), REPLY)
+    back = sent.repartition(n, "b").groupBy("b").applyInArrow(trimmed(answer), REPLY)
     return d.groupBy("g").cogroup(back.unionByName(classes).groupBy("g")).applyInArrow(trimmed(finish), SETS)
 
 
 # --- T-occurrence search -----------------------------------------------------------------------------------
+def heap_merge(lists: list[list[int]], least: int) -> list[tuple[int, int]]:
+    """(document, number of lists) of the documents in at least `least` of some sorted lists, in order.
+
+    A heap holds the front of each list. Where fewer lists than needed show the smallest document, as many more are
+    taken off as could not make it up, and all of them skip to the document now smallest.
+    """
+    at = [0] * len(lists)
+    heap = [(x[0], k) for k, x in enumerate(lists) if x]
+    heapq.heapify(heap)
+    out = []
+    while len(heap) >= least:
+        doc = heap[0][0]
+        met = []
+        while heap and heap[0][0] == doc:
+            met.append(heapq.heappop(heap)[1])
+        if len(met) >= least:
+            out.append((doc, len(met)))
+            to = doc + 1
+        else:
+            while heap and len(met) < least - 1:
+                met.append(heapq.heappop(heap)[1])
+            if not heap:
+                break
+            to = heap[0][0]
+        for k in met:
+            x = lists[k]
+            at[k] = bisect.bisect_left(x, to, at[k])
+            if at[k] < len(x):
+                heapq.heappush(heap, (x[at[k]], k))
+    return out
+
+
 def slices(postings: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The given runs of postings, joined."""
     base = np.repeat(start - np.concatenate([[0], np.cumsum(length)[:-1]]), length)
     return postings[base + np.arange(int(length.sum()))] if len(length) else postings[:0]
 
 
-def divide_skip(postings, start, length, least: int, lowest: int, most: int, weight: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
-    """Documents in lowest .. most - 1 that are in at least `least` of the lists, and their number of lists.
+#: Cost of a probe against a step of the merge, in the rule that sets lists aside.
+PROBE = 0.01
+
+
+def divide_skip(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents in at least `least` of some sorted lists, and their number of lists (DivideSkip).
 
-    The longest lists, at most least - 1, are set aside; a document must then be in least - (set aside) of the
-    short ones. Counting the merged short lists gives those documents, and each long list is probed for them.
+    least / (PROBE * log2(longest) + 1) of the longest lists, at most least - 1, are set aside. A document must then be in
+    least - (set aside) of the short ones, which are merged by a heap; the long ones are probed for what that gives.
     """
+    none = np.zeros(0, np.int64)
+    if len(lists) < least or not lists:
+        return none, none
+    length = np.array([len(x) for x in lists])
     order = np.argsort(length, kind="stable")
-    longest = int(length[order[-1]]) if len(order) else 0
-    aside = min(int(least / (weight * np.log2(longest + 1) + 1)), max(least - 1, 0), len(order)) if longest > 64 else 0
-    short, long = order[: len(order) - aside], order[len(order) - aside :]
-    merged = slices(postings, start[short], length[short])
-    merged = merged[merged >= lowest] - lowest
-    count = np.bincount(merged, minlength=max(most - lowest, 0))
-    found = np.flatnonzero(count >= max(least - aside, 1))
-    count = count[found]
-    found = found + lowest
-    for k, i in enumerate(long[::-1].tolist()):
-        if not len(found):
-            break
-        own = postings[start[i] : start[i] + length[i]]
-        at = np.minimum(np.searchsorted(own, found), len(own) - 1)
-        count = count + (own[at] == found)
-        able = count + (aside - k - 1) >= least
-        found, count = found[able], count[able]
-    return found, count
-
-
-def linked(ids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """A spanning forest of the links between some documents: pairs of ids."""
+    aside = min(int(least / (PROBE * np.log2(max(length.max(), 1)) + 1)), least - 1)
+    short, long = order[: len(order) - aside].tolist(), order[len(order) - aside :].tolist()
+    got = heap_merge([lists[k].tolist() for k in short], least - aside)
+    if not got:
+        return none, none
+    found, count = np.array(got, np.int64).T
+    if long:
+        # all lists as one sorted array of (list, document): a probe of every long list is one binary search
+        width = int(max(found[-1], max(int(lists[k][-1]) for k in long if len(lists[k]))) + 1) if any(len(lists[k]) for k in long) else 1
+        keys = np.concatenate([lists[k] + i * width for i, k in enumerate(long)])
+        asked = (np.arange(len(long)) * width)[:, None] + found[None, :]
+        at = np.minimum(np.searchsorted(keys, asked.ravel()), max(len(keys) - 1, 0))
+        if len(keys):
+            count = count + (keys[at] == asked.ravel()).reshape(asked.shape).sum(0)
+    good = count >= least
+    return found[good], count[good]
+
+
+def linked(ids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links between some documents, as pairs of ids.
+
+    Documents with the same label are connected already. Each document is searched against the ones before it, in
+    order of size; those connected with it are left out of its lists, as no link to them could connect anything.
+    """
     order = np.lexsort((ids, sizes))
     ids, sizes, sets = ids[order], sizes[order], [sets[i] for i in order]
     lens = np.array([len(s) for s in sets], np.int64)
     if len(ids) < 2:
         return []
+    part = np.arange(len(ids)) if label is None else np.unique(label[order], return_inverse=True)[1]
+    part = part.copy()
     tokens, token = np.unique(np.concatenate(sets), return_inverse=True)
     doc = np.repeat(np.arange(len(sets)), lens)
     by = np.lexsort((doc, token))
@@ -187,29 +258,35 @@ def linked(ids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray]) -> list[t
     start = np.searchsorted(token[by], np.arange(len(tokens)))
     filled = np.zeros(len(tokens), np.int64)
     own_at = np.concatenate([[0], np.cumsum(lens)])
-    root = list(range(len(ids)))
+    out = []
 
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
+    def join(q: int, c: int) -> None:
+        if part[q] != part[c]:
+            out.append((int(ids[q]), int(ids[c])))
+            part[part == part[q]] = part[c]
 
-    out = []
     for q in range(len(ids)):
         own = token[own_at[q] : own_at[q + 1]]
         n = int(sizes[q])
-        lowest = int(np.searchsorted(sizes, needed(n)))
-        length = filled[own]
-        held = own[length > 0]
-        if lowest < q and len(held) >= needed(n):
-            found, count = divide_skip(postings, start[held], filled[held], needed(n), lowest, q)
-            good = found[7 * count >= 3 * (n + sizes[found])]
-            for c in good.tolist():
-                a, b = find(q), find(c)
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-                    out.append((int(ids[q]), int(ids[c])))
+        lowest, least = int(np.searchsorted(sizes, needed(n))), needed(n)
+        held = own[filled[own] > 0]
+        if lowest < q and len(held) >= least:
+            # the last document of the shortest list is likely to link, which settles all that are connected with it
+            last = postings[start[held] + filled[held] - 1]
+            guess = int(last[np.argmin(filled[held])])
+            if guess >= lowest and part[guess] != part[q]:
+                common = len(np.intersect1d(sets[q], sets[guess], assume_unique=True))
+                if 7 * common >= 3 * (n + int(sizes[guess])):
+                    join(q, guess)
+            merged = slices(postings, start[held], filled[held])
+            of = np.repeat(np.arange(len(held)), filled[held])
+            open_ = (merged >= lowest) & (part[merged] != part[q])
+            merged, of = merged[open_], of[open_]
+            cut = np.flatnonzero(of[1:] != of[:-1]) + 1
+            lists = np.split(merged, cut) if len(merged) else []
+            found, count = divide_skip(lists, least)
+            for c in found[7 * count >= 3 * (n + sizes[found])].tolist():
+                join(q, c)
         filled[own] += 1
     return out
 
@@ -217,48 +294,88 @@ def linked(ids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray]) -> list[t
 _EDGE_TYPE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
+def _search(table: pa.Table) -> pa.Table:
+    sets = [np.frombuffer(x, np.uint64) for x in table.column("shared").to_pylist()]
+    label = table.column("part").to_numpy() if "part" in table.column_names else None
+    got = linked(table.column("doc_id").to_numpy(), table.column("n_shingles").to_numpy(), sets, label)
+    return pa.table([pa.array([e[k] for e in got], pa.int64()) for k in (0, 1)], schema=_EDGE_TYPE)
+
+
+def searched(rows: DataFrame) -> DataFrame:
+    """Edges of the links inside each key's rows (key, doc_id, n_shingles, shared and perhaps part)."""
+    return rows.groupBy("key").applyInArrow(trimmed(lambda table: _search(table)), "u long, v long")
+
+
 def links(sets: DataFrame) -> DataFrame:
     """Edges (u, v) whose components are those of all links between the rows of `prepared`."""
-    n = max(1, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     able = sets.where("shared IS NOT NULL")
     rare = able.select("doc_id", F.explode("prefix").alias("token"))
     first = rare.groupBy("token").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("most")).where("m < most").select("token", "m")
     coarse = components(rare.join(first, "token").where("doc_id <> m").select(F.col("doc_id").alias("u"), F.col("m").alias("v")).distinct())
-    own = able.select("doc_id", "n_shingles", "shared").join(coarse.withColumnRenamed("node", "doc_id"), "doc_id")
-    size = own.groupBy("label").agg(F.ceil(F.sum(F.octet_length("shared")) / F.lit(BLOCK_BYTES)).cast("int").alias("blocks"))
-    own = own.join(size, "label").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    single = F.pmod(F.xxhash64("label"), F.lit(4 * n))
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.xxhash64("label", F.least("block", j), F.greatest("block", j)))
-    own = own.select("doc_id", "n_shingles", "shared", F.explode(F.when(F.col("blocks") <= 1, F.array(single)).otherwise(pair)).alias("key"))
-
-    def search(table):
-        sets_ = [np.frombuffer(x, np.uint64) for x in table.column("shared").to_pylist()]
-        got = linked(table.column("doc_id").to_numpy(), table.column("n_shingles").to_numpy(), sets_)
-        return pa.table([pa.array([e[k] for e in got], pa.int64()) for k in (0, 1)], schema=_EDGE_TYPE)
-
-    return own.groupBy("key").applyInArrow(trimmed(search), "u long, v long")
-
-
-def groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs."""
+    coarse = coarse.select(F.col("node").alias("doc_id"), "label")
+    able = able.select("doc_id", "n_shingles", "shared")
+    size = able.select("doc_id", F.octet_length("shared").alias("bytes")).join(coarse, "doc_id").groupBy("label").agg(F.sum("bytes").alias("bytes"))
+    size = checkpointed(size.select("label", "bytes", F.ceil(F.col("bytes") / F.lit(BLOCK_BYTES)).cast("int").alias("blocks")))
+    total, most = size.agg(F.coalesce(F.sum(F.when(F.col("blocks") <= 1, F.col("bytes"))), F.lit(0)), F.coalesce(F.max("blocks"), F.lit(0))).first()
+    bins = max(1, -(-int(total) // BLOCK_BYTES))
+    large = size.where("blocks > 1").select("label", "blocks")
+    # clusters of one block: several share a key
+    single = able.join(coarse.join(large, "label", "left_anti") if most > 1 else coarse, "doc_id")
+    found = searched(single.select(F.pmod(F.xxhash64("label"), F.lit(bins)).alias("key"), "doc_id", "n_shingles", "shared"))
+    if most <= 1:
+        return found
+
+    def key(block):
+        return F.xxhash64("label", block)
+
+    member = checkpointed(coarse.join(large, "label").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.col("blocks")).cast("int")))
+    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id")
+    hub = member.withColumn("r", F.row_number().over(order)).where(F.col("r") <= HUBS).select("label", "blocks", "doc_id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    placed = member.select("label", "doc_id", "block").union(hub.select("label", "doc_id", "block")).distinct()
+    inner = searched(able.join(placed, "doc_id").select(key(F.col("block")).alias("key"), "doc_id", "n_shingles", "shared"))
+    inner = checkpointed(inner)
+    part = components(inner)
+    member = member.join(part.select(F.col("node").alias("doc_id"), F.col("label").alias("part")), "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
+    counts = member.groupBy("label", "part").agg(F.count("*").alias("n")).groupBy("label").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
+    member = checkpointed(member.join(counts, "label"))
+    away = member.where("part <> main").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("to <> block")
+    # only blocks of clusters that have such documents are searched again
+    home = member.join(member.where("part <> main").select("label").distinct(), "label", "left_semi")
+    rows = home.select("doc_id", "part", key(F.col("block")).alias("key")).union(away.select("doc_id", "part", key(F.col("to")).alias("key")))
+    across = searched(able.join(rows, "doc_id").select("key", "doc_id", "n_shingles", "shared", "part"))
+    return found.union(inner).union(across)
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, h, n_shingles, component_id for every row of docs."""
     sets = checkpointed(prepared(docs))
-    label = components(links(sets))
-    info = sets.select("doc_id", "h", "n_shingles").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    classes = sets.where(F.col("n_shingles") != _NAMED)
+    # a doc_id with several texts is one node: its id links with the class of each text that has shingles
+    same = sets.where(F.col("n_shingles") == _NAMED).select(F.col("doc_id").alias("u"), "h")
+    same = same.join(classes.where("n_shingles > 0").select("h", F.col("doc_id").alias("v")), "h").select("u", "v")
+    label = components(links(classes).union(same))
+    info = classes.select("doc_id", "h", "n_shingles").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     info = info.select("h", "n_shingles", F.coalesce("label", "doc_id").alias("label"))
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("h"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h"))
     d = d.join(info, "h", "left")
     size = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.coalesce("n_shingles", F.lit(0))).cast("long")
-    return d.select("doc_id", size.alias("n_shingles"), F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("label")).otherwise(F.col("doc_id")).alias("component_id"))
+    component = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("label")).otherwise(F.col("doc_id"))
+    return d.select("doc_id", "h", size.alias("n_shingles"), component.alias("component_id"))
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs."""
+    return _grouped(docs).drop("h")
 
 
 def kept(docs: DataFrame) -> DataFrame:
     """docs with one document of each group (its smallest doc_id; of rows that repeat it, the one whose text has the
     smallest md5), all columns. Rows with null doc_id stay."""
-    chosen = groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(chosen, docs["doc_id"] == chosen["_kept"], "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.md5(F.coalesce("text", F.lit(""))))
+    chosen = _grouped(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept"), F.col("h").alias("_h")).distinct()
+    h = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    out = docs.join(chosen, (docs["doc_id"] == chosen["_kept"]) & (h == chosen["_h"]), "left_semi")
     row = free_name(docs, "row")
-    out = out.withColumn(row, F.row_number().over(order)).where(F.col(row) == 1).drop(row)
+    out = out.withColumn(row, F.row_number().over(Window.partitionBy("doc_id").orderBy(h))).where(F.col(row) == 1).drop(row)
     return out.unionByName(docs.where("doc_id IS NULL"))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import hashlib
+import re
 import tempfile
 
 import numpy as np
@@ -80,9 +81,15 @@ def text_rows(docs: DataFrame) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of spark.checkpoint.dir; set one only where the session names none (tests)."""
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tesselon-checkpoint-"))
+    """Use the shared folder of spark.checkpoint.dir. Where the session names none, a local session (tests) gets a
+    folder of its own; a cluster is refused, as its executors would not see such a folder."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not re.match(r"local($|\[)", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tesselon-checkpoint-"))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -91,16 +98,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: Bytes of the input that a group of documents may stand for.
-GROUP_BYTES = 12 << 20
+#: Bytes of text in a group of documents, uncompressed, so that what a task holds does not depend on the file format.
+GROUP_BYTES = 4 << 20
 
 
 def partitions(docs: DataFrame) -> int:
-    """Number of document groups and of hash-range buckets: the shuffle partitions, or more where the optimizer's
-    size of the input gives groups over GROUP_BYTES. Only the plan's statistics are read."""
-    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return n if size > 1 << 60 else max(n, -(-size // GROUP_BYTES))  # larger: unknown to the optimizer
+    """Number of document groups and of hash-range buckets: one for every GROUP_BYTES of text, whatever the session's
+    shuffle partitions. The bytes are summed in a pass over the text column."""
+    size = docs.agg(F.sum(F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)) + 16)).first()[0]
+    return max(1, -(-int(size or 0) // GROUP_BYTES))
 
 
 def doc_key(df: DataFrame, n: int):
@@ -274,11 +280,12 @@ def md5_hex(text: bytes) -> str:
 
 
 # --- components --------------------------------------------------------------------------------------------
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (u, v): rows (node, label) with label the smallest node reachable.
 
     Alternates large-star and small-star contraction. Both group by node with partial aggregation, so a node
-    with very many neighbours is a sum of partial minima; each round is written to the checkpoint folder.
+    with very many neighbours is a sum of partial minima; each round is written to the checkpoint folder. Rounds go on
+    to the fixed point (each contracts, so their number grows with the logarithm of the longest path).
     """
     def minimum(e):
         return e.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -286,7 +293,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     e = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v")
     e = checkpointed(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     previous = None
-    for _ in range(most_rounds):
+    while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(minimum(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
@@ -297,8 +304,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if state == previous:
             break
         previous = state
-    else:
-        raise RuntimeError(f"components: no fixed point after {most_rounds} rounds")
     nodes = e.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label")
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("label"))
     return nodes.union(roots.join(nodes, "node", "left_anti"))

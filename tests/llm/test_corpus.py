@@ -92,41 +92,82 @@ def test_suffix_dedup_of_nothing(none):
 
 # --- n-gram join -------------------------------------------------------------------------------------------
 def brute_groups(rows):
-    sets = {}
+    """Row by row (doc_id, set size, component): rows of one doc_id are a node, empty ones link with nothing."""
+    own = []
     for i, t in rows:
-        if i is not None:
-            w = WORDS.findall((t or "").encode().lower())
-            sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
-    root = {i: i for i in sets}
+        w = WORDS.findall((t or "").encode().lower())
+        own.append((i, frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w and i is not None else frozenset()))
+    root = {i: i for i, _ in own}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a in sets:
-        for b in sets:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
-    return {i: (len(s), find(i)) for i, s in sets.items()}
+    nodes = sorted({(i, s) for i, s in own if s}, key=lambda x: x[0])
+    for k, (a, x) in enumerate(nodes):
+        for b, y in nodes[:k]:
+            if 100 * len(x & y) >= 75 * len(x | y):
+                u, v = sorted((find(a), find(b)))
+                root[v] = u
+    return sorted(((i, len(s), find(i) if s else i) for i, s in own), key=repr)
+
+
+def repeated_rows():
+    """Rows that repeat a doc_id with copies, near copies and other texts; (5, A), (5, B) link 3 with 7."""
+    words = vocabulary()
+    a, b = " ".join(words[:40]), " ".join(words[50:90])
+    near = " ".join([*words[50:89], "other"])
+    return [(3, a), (5, a), (5, b), (7, near), (7, near), (8, ""), (8, b), (9, "alone with few"), (9, None), (2, "two words"), (2, "three words here")]
 
 
-@pytest.mark.parametrize("block", [ngram_join.BLOCK_BYTES, 400])
+@pytest.mark.parametrize("block", [ngram_join.BLOCK_BYTES, 4000, 400])
 def test_groups_match_brute_force(make, block, monkeypatch):
-    """Also with blocks so small that clusters are cut into pairs of blocks."""
+    """Also with blocks so small that clusters are cut and searched across."""
     monkeypatch.setattr(ngram_join, "BLOCK_BYTES", block)
-    rows = corpus()
-    got = ngram_join.groups(make(rows)).collect()
-    assert len(got) == len(rows)
+    rows = corpus() + [(10_000 + i, t) for i, t in repeated_rows()]
+    got = sorted(map(tuple, ngram_join.groups(make(rows)).collect()), key=repr)
     expected = brute_groups(rows)
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == expected
-    assert sum(1 for i, (_, c) in expected.items() if c != i) > 20
+    assert got == expected
+    assert sum(1 for i, _, c in expected if c != i) > 20
+
+
+def test_repeated_ids_are_one_node(make):
+    got = sorted(map(tuple, ngram_join.groups(make(repeated_rows())).collect()))
+    assert got == brute_groups(repeated_rows())
+    assert {c for i, n, c in got if i in (3, 5, 7) or (i, n) == (8, 36)} == {3}
+    kept = sorted((r.doc_id, r.text or "") for r in ngram_join.kept(make(repeated_rows())).collect())
+    assert [i for i, _ in kept] == [2, 3, 8, 9] and (8, "") in kept
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_search_over_labelled_parts(seed):
+    """The forest connects what all links connect, also where some documents are connected beforehand."""
+    r = np.random.default_rng(seed)
+    base = [np.unique(r.integers(0, 2**63, 60, dtype=np.uint64)) for _ in range(6)]
+    sets = []
+    for k in range(120):
+        own = base[k % 6]
+        sets.append(np.unique(np.concatenate([r.permutation(own)[: len(own) - r.integers(0, 14)], r.integers(0, 2**63, r.integers(0, 9), dtype=np.uint64)])))
+    ids, sizes = np.arange(120), np.array([len(s) for s in sets])
+    label = np.array([k if k % 5 else k % 6 for k in range(120)])
+    links = [(a, b) for a in range(120) for b in range(a) if 7 * len(np.intersect1d(sets[a], sets[b])) >= 3 * (sizes[a] + sizes[b])]
+
+    def parts(pairs):
+        root = list(range(120))
+        for a, b in pairs:
+            x, y = root[a], root[b]
+            root = [min(x, y) if z in (x, y) else z for z in root]
+        return root
+
+    assert parts(ngram_join.linked(ids, sizes, sets)) == parts(links)
+    given = [(a, int(np.flatnonzero(label == label[a])[0])) for a in range(120)]
+    assert parts([*ngram_join.linked(ids, sizes, sets, label), *given]) == parts([*links, *given])
 
 
 def test_one_of_each_group_is_kept(make):
     rows = corpus()
-    expected = {i for i, (_, c) in brute_groups(rows).items() if c == i}
+    expected = {i for i, _, c in brute_groups(rows) if c == i and i is not None}
     got = [r.doc_id for r in ngram_join.kept(make(rows)).collect()]
     assert sorted(x for x in got if x is not None) == sorted(expected) and got.count(None) == 1
 
@@ -139,10 +180,11 @@ def test_divide_skip_counts_like_a_heap():
         lists = [sorted(r.sample(range(300), r.randint(1, 200))) for _ in range(r.randint(1, 12))]
         least = r.randint(1, len(lists))
         merged = collections.Counter(heapq.merge(*lists))
-        postings = np.concatenate([np.array(x) for x in lists])
-        length = np.array([len(x) for x in lists])
-        found, count = ngram_join.divide_skip(postings, np.cumsum(length) - length, length, least, 20, 300)
-        assert dict(zip(found.tolist(), count.tolist())) == {d: c for d, c in merged.items() if c >= least and d >= 20}
+        expected = {d: c for d, c in merged.items() if c >= least}
+        found, count = ngram_join.divide_skip([np.array(x) for x in lists], least)
+        assert dict(zip(found.tolist(), count.tolist())) == expected
+        assert dict(ngram_join.heap_merge(lists, least)) == expected
+    assert ngram_join.divide_skip([np.array([1])], 2)[0].tolist() == [] == ngram_join.heap_merge([[1], [2]], 2)
 
 
 def test_groups_of_nothing(none):
