@@ -60,8 +60,8 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
 def class_rows(right: pa.Table) -> tuple[set, pa.Table]:
     """Ids of class representatives sent along (b = -1), and the other rows."""
     b = right.column("b").to_numpy()
-    mine = {x.decode() for x in right.filter(pa.array(b < 0)).column("payload").to_pylist()}
-    return mine, right.filter(pa.array(b >= 0))
+    mine = {x.decode() for x in right.filter(pa.array(b == -1)).column("payload").to_pylist()}
+    return mine, right.filter(pa.array(b != -1))
 
 
 def representatives(left: pa.Table, mine: set) -> tuple[list[int], list[str], list[bytes]]:

@@ -1,7 +1,9 @@
 """Suffix arrays by induced sorting, and permuted common prefixes.
 
-The first level has the byte alphabet: its induction runs bucket by bucket on whole numpy arrays. Reduced strings
-have as many symbols as distinct leftmost-smaller substrings; their induction is a plain linear scan.
+A first induction from the leftmost-smaller places sorts the substrings between them; their names make a reduced
+string, whose suffix array, found the same way, gives the order from which a second induction sorts all suffixes.
+The first level has the byte alphabet: its inductions run bucket by bucket on whole numpy arrays. Reduced strings
+have as many symbols as distinct leftmost-smaller substrings; their inductions are plain linear scans.
 """
 
 from __future__ import annotations
@@ -124,45 +126,40 @@ def _induce_scan(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, size: np.n
     return np.array(sa, np.int32)
 
 
-def substring_names(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, k: int) -> tuple[np.ndarray, int]:
+def different(s: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether s[a : a + length] and s[b : b + length] differ, for arrays of places and lengths."""
+    out = np.zeros(len(a), bool)
+    live, t, width = np.flatnonzero(length > 0), 0, 8
+    while len(live):
+        step = np.arange(t, t + width)
+        inside = step < length[live][:, None]
+        x, y = (s[np.minimum(p[live][:, None] + step, len(s) - 1)] for p in (a, b))
+        no = ((x != y) & inside).any(1)
+        out[live[no]] = True
+        t += width
+        live = live[~no]
+        live = live[length[live] > t]
+        width = max(8, min(2 * width, (1 << 20) // max(len(live), 1)))
+    return out
+
+
+def substring_names(s: np.ndarray, sa: np.ndarray, lms: np.ndarray) -> tuple[np.ndarray, int]:
     """Ranks of the leftmost-smaller substrings in text order, equal for equal ones, and their number.
 
-    A substring runs from one leftmost-smaller place to the next, that one included. With the type beside each
-    symbol none is a proper prefix of another, so they are compared as packed runs of symbols; only groups that are
-    still equal look at their next run.
+    sa is induced from the leftmost-smaller places in text order, which sorts these substrings (each runs to the next
+    such place, that one included). The last one ends with the string and is equal to none.
     """
-    n, m = len(s), len(lms)
-    bits = int(2 * k + 2).bit_length()
-    per = max(1, 62 // bits)
-    end = np.append(lms[1:], n - 1)  # last symbol of each
-
-    def packed(which: np.ndarray, t: int) -> np.ndarray:
-        key = np.zeros(len(which), np.int64)
-        for j in range(t, t + per):
-            at = lms[which] + j
-            inside = at <= end[which]
-            at = np.minimum(at, n - 1)
-            key = key << bits | np.where(inside, 2 * s[at].astype(np.int64) + smaller[at] + 1, 0)
-        return key
-
-    rank = np.zeros(m, np.int64)
-    live, t = np.arange(m), 0
-    while len(live):
-        key = packed(live, t)
-        order = np.lexsort((key, rank[live])) if t else np.argsort(key, kind="stable")
-        r, key = rank[live][order], key[order]
-        at = np.arange(len(live))
-        group = np.concatenate([[True], r[1:] != r[:-1]])
-        part = group.copy()
-        part[1:] |= key[1:] != key[:-1]
-        first = np.maximum.accumulate(np.where(part, at, 0))
-        rank[live[order]] = r + first - np.maximum.accumulate(np.where(group, at, 0))
-        alone = part & np.append(part[1:], True)
-        live = live[order][~alone]
-        t += per
-        live = live[lms[live] + t <= end[live]]
-    used, name = np.unique(rank, return_inverse=True)
-    return name, len(used)
+    place = np.full(len(s), -1, np.int64)
+    place[lms] = np.arange(len(lms))
+    order = place[sa]
+    order = order[order >= 0]
+    length = np.append(np.diff(lms) + 1, 0)[order]
+    a, b = order[:-1], order[1:]
+    new = (length[:-1] != length[1:]) | (length[:-1] == 0)
+    new[~new] = different(s, lms[a[~new]], lms[b[~new]], length[1:][~new])
+    name = np.zeros(len(lms), np.int64)
+    name[order] = np.concatenate([[0], np.cumsum(new)])
+    return name, int(new.sum()) + 1
 
 
 def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
@@ -175,10 +172,12 @@ def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
         return np.argsort(s, kind="stable").astype(np.int32)
     smaller = smaller_types(s)
     lms = leftmost_smaller(smaller)
+    induce = _induce_buckets if k <= SMALL else _induce_scan
     if len(lms) > 1:
-        names, kinds = substring_names(s, smaller, lms, k)
-        lms = lms[suffix_array(names.astype(np.int32), kinds)]
-    return (_induce_buckets if k <= SMALL else _induce_scan)(s, smaller, lms, size)
+        names, kinds = substring_names(s, induce(s, smaller, lms, size), lms)
+        # names that are all different are the order already
+        lms = lms[suffix_array(names.astype(np.int32), kinds) if kinds < len(lms) else np.argsort(names)]
+    return induce(s, smaller, lms, size)
 
 
 def permuted_common_prefixes(s: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:

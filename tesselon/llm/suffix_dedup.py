@@ -8,16 +8,21 @@ Equal strings have to meet in one shard, so shards are made by content:
    equal places. Anchors travel as packed sorted keys to hash-range buckets, which send back how many documents
    hold them; an anchor of one document only is dropped. (32-bit keys in a bucket: a collision keeps an anchor
    that is not needed, it never drops one.)
-3. Each remaining anchor sends its context, the at most 80 bytes that hold all its windows, to the shard of its
-   hash. There equal contexts are one. Where an anchor has several different contexts, they are cut into pieces
-   around the strings of 40 bytes that equal windows must share, equal pieces are one again, and of what is still
-   different the suffix array is induced (leftmost-smaller suffixes, recursively); permuted common prefixes cut it
-   into groups of equal 50-byte windows. The smallest doc_id of a group decides for all its windows.
+3. Each remaining anchor has a context, the at most 80 bytes that hold all its windows. A group of documents sends
+   each different context once, with the smallest doc_id that holds it, to the shard of its anchor's hash; the places
+   of its members stay with the group, so what a very common passage sends grows with the groups that hold it and not
+   with the documents. In the shard equal contexts are one. Where an anchor has several different contexts, they are
+   cut into pieces around the strings of 40 bytes that equal windows must share, equal pieces are one again, and of
+   what is still different the suffix array is induced (suffix.py); permuted common prefixes cut it into groups of
+   equal 50-byte windows. The smallest doc_id of a group decides for all its windows.
 4. Covered ranges go back to the documents, are joined, and cut out of the bytes.
 
+Hashes route strings and tell which ones to compare; contexts and pieces are taken as equal only after their bytes
+were compared. Without that step (merge=False) the suffix arrays decide alone, with the same rows.
+
 Documents are "smaller" by doc_id; rows that repeat a doc_id do not remove each other's bytes. Null text is empty.
-Rows with null doc_id take no part and lose nothing. Texts under 50 bytes lose nothing. Other columns are ignored.
-Within a group of documents and a shard equal contexts are recognized by 64-bit hashes.
+Rows with null doc_id take no part and lose nothing. Texts under 50 bytes lose nothing. A text of any length is held
+whole by one task. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ngram_join import _WIRE, _frequencies, class_rows, keyed, representatives, sent_classes
-from .suffix import permuted_common_prefixes, suffix_array
+from .suffix import different, permuted_common_prefixes, suffix_array
 from .textcore import EMIT, MULTIPLIERS, REPLY, bucket_edges, chunks_of, emit, gathered, md5_hex, mix, partitions, prefix_hash, replies, span_hash, texts_of, trimmed
 
 SPAN = 50
@@ -109,47 +114,82 @@ def _unpacked(cell: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
-#: Of a sender: key, length before the anchor, length, members of each distinct context; bytes; doc_id, number, start of each member.
-_KINDS = ("<u8", "u1", "u1", "<i4", "u1", "<i8", "<i4", "<i4")
+def distinct(key: np.ndarray, before: np.ndarray, start: np.ndarray, length: np.ndarray, buf: np.ndarray, digest: np.ndarray, merge: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each context among the different ones, and a place that holds each of those, ordered by key.
+
+    Contexts are buf[start : start + length] around an anchor that begins `before` bytes into them. Equal digests only
+    tell what to compare: contexts are one if their bytes are equal. Without merge every context is its own.
+    """
+    order = np.lexsort((digest, key))
+    if not len(order):
+        return order, order
+    k, d = key[order], digest[order]
+    new = np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])])
+    model = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    odd = (length[order] != length[model]) | (before[order] != before[model])
+    odd[~odd] = different(buf, start[order][~odd], start[model][~odd], length[order][~odd])
+    new |= odd if merge else True
+    number = np.zeros(len(key), np.int64)
+    group = np.cumsum(new) - 1
+    if odd.any():  # those after an odd one of the same digest still belong to the model
+        group_of_model = np.zeros(len(key), np.int64)
+        group_of_model[order[new]] = group[new]
+        group = np.where(new, group, group_of_model[model])
+    number[order] = group
+    return number, order[new]
+
+
+def digests(buf: np.ndarray, start: np.ndarray, length: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Hashes of contexts that lie in buf in ascending order."""
+    out = np.zeros(len(start), np.uint64)
+    for lo in range(0, len(start), 8192):
+        hi = min(lo + 8192, len(start))
+        first = int(start[lo])
+        h = prefix_hash(buf[first : int((start[lo:hi] + length[lo:hi]).max())])
+        at = start[lo:hi] - first
+        out[lo:hi] = span_hash(h, at, at + length[lo:hi]) + before[lo:hi].astype(np.uint64)
+    return out
+
+
+#: What a group of documents sends to a shard: number of its first context; of each: key, length before the anchor, length, smallest id; bytes.
+_KINDS = ("<i8", "<u8", "u1", "u1", "<i8", "u1")
+#: What it keeps for itself: of the members that hold a context under its smallest id: context, text, start; of the others: text, start, end.
+_OWN = ("<i8", "<i4", "<i4", "<i4", "<i4", "<i4")
 
 
-def contexts(texts: list[bytes], ids: list[int], shared) -> list[np.ndarray]:
-    """The distinct contexts of shared anchors in the order of their keys, with their members."""
+def contexts(texts: list[bytes], ids: list[int], shared, merge: bool = True):
+    """The different contexts of shared anchors in the order of their keys: key, before, length, least id, bytes; and
+    what stays with the group. A member that is not the smallest of its context here loses all of it in any case."""
     text, place, key = all_anchors(texts)
     keep = shared(key)
     text, place, key = text[keep], place[keep], key[keep]
+    order = np.lexsort((place, text))
+    text, place, key = text[order], place[order], key[order]
     lens = np.array([len(t) for t in texts], np.int64)
     before = np.minimum(place, BEFORE)
     length = before + np.minimum(lens[text] - place, SPAN)
-    digest = np.zeros(len(key), np.uint64)
-    for lo, hi in chunks_of(texts):
-        own = np.flatnonzero((text >= lo) & (text < hi))
-        if not len(own):
-            continue
-        buf = np.frombuffer(b"".join(texts[lo:hi]), np.uint8)
-        at = (np.cumsum(lens[lo:hi]) - lens[lo:hi])[text[own] - lo] + place[own] - before[own]
-        digest[own] = span_hash(prefix_hash(buf), at, at + length[own]) + before[own].astype(np.uint64)
-    order = np.lexsort((digest, key))
-    text, place, key, before, length, digest = (x[order] for x in (text, place, key, before, length, digest))
-    new = np.concatenate([[True], (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])]) if len(key) else np.zeros(0, bool)
-    first = np.flatnonzero(new)
-    members = np.diff(np.concatenate([first, [len(key)]]))
     buf = np.frombuffer(b"".join(texts), np.uint8)
-    base = (np.cumsum(lens) - lens)[text] + place - before
-    data = buf[runs(base[first], length[first])]
-    return [key[first], before[first], length[first], members, data, np.array(ids, np.int64)[text], text, place - before]
+    at = (np.cumsum(lens) - lens)[text] + place - before
+    number, one = distinct(key, before, at, length, buf, digests(buf, at, length, before), merge)
+    who = np.array(ids, np.int64)[text]
+    least = np.full(len(one), np.iinfo(np.int64).max)
+    np.minimum.at(least, number, who)
+    first = who == least[number]
+    start = place - before
+    by = np.argsort(number[first], kind="stable")
+    own = [number[first][by], text[first][by], start[first][by], text[~first], start[~first], (start + length)[~first]]
+    return [key[one], before[one], length[one], least, buf[runs(at[one], length[one])]], own
 
 
-def by_shard(g: int, c: list[np.ndarray], shards: int) -> pa.Table:
-    key, before, length, members, data, ids, text, start = c
+def by_shard(g: int, c: list[np.ndarray], own: list[np.ndarray], shards: int) -> pa.Table:
+    """Rows for the shards of the keys, and one (b below -1) that comes back as it is."""
+    key, before, length, least, data = c
     edges = bucket_edges(key, shards)
     byte = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
-    member = np.concatenate([[0], np.cumsum(members, dtype=np.int64)])
-    rows: tuple[list, list, list] = ([], [], [])
+    rows: tuple[list, list, list] = ([-g - 2], [g], [_packed(*(np.asarray(x).astype(k) for x, k in zip(own, _OWN)))])
     for b in np.flatnonzero(np.diff(edges)).tolist():
         i, j = edges[b], edges[b + 1]
-        m, n = member[i], member[j]
-        parts = (key[i:j], before[i:j], length[i:j], members[i:j], data[byte[i] : byte[j]], ids[m:n], text[m:n], start[m:n])
+        parts = ([i], key[i:j], before[i:j], length[i:j], least[i:j], data[byte[i] : byte[j]])
         rows[0].append(b)
         rows[1].append(g)
         rows[2].append(_packed(*(np.asarray(x).astype(k) for x, k in zip(parts, _KINDS))))
@@ -206,7 +246,7 @@ def cut(data, before, length, key) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def earlier_ranges(data, before, length, key, least) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def earlier_ranges(data, before, length, key, least, merge: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context, begin, end) of windows that another context of the same anchor holds under a smaller id."""
     none = np.zeros(0, np.int64)
     if not len(key):
@@ -218,6 +258,14 @@ def earlier_ranges(data, before, length, key, least) -> tuple[np.ndarray, np.nda
     order = np.lexsort((content, group))
     context, lo, hi, group, content = (x[order] for x in (context, lo, hi, group, content))
     starts = np.concatenate([[True], (content[1:] != content[:-1]) | (group[1:] != group[:-1])])
+    # equal hashes are one content only if the bytes agree with those of the piece before
+    same = np.flatnonzero(~starts)
+    size = (hi - lo)[same]
+    odd = size != (hi - lo)[same - 1]
+    odd |= different(data, base[context[same]] + lo[same], base[context[same - 1]] + lo[same - 1], np.where(odd, 0, size))
+    starts[same[odd]] = True
+    if not merge:
+        starts[:] = True
     first = np.flatnonzero(starts)
     number = np.cumsum(starts) - 1
     low = np.minimum.reduceat(least[context], first)
@@ -250,59 +298,69 @@ def earlier_ranges(data, before, length, key, least) -> tuple[np.ndarray, np.nda
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def resolve(table: pa.Table) -> pa.Table:
-    """Of one shard, the ranges that each sender's documents lose: (g, number of the document, start, end)."""
+def resolve(table: pa.Table, merge: bool = True) -> pa.Table:
+    """Of one shard, the ranges that the smallest members of each sender's contexts lose: (context, start, end)."""
+    if table.column("b")[0].as_py() < 0:  # what a group of documents keeps for itself
+        return table.select(["g", "b", "payload"])
     gs = table.column("g").to_pylist()
     parts = [_unpacked(x, *_KINDS) for x in table.column("payload").to_pylist()]
-    key, before, length, members, data, ids, text, start = (np.concatenate(x) for x in zip(*parts))
-    length, members = length.astype(np.int64), members.astype(np.int64)
-    sender = np.repeat(np.arange(len(gs)), [len(p[5]) for p in parts])
+    key, before, length, ids, data = (np.concatenate(x) for x in list(zip(*parts))[1:])
+    before, length = before.astype(np.int64), length.astype(np.int64)
+    count = [len(p[1]) for p in parts]
+    sender = np.repeat(np.arange(len(gs)), count)
+    mine = np.concatenate([p[0][0] + np.arange(k) for p, k in zip(parts, count)])
     # equal contexts of all senders are one
     base = np.cumsum(length) - length
-    digest = np.zeros(len(key), np.uint64)
-    for lo in range(0, len(key), 8192):
-        hi = min(lo + 8192, len(key))
-        own = data[base[lo] : base[hi - 1] + length[hi - 1]]
-        at = base[lo:hi] - base[lo]
-        digest[lo:hi] = span_hash(prefix_hash(own), at, at + length[lo:hi]) + before[lo:hi].astype(np.uint64)
-    order = np.lexsort((digest, key))
-    same = (key[order][1:] == key[order][:-1]) & (digest[order][1:] == digest[order][:-1])
-    number = np.cumsum(np.concatenate([[0], ~same])) if len(order) else np.zeros(0, np.int64)
-    context = np.zeros(len(key), np.int64)
-    context[order] = number
-    one = order[np.concatenate([[True], ~same])]  # a sample of each distinct context
-    owner = np.repeat(context, members)
+    context, one = distinct(key, before, base, length, data, digests(data, base, length, before), merge)
     least = np.full(len(one), np.iinfo(np.int64).max)
-    np.minimum.at(least, owner, ids)
-    # a member that is not the smallest of its context loses all of it
-    whole = ids > least[owner]
-    out = [(sender[whole], text[whole], start[whole].astype(np.int64), start[whole] + length[one][owner[whole]])]
+    np.minimum.at(least, context, ids)
+    # a sender that is not the smallest of its context loses all of it
+    whole = ids > least[context]
+    out = [(sender[whole], mine[whole], np.zeros(int(whole.sum()), np.int64), length[whole])]
     # the smallest ones lose the windows that other contexts of the anchor hold earlier
     distinct_key = key[one]
     several = np.concatenate([[False], distinct_key[1:] == distinct_key[:-1]])
     several[:-1] |= several[1:].copy()
     chosen = np.flatnonzero(several)
     smallest = np.flatnonzero(~whole)
-    smallest = smallest[np.argsort(owner[smallest], kind="stable")]
-    from_owner = np.searchsorted(owner[smallest], np.arange(len(one) + 1))
+    smallest = smallest[np.argsort(context[smallest], kind="stable")]
+    from_context = np.searchsorted(context[smallest], np.arange(len(one) + 1))
     rows = one[chosen]
-    c, lo, hi = earlier_ranges(data[runs(base[rows], length[rows])], before[rows].astype(np.int64), length[rows], distinct_key[chosen], least[chosen])
+    c, lo, hi = earlier_ranges(data[runs(base[rows], length[rows])], before[rows], length[rows], distinct_key[chosen], least[chosen], merge)
     c = chosen[c]
-    m = from_owner[c + 1] - from_owner[c]
-    who = smallest[runs(from_owner[c], m)]
-    out.append((sender[who], text[who], start[who] + np.repeat(lo, m), start[who] + np.repeat(hi, m)))
-    sender, text, begin, end = (np.concatenate(x) for x in zip(*out))
-    order = np.lexsort((begin, text, sender))
-    sender, text, begin, end = sender[order], text[order], begin[order], end[order]
+    m = from_context[c + 1] - from_context[c]
+    who = smallest[runs(from_context[c], m)]
+    out.append((sender[who], mine[who], np.repeat(lo, m), np.repeat(hi, m)))
+    sender, mine, begin, end = (np.concatenate(x) for x in zip(*out))
+    order = np.lexsort((begin, mine, sender))
+    sender, mine, begin, end = sender[order], mine[order], begin[order], end[order]
     cells, to = [], []
     for k in np.unique(sender).tolist():
         i, j = np.searchsorted(sender, [k, k + 1])
-        cells.append(_packed(text[i:j].astype("<i4"), begin[i:j].astype("<i4"), end[i:j].astype("<i4")))
+        cells.append(_packed(mine[i:j].astype("<i8"), begin[i:j].astype("u1"), end[i:j].astype("u1")))
         to.append(k)
     b = table.column("b")[0].as_py()
     return pa.table([pa.array([gs[k] for k in to], pa.int32()), pa.array([b] * len(to), pa.int32()), pa.array(cells, pa.binary())], names=["g", "b", "payload"])
 
 
+def lost_ranges(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the text, begin, end) from what came back to a group of documents."""
+    none = np.zeros(0, np.int64)
+    b = rows.column("b").to_numpy()
+    cells = rows.column("payload").to_pylist()
+    kept = [_unpacked(cells[i], *_OWN) for i in np.flatnonzero(b < 0).tolist()]
+    if not kept:
+        return none, none, none
+    context, text, start, *others = kept[0]
+    got = [_unpacked(cells[i], "<i8", "u1", "u1") for i in np.flatnonzero(b >= 0).tolist()]
+    c, lo, hi = (np.concatenate(x).astype(np.int64) for x in zip(*got)) if got else (none,) * 3
+    at = np.searchsorted(context, c)
+    m = np.searchsorted(context, c, side="right") - at
+    who = runs(at, m)
+    own = (text[who], start[who] + np.repeat(lo, m), start[who] + np.repeat(hi, m))
+    return tuple(np.concatenate(x).astype(np.int64) for x in zip(own, others))
+
+
 def union_of(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs covered by half-open ranges."""
     order = np.argsort(begin, kind="stable")
@@ -316,8 +374,9 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 _RESULT_TYPE = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def dedup(docs: DataFrame, keep: bool = False) -> DataFrame:
-    """One row per row of docs; with keep also kept (the remaining bytes)."""
+def dedup(docs: DataFrame, keep: bool = False, merge: bool = True) -> DataFrame:
+    """One row per row of docs; with keep also kept (the remaining bytes). Without merge no context is joined with an
+    equal one before the suffix arrays, which then decide alone; the rows are the same."""
     n = partitions(docs)
     d, classes = keyed(docs, n), sent_classes(docs, n)
     schema = _RESULT_TYPE.append(pa.field("kept", pa.binary())) if keep else _RESULT_TYPE
@@ -344,13 +403,12 @@ def dedup(docs: DataFrame, keep: bool = False) -> DataFrame:
             distinct, place = np.unique(k, return_inverse=True)
             return df[place] > 1 if len(distinct) else np.zeros(0, bool)
 
-        return by_shard(key[0].as_py(), contexts(texts, ids, shared), SHARDS * n)
+        return by_shard(key[0].as_py(), *contexts(texts, ids, shared, merge), SHARDS * n)
 
     def finish(key, left, right):
         mine, rest = class_rows(right)
         ids, hs, texts = representatives(left, mine)
-        got = [_unpacked(x, "<i4", "<i4", "<i4") for x in rest.column("payload").to_pylist()]
-        number, begin, end = (np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, np.int32),) * 3
+        number, begin, end = lost_ranges(rest)
         order = np.argsort(number, kind="stable")
         number, begin, end = number[order], begin[order], end[order]
         edge = np.searchsorted(number, np.arange(len(ids) + 1))
@@ -377,7 +435,7 @@ def dedup(docs: DataFrame, keep: bool = False) -> DataFrame:
     sent = d.groupBy("g").cogroup(classes.groupBy("g")).applyInArrow(trimmed(send), EMIT)
     back = sent.repartition(n, "b").groupBy("b").applyInArrow(trimmed(answer), REPLY)
     around = d.groupBy("g").cogroup(back.unionByName(classes).groupBy("g")).applyInArrow(trimmed(surround), EMIT)
-    lost = around.repartition(n, "b").groupBy("b").applyInArrow(trimmed(resolve), REPLY)
+    lost = around.repartition(n, "b").groupBy("b").applyInArrow(trimmed(lambda table: resolve(table, merge)), REPLY)
     out = d.groupBy("g").cogroup(lost.unionByName(classes).groupBy("g")).applyInArrow(trimmed(finish), RESULT + ", kept binary" * keep)
     alone = docs.where("doc_id IS NULL").select(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("t"))
     size = F.octet_length("t").cast("long")

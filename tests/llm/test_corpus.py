@@ -86,6 +86,45 @@ def test_suffix_dedup_matches_brute_force(make):
     assert sorted(map(tuple, suffix_dedup.dedup(make(rows)).collect()), key=repr) == brute_dedup(rows)
 
 
+def test_suffix_arrays_alone_give_the_same_rows(make):
+    """Nothing is decided by hashes: without joining equal contexts first, only time changes."""
+    rows = corpus(n=25)
+    assert sorted(map(tuple, suffix_dedup.dedup(make(rows), merge=False).collect()), key=repr) == brute_dedup(rows)
+
+
+def test_equal_digests_of_different_contexts_stay_apart():
+    buf = np.frombuffer(b"aaaabbbbaaaabbbbaaaacccc", np.uint8)
+    start, length = np.arange(0, 24, 4), np.full(6, 4)
+    number, one = suffix_dedup.distinct(np.ones(6, np.uint64), np.zeros(6, np.int64), start, length, buf, np.zeros(6, np.uint64))
+    held = [bytes(buf[s : s + 4]) for s in start]
+    assert all(bytes(buf[start[one[number[k]]] :][:4]) == held[k] for k in range(6))
+    assert len({number[k] for k in (0, 2, 4)}) == 1
+
+
+@pytest.mark.parametrize("shard", [suffix_dedup.SHARD_BYTES, 150])
+def test_windows_of_one_anchor_in_several_arrays(shard, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard)
+    r = random.Random(4)
+    left, right = (["".join(r.choice("ab") for _ in range(30)) for _ in range(6)] for _ in range(2))
+    own = sorted({(k, a, c) for k in (1, 2) for a in left for c in right[:4]})
+    r.shuffle(own)
+    own.sort(key=lambda x: x[0])
+    texts = [(a + f"anchor-{k}-of-20-bytes"[:20].ljust(20, ".") + c).encode() for k, a, c in own]
+    key = np.array([k for k, _, _ in own], np.uint64)
+    least = np.array(r.sample(range(1000), len(own)))
+    data, n = np.frombuffer(b"".join(texts), np.uint8), np.full(len(own), 80)
+    c, lo, hi = suffix_dedup.earlier_ranges(data, np.full(len(own), 30), n, key, least)
+    got = np.zeros((len(own), 80), bool)
+    for i, a, z in zip(c, lo, hi):
+        got[i, a:z] = True
+    for i, t in enumerate(texts):
+        cover = np.zeros(80, bool)
+        for w in range(31):
+            if any(least[j] < least[i] and texts[j][w : w + 50] == t[w : w + 50] for j in range(len(own)) if key[j] == key[i]):
+                cover[w : w + 50] = True
+        assert (got[i] == cover).all()
+
+
 def test_suffix_dedup_of_nothing(none):
     assert suffix_dedup.dedup(none).collect() == []
 
