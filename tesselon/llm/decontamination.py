@@ -10,19 +10,25 @@ from it; what reaches that bound is aligned with the bytes those windows share a
 
 Pieces too short for the bound get the largest k that keeps it positive; items under q bytes and null items are
 never matched. Null and empty texts hold nothing. An item counts once for a document however often it occurs;
-repeated items count as one id. The items go to the tasks in blocks of at most BLOCK_BYTES, each a pass over the
-documents, so what is broadcast is bounded whatever the size of the benchmark.
+repeated items count as one id. Repeated documents give equal rows; other columns are ignored or passed through.
+Documents are searched whole, in pieces of a bounded number of texts; a text of any length is held by one task.
+
+The items go to the tasks in blocks of at most BLOCK_BYTES (or one longer item). A benchmark of one block is one pass
+over the documents. For more blocks each pass writes only the documents with hits to the checkpoint folder, and the
+hits are joined at the end, so driver and tasks hold one block at a time whatever the size of the benchmark.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import LOWER, bounded_batches, chunks_of, text_rows, texts_of
+from .textcore import LOWER, bounded_batches, checkpointed, chunks_of, text_rows, texts_of
 
 Q = 8
 PIECE, STRIDE = 256, 16
@@ -174,35 +180,74 @@ class Index:
         return out
 
 
-def blocks(benchmark: DataFrame):
-    """The items in blocks of bounded size; each is collected by itself."""
+def blocks(benchmark: DataFrame) -> tuple[int, Iterator[list[tuple[int, bytes]]]]:
+    """Number of blocks of bounded size, and the items of each, which is collected when its turn comes."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
     # a byte of an item over PIECE is in PIECE // STRIDE pieces
     times = F.when(F.octet_length("text") > PIECE, PIECE // STRIDE).otherwise(2)
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") * times / 2 + 64), F.lit(0))).first()[0]
     n = max(1, math.ceil(2 * total / BLOCK_BYTES)) if total > BLOCK_BYTES else 1
-    for k in range(n):
+
+    def one(k: int) -> list[tuple[int, bytes]]:
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
-        yield sorted((r["item_id"], r["text"].encode()) for r in own.collect())
+        return sorted((r["item_id"], r["text"].encode()) for r in own.collect())
+
+    return n, (one(k) for k in range(n))
+
+
+_HITS = "doc_id long, h string, ids array<long>, least_edits long"
+
+
+def _hits(docs: DataFrame, items: list[tuple[int, bytes]]) -> DataFrame:
+    """(doc_id, h, ids, least_edits) of the documents (doc_id, h, text) that hold some of the items."""
+
+    def run(rows):
+        index = Index(items)
+        for batch in rows:
+            got = index.leaks(texts_of(batch.column(2)))
+            some = pa.array([k for k, x in enumerate(got) if x], pa.int64())
+            ids = pa.array([sorted({i for i, _ in x}) for x in got if x], pa.list_(pa.int64()))
+            least = pa.array([min(e for _, e in x) for x in got if x], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(some), batch.column(1).take(some), ids, least], ["doc_id", "h", "ids", "least_edits"])
+
+    return docs.mapInArrow(run, _HITS)
+
+
+def _all_hits(docs: DataFrame, benchmark_blocks) -> DataFrame | None:
+    """Hits of all blocks by document; each block is a pass that ends in the checkpoint folder."""
+    found = None
+    for items in benchmark_blocks:
+        own = checkpointed(_hits(docs, items))
+        found = own if found is None else found.union(own)
+    if found is None:
+        return None
+    return found.groupBy("doc_id", "h").agg(F.array_distinct(F.flatten(F.collect_set("ids"))).alias("ids"), F.min("least_edits").alias("least_edits"))
+
+
+def _hash(text: str):
+    return F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_items, item_ids (comma-joined, ascending), least_edits (null without items), contaminated."""
-    kinds = {"doc_id": pa.int64(), "text": pa.string(), "ids": pa.list_(pa.int64()), "least_edits": pa.int64()}
-    d = text_rows(docs).select("doc_id", "text", F.array().cast("array<long>").alias("ids"), F.lit(None).cast("long").alias("least_edits"))
-    for items in blocks(benchmark):  # every block adds its items to the rows; nothing is shuffled
+    d = text_rows(docs)
+    n_blocks, each = blocks(benchmark)
+    if n_blocks == 1:
+        items = next(each)
 
-        def run(rows, items=items):
+        def run(rows):
             index = Index(items)
             for batch in rows:
-                ids, least = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-                for k, got in enumerate(index.leaks(texts_of(batch.column(1)))):
-                    ids[k] = sorted({*ids[k], *(i for i, _ in got)})
-                    least[k] = min([*(x for x in [least[k]] if x is not None), *(e for _, e in got)], default=None)
-                columns = [batch.column(0), batch.column(1), ids, least]
-                yield pa.RecordBatch.from_arrays([c if k < 2 else pa.array(c, t) for k, (c, t) in enumerate(zip(columns, kinds.values()))], list(kinds))
-
-        d = d.mapInArrow(run, "doc_id long, text string, ids array<long>, least_edits long")
+                got = index.leaks(texts_of(batch.column(1)))
+                ids = pa.array([sorted({i for i, _ in x}) for x in got], pa.list_(pa.int64()))
+                least = pa.array([min((e for _, e in x), default=None) for x in got], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), ids, least], ["doc_id", "ids", "least_edits"])
+
+        d = d.mapInArrow(run, "doc_id long, ids array<long>, least_edits long")
+    else:
+        hits = _all_hits(d.select("doc_id", _hash("text").alias("h"), "text"), each).withColumnRenamed("doc_id", "_id").withColumnRenamed("h", "_h")
+        d = d.select("doc_id", _hash("text").alias("h"))
+        d = d.join(hits, d["doc_id"].eqNullSafe(hits["_id"]) & (d["h"] == hits["_h"]), "left").select("doc_id", F.coalesce("ids", F.array().cast("array<long>")).alias("ids"), "least_edits")
     ids = F.array_join(F.transform(F.array_sort("ids"), lambda x: x.cast("string")), ",")
     n = F.size("ids").cast("long")
     return d.select("doc_id", n.alias("n_items"), ids.alias("item_ids"), "least_edits", (n > 0).alias("contaminated"))
@@ -211,13 +256,16 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that hold a benchmark item, with all their columns."""
     bounded_batches(docs.sparkSession)
-    out = docs
-    for items in blocks(benchmark):
-        def run(rows, items=items):
+    n_blocks, each = blocks(benchmark)
+    if n_blocks == 1:
+        items = next(each)
+
+        def run(rows):
             index = Index(items)
             for batch in rows:
                 got = index.leaks(texts_of(batch.column(batch.schema.get_field_index("text"))))
                 yield batch.filter(pa.array([not x for x in got], pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+        return docs.mapInArrow(run, docs.schema)
+    hits = _all_hits(text_rows(docs).select("doc_id", _hash("text").alias("h"), "text"), each).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
+    return docs.join(hits, docs["doc_id"].cast("long").eqNullSafe(hits["_id"]) & (_hash("text") == hits["_h"]), "left_anti")

@@ -67,10 +67,17 @@ def _eob_bits(run: int) -> np.ndarray:
     return np.array(code + [run >> k & 1 for k in range(r - 1, -1, -1)], np.uint8)
 
 
+#: Fixed value: units of 16 pixels in 65,535.
+MOST = 4095
+
+
 def geometry(n: int) -> tuple[int, int]:
     """Units of 16x16 pixels across and down that hold n bytes."""
     units = max(1, -(-n // MCU_BYTES))
-    across = min(64, units)
+    # an image has at most MOST units down, as its height is written in 16 bits; larger ones are wider
+    across = max(min(64, units), -(-units // MOST))
+    if across > MOST:
+        raise ValueError("the payload does not fit an image of 65,535 x 65,535 pixels")
     return across, -(-units // across)
 
 
@@ -340,6 +347,8 @@ def read(raw: bytes) -> Image:
                 c.coefficients = np.zeros((c.across * c.down, 64), np.int32)
         elif marker in (0xC0, 0xC1) or 0xC3 <= marker <= 0xCF and marker not in (0xC8, 0xCC):
             raise ValueError("not a progressive Huffman file")
+        elif marker == 0xDD and any(body):
+            raise ValueError("restart intervals are not read")
         elif marker == 0xFE:
             image.comments.append(body)
         elif marker == 0xDA:

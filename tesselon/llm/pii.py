@@ -7,26 +7,33 @@ written in the same format, so equal values get equal pseudonyms in every docume
 Check digits are computed anew, so pseudonyms pass the same validation. An e-mail address keeps its domain; its
 local part becomes a keyed digest of the whole address in lower case.
 
-Numbers and dates that fail validation stay as they are. Null text stays null with nothing found. Repeated rows
+The key is an argument or the session's setting spark.tesselon.pii.key. Where neither is given a random key is made
+for the session, and pseudonyms are linked within it only; there is no built-in key, as anyone could undo it.
+
+Numbers and dates that fail validation stay as they are. Texts of any length are searched whole. Null text stays null with nothing found. Repeated rows
 give equal rows; columns besides text are passed through by `pseudonymize`, but n_found and kinds are replaced when it
 reports them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .textcore import free_name
 
 ROUNDS = 8
-KEY = "tesselon-pseudonyms-1"
+#: Session setting that holds the secret key.
+KEY_SETTING = "spark.tesselon.pii.key"
 
 _BEFORE = r"(?<![\p{L}\p{N}])"
 _AFTER = r"(?![\p{L}\p{N}])"
-#: The written forms, tried in this order at each place.
+#: The written forms, tried in this order at each place. All groups are repeated a bounded number of times,
+#: as the regular expressions of the JVM recurse for each repetition (a domain has at most 126 labels after the first).
 FORMS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,126}+",
     "iban": _BEFORE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _AFTER,
     "ip": r"(?<![\p{L}\p{N}.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\p{L}\p{N}]|\.\d)",
     "date": _BEFORE + r"(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![\p{L}\p{N}]|[-/.]\d)",
@@ -39,6 +46,15 @@ KINDS = tuple(FORMS)
 _WHOLE = {k: f"^(?:{f})$" for k, f in FORMS.items()}
 
 
+def key_of(spark: SparkSession) -> str:
+    """The key of the session; a random one is set where it has none."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
+
+
 def digits_of(m: Column) -> Column:
     return F.regexp_replace(m, r"[^0-9]", "")
 
@@ -207,8 +223,9 @@ def _match(m: Column, key: str) -> Column:
     return out
 
 
-def pseudonymize(docs: DataFrame, key: str = KEY, report: bool = True) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str | None = None, report: bool = True) -> DataFrame:
     """docs with text replaced; with report also n_found (values replaced) and kinds (each kind once, sorted)."""
+    key = key or key_of(docs.sparkSession)
     own = [c for c in docs.columns if not (report and c in ("n_found", "kinds"))]
     between, found = free_name(docs, "between"), free_name(docs, "found")
     # most texts are split once; only those with a match are searched again
@@ -225,6 +242,6 @@ def pseudonymize(docs: DataFrame, key: str = KEY, report: bool = True) -> DataFr
     return d.select(*columns)
 
 
-def digest(docs: DataFrame) -> DataFrame:
+def digest(docs: DataFrame, key: str | None = None) -> DataFrame:
     """doc_id, n_found, kinds and the pseudonymized text."""
-    return pseudonymize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "n_found", "kinds", "text")
+    return pseudonymize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), key).select("doc_id", "n_found", "kinds", "text")

@@ -11,7 +11,9 @@ Labels, languages, sources and ids are never features.
 Fitting reads a bounded sample: at most POSITIVES toxic and UNLABELLED other rows of the training part, by the
 smallest hash of their id. The prior is the share of toxic rows among all labelled training rows. Scoring covers
 every row and whole texts. Null and empty texts have no features and get the score of the bias alone. Without any
-confirmed toxic row the classifier is the prior. Repeated rows give equal rows; other columns are ignored.
+confirmed toxic row the classifier is the prior. Repeated rows give equal rows and count once in the sample (of texts under
+one id, the one with the smallest md5); ties of the hash go by id. Texts of any length are scored whole. Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import LOWER, bounded_batches, chunks_of, crc_mod, prefix_hash, release, span_hash, texts_of
+from .textcore import LOWER, bounded_batches, checkpointed, chunks_of, crc_mod, prefix_hash, release, span_hash, texts_of
 
 #: Bounds of the training sample.
 POSITIVES, UNLABELLED = 4000, 8000
@@ -154,9 +156,24 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int32()))], ["positive", "f"])
 
     chosen = training_rows(docs.select("doc_id"), labels, positives, unlabelled)
-    # at most positives + unlabelled ids of 9 bytes
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("positive", "text").mapInArrow(run, "positive boolean, f array<int>")
-    got = sample.limit(2 * (positives + unlabelled)).toArrow()
+    # at most positives + unlabelled ids of 9 bytes; of rows that repeat an id, the text with the smallest md5
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("positive", "doc_id")
+    sample = sample.agg(F.min_by("text", F.md5(F.coalesce("text", F.lit("")))).alias("text")).select("positive", "text")
+    rows = checkpointed(sample.mapInArrow(run, "positive boolean, f array<int>"))
+    # what the classifier can use, at most 2**BITS features, is chosen before anything is gathered
+    count = rows.agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u")).first()
+    per = rows.select("positive", F.explode("f").alias("f")).groupBy("f").agg(F.count_if("positive").alias("n"), F.count_if(~F.col("positive")).alias("c"))
+    expected = F.greatest(F.col("c"), F.lit(1)) / float(max(count["u"], 1)) * float(count["p"])
+    # a little below the bound, which fit applies
+    useful = per.where((F.col("n") >= 3) & (F.col("n") > expected) & (F.col("n") * F.log(F.col("n") / expected) - (F.col("n") - expected) >= EVIDENCE - 0.01))
+    used = np.sort(np.array([r["f"] for r in useful.select("f").collect()], np.int32))
+
+    def reduced(batches):
+        for batch in batches:
+            cells = [x if x is not None else [] for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.intersect1d(np.array(x, np.int32), used) for x in cells], pa.list_(pa.int32()))], ["positive", "f"])
+
+    got = rows.mapInArrow(reduced, "positive boolean, f array<int>").toArrow()
     kind = got.column("positive").to_pylist()
     own = [x for chunk in got.column("f").chunks if len(chunk) for x in np.split(chunk.flatten().to_numpy(), np.cumsum(chunk.value_lengths().to_numpy())[:-1])]
     del got

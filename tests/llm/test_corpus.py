@@ -382,6 +382,70 @@ def test_held_out_labels_are_not_read(spark, make):
     assert a == b
 
 
+def plain_fit(positive, unlabelled, prior, rounds=600, rate=0.03, lasso=1e-3):
+    """The same descent row by row in plain Python: score of a set of features, and rounds with a negative risk."""
+    count = [collections.Counter(f for x in own for f in x) for own in (positive, unlabelled)]
+    kept = []
+    for f, n in sorted(count[0].items()):
+        expected = max(count[1][f], 1) / len(unlabelled) * len(positive)
+        if n >= 3 and n > expected and n * math.log(n / expected) - (n - expected) >= toxicity.EVIDENCE:
+            kept.append(f)
+    w, m, v = [0.0] * len(kept) + [math.log(prior / (1 - prior))], [0.0] * (len(kept) + 1), [0.0] * (len(kept) + 1)
+    place = {f: k for k, f in enumerate(kept)}
+    rows = [[[place[f] for f in x if f in place] for x in own] for own in (positive, unlabelled)]
+    sigmoid = lambda x: 1 / (1 + math.exp(-sum(w[k] for k in x) - w[-1]))
+    negative = 0
+    for t in range(1, rounds + 1):
+        s = [[sigmoid(x) for x in own] for own in rows]
+        toxic, other = [0.0] * len(w), [0.0] * len(w)
+        for x, a in zip(rows[0], s[0]):
+            for k in [*x, len(kept)]:
+                toxic[k] += prior * (a - 1) / len(rows[0])
+                other[k] -= prior * a / len(rows[0])
+        for x, a in zip(rows[1], s[1]):
+            for k in [*x, len(kept)]:
+                other[k] += a / len(rows[1])
+        risk = sum(-math.log1p(-a) for a in s[1]) / len(s[1]) + prior * sum(math.log1p(-a) for a in s[0]) / len(s[0])
+        negative += risk < 0
+        for k in range(len(w)):
+            g = toxic[k] + other[k] if risk >= 0 else -other[k]
+            m[k] = 0.9 * m[k] + 0.1 * g
+            v[k] = 0.999 * v[k] + 0.001 * g * g
+            root = math.sqrt(v[k] / (1 - 0.999**t)) + 1e-6
+            w[k] -= rate * m[k] / (1 - 0.9**t) / root
+            if k < len(kept):
+                w[k] = math.copysign(max(abs(w[k]) - lasso * rate / root, 0.0), w[k])
+    return lambda x: sigmoid([place[f] for f in x if f in place]), negative
+
+
+@pytest.mark.parametrize("prior", [0.02, 0.9])
+def test_fit_equals_plain_python(prior):
+    """Both with steps of negative risk and with others."""
+    r = random.Random(6)
+    word = lambda bad: r.sample(range(10, 60), 12) + ([r.choice([1, 2, 3])] if bad else [])
+    positive = [word(True) for _ in range(60)]
+    unlabelled = [word(r.random() < 0.1) for _ in range(120)]
+    array = lambda own: [np.array(sorted(x), np.int32) for x in own]
+    index, weights, bias = toxicity.fit(array(positive), array(unlabelled), prior)
+    score, negative = plain_fit(positive, unlabelled, prior)
+    assert 0 < negative < 600 and len(index)
+    weight = dict(zip(index.tolist(), weights.tolist()))
+    for x in [*positive[:9], *unlabelled[:9], [1, 2, 3], []]:
+        assert abs(1 / (1 + math.exp(-bias - sum(weight.get(f, 0.0) for f in x))) - score(x)) < 1e-6
+
+
+def test_repeated_rows_do_not_push_others_out(spark, make):
+    """Many rows under one sampled id count once; the other rows of the sample all stay."""
+    rows, labels = toxic_rows(200)
+    bad = next(i for i, _, y in labels if y and zlib.crc32(str(i).encode()) % 4 != 2)
+    more = rows + [(bad, f"other text {k}") for k in range(400)]
+    one = toxicity.train(make(rows), labels_of(spark, labels), 60, 60)
+    two = toxicity.train(make(more + [(bad, dict(rows)[bad])]), labels_of(spark, labels), 60, 60)
+    assert set(one[0].tolist()) & set(two[0].tolist()) and abs(one[2] - two[2]) < 0.5
+    same = toxicity.train(make(rows * 3), labels_of(spark, labels * 2), 60, 60)
+    assert np.array_equal(one[0], same[0]) and np.allclose(one[1], same[1]) and one[2] == pytest.approx(same[2])
+
+
 def test_toxicity_edges(spark, edges, none):
     empty = labels_of(spark, [])
     got = toxicity.score(edges, empty).collect()
@@ -441,7 +505,9 @@ def test_blocks_of_a_large_benchmark(spark, make, monkeypatch):
     rows = [(i, f"xx {t} yy") for i, t in items] + [(None, None)]
     one = sorted(map(tuple, decontamination.find(make(rows), bench(spark, items)).collect()), key=repr)
     monkeypatch.setattr(decontamination, "BLOCK_BYTES", 1500)
-    assert len(list(decontamination.blocks(bench(spark, items)))) > 2
+    n, each = decontamination.blocks(bench(spark, items))
+    held = list(each)
+    assert n > 2 and len(held) == n and sum(map(len, held)) == 40 and max(map(len, held)) < 40
     assert sorted(map(tuple, decontamination.find(make(rows), bench(spark, items)).collect()), key=repr) == one
     assert decontamination.clean(make(rows), bench(spark, items)).count() == 1
 
@@ -459,6 +525,35 @@ def test_any_window_of_a_long_item_is_found():
     assert index.leaks([around + item[60:280] + around]) == [[]]
 
 
+def test_long_items_in_long_texts_match_an_alignment(spark, make):
+    """Every window of a long item against whole long texts, the 30,000 words and the 50,000 letters of the edge rows included."""
+    r, v = random.Random(12), vocabulary(300)
+    items = [(i, " ".join(r.choice(v) for _ in range(60 + 20 * i))) for i in range(3)]
+    assert min(len(t) for _, t in items) > decontamination.PIECE
+    rows = [EDGES[-2], EDGES[-1]]
+    for k in range(6):
+        item = items[k % 3][1]
+        at = r.randrange(len(item) - 290)
+        quote = list(item[at : at + 290])
+        for _ in range(9 * k):
+            p = r.randrange(len(quote))
+            quote[p] = r.choice("qrstuvw")
+        words = [r.choice(v) for _ in range(400)]
+        rows.append((100 + k, " ".join(words[:200]) + " " + "".join(quote) + " " + " ".join(words[200:])))
+    got = {x.doc_id: x for x in decontamination.find(make(rows), bench(spark, items)).collect()}
+
+    def leaks(item, text):  # all windows at once: one alignment table for each of them
+        low = np.frombuffer(text.lower().encode(), np.uint8)
+        for s in range(len(item) - decontamination.PIECE + 1):
+            if decontamination.alignment(np.frombuffer(item[s : s + decontamination.PIECE].encode(), np.uint8), low, decontamination.PIECE // 10) <= decontamination.PIECE // 10:
+                return True
+        return False
+
+    for i, t in rows[2:]:
+        assert got[i].item_ids == ",".join(str(j) for j, x in items if leaks(x, t)), i
+    assert got[7].n_items == got[8].n_items == 0 and 2 <= sum(got[100 + k].contaminated for k in range(6)) < 6
+
+
 def test_decontamination_of_nothing(spark, edges, none):
     assert decontamination.find(none, bench(spark, [(1, "some item text of the benchmark")])).collect() == []
     assert decontamination.find(edges, bench(spark, [])).where("contaminated").count() == 0

@@ -1,5 +1,6 @@
 """Operators on whole texts, one row at a time: licenses, token counts, media, PII, BPE."""
 
+import datetime
 import hashlib
 import os
 import random
@@ -9,6 +10,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+import regex
 
 from tesselon.llm import bpe, jpeg, licenses, media, pii
 from tesselon.llm.pretokens import GENERAL, pretokens
@@ -85,6 +87,14 @@ def test_counts_match_the_library(spark, edges):
     assert got == sorted(expected, key=repr)
 
 
+def test_counts_of_special_strings_match_the_library(make):
+    tokenizer = LIBRARY.Tokenizer.from_file(tokenizer_path())
+    special = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
+    texts = [f"a{s}b {s}{s} {s[:-1]} {s} " for s in special] + ["".join(special) * 3, special[0] if special else "", " ".join(special)]
+    got = {r.doc_id: r.n_tokens for r in bpe.token_counts(make(list(enumerate(texts))), tokenizer_path()).collect()}
+    assert special and got == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
 def test_whole_tokens_are_single(spark):
     tokenizer = LIBRARY.Tokenizer.from_file(tokenizer_path())
     v = bpe.Vocabulary(tokenizer_path())
@@ -139,6 +149,81 @@ def test_inverse_transform_is_the_cosine_sum():
     assert np.abs(got - np.clip(plain, 0, 255)).max() <= 1
 
 
+def test_large_payloads_keep_within_the_header():
+    for n in (0, 1, 378 * 64, 99_100_000, 400_000_000, 2_000_000_000):
+        across, down = jpeg.geometry(n)
+        assert across * down * jpeg.MCU_BYTES >= n and max(across, down) * 16 <= 65535
+
+
+def foreign_file(seed: int):
+    """A progressive 4:4:4 file of 20 x 11 pixels as another writer would make it, and its coefficients."""
+    rng = np.random.default_rng(seed)
+    blocks = 3 * 2  # 24 x 16 pixels
+    planes = [rng.integers(-60, 61, (blocks, 64)) * (rng.random((blocks, 64)) < 0.3) for _ in range(3)]
+    planes[1][2] = planes[2][0] = 0
+
+    def size(v):
+        return int(abs(v)).bit_length()
+
+    def bits(v):
+        n = size(v)
+        return format(v if v > 0 else v + (1 << n) - 1, f"0{n}b") if n else ""
+
+    symbols = [0x00, 0xF0, *(16 * r + k for r in range(16) for k in range(1, 8))]
+    dc = {k: format(k, "04b") for k in range(9)}
+    ac = {x: format(k, "08b") for k, x in enumerate(symbols)}
+
+    def segment(marker, body):
+        return bytes([0xFF, marker]) + (len(body) + 2).to_bytes(2, "big") + body
+
+    def scan(components, ss, se, code):
+        code += "1" * (-len(code) % 8)
+        raw = bytes(int(code[i : i + 8], 2) for i in range(0, len(code), 8)).replace(b"\xff", b"\xff\x00")
+        head = bytes([len(components)]) + b"".join(bytes([c, 0]) for c in components) + bytes([ss, se, 0])
+        return segment(0xDA, head) + raw
+
+    out = b"\xff\xd8" + segment(0xDB, bytes([0] + [2] * 64))
+    out += segment(0xC2, bytes([8, 0, 11, 0, 20, 3, 1, 0x11, 0, 2, 0x11, 0, 3, 0x11, 0]))
+    out += segment(0xC4, bytes([0x00, 0, 0, 0, 9, *[0] * 12, *dc])) + segment(0xC4, bytes([0x10, *[0] * 7, len(ac), *[0] * 8, *ac]))
+    code, last = "", [0, 0, 0]
+    for b in range(blocks):
+        for k in range(3):
+            d = int(planes[k][b, 0]) - last[k]
+            last[k] = int(planes[k][b, 0])
+            code += dc[size(d)] + bits(d)
+    out += scan([1, 2, 3], 0, 0, code)
+    for k in range(3):
+        for ss, se in ((1, 5), (6, 63)):
+            code = ""
+            for b in range(blocks):
+                run = 0
+                for i in range(ss, se + 1):
+                    v = int(planes[k][b, jpeg.ZIGZAG[i]])
+                    if not v:
+                        run += 1
+                        continue
+                    while run > 15:
+                        code, run = code + ac[0xF0], run - 16
+                    code, run = code + ac[16 * run + size(v)] + bits(v), 0
+                code += ac[0x00] if run else ""
+            out += scan([k + 1], ss, se, code)
+    return out + b"\xff\xd9", planes
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_files_of_another_writer_are_read(seed):
+    raw, planes = foreign_file(seed)
+    image = jpeg.read(raw)
+    assert (image.width, image.height) == (20, 11)
+    for c, p in zip(image.components, planes):
+        assert (c.coefficients == p).all()
+    x = np.arange(8)
+    basis = np.cos((2 * x[:, None] + 1) * x * np.pi / 16) * np.array([np.sqrt(0.125)] + [0.5] * 7)
+    y, cb, cr = (np.clip(np.block([[basis @ (2.0 * p[3 * i + j].reshape(8, 8)) @ basis.T + 128 for j in range(3)] for i in range(2)]), 0, 255)[:11, :20] for p in planes)
+    rgb = np.stack([y + 1.402 * (cr - 128), y - 0.344136 * (cb - 128) - 0.714136 * (cr - 128), y + 1.772 * (cb - 128)], -1)
+    assert np.abs(jpeg.rgb(image).astype(float) - np.clip(rgb, 0, 255)).max() <= 4
+
+
 def test_other_files_are_refused():
     with pytest.raises(ValueError):
         jpeg.read(b"GIF89a")
@@ -197,6 +282,154 @@ def test_equal_values_stay_linked_and_other_keys_differ(make):
     assert pii.pseudonymize(d, "other").where("doc_id = 2").first().text != a[2]
 
 
+def plain_feistel(x, a, b, tweak, key):
+    l, r = divmod(x, b)
+    for k in range(1, pii.ROUNDS + 1):
+        h = int(hashlib.sha256(f"{key}:{tweak}:{k}:{r if k % 2 else l}".encode()).hexdigest()[:15], 16)
+        l, r = ((l + h) % a, r) if k % 2 else (l, (r + h) % b)
+    return l * b + r
+
+
+def plain_digits(d, tweak, key):
+    half = len(d) // 2
+    return str(plain_feistel(int(d), 10**half, 10 ** (len(d) - half), tweak, key)).zfill(len(d)) if d else ""
+
+
+def refill(old, new, of=str.isdigit):
+    it = iter(new)
+    return "".join(next(it) if of(c) else c for c in old)
+
+
+def plain_value(kind, m, key):
+    """The pseudonym of one match in plain Python, or None."""
+    d = "".join(c for c in m if c in "0123456789")
+    if kind == "email":
+        return "u" + hashlib.sha256((key + ":email:" + m.lower()).encode()).hexdigest()[:14] + "@" + m.rsplit("@", 1)[1]
+    if kind == "card":
+        if not luhn(m):
+            return None
+        body = plain_digits(d[:-1], "card", key)
+        return refill(m, body + next(c for c in "0123456789" if luhn(body + c)))
+    if kind == "iban":
+        s = m.replace(" ", "")
+        own = "".join(c for c in s[4:] if c.isdigit())
+        if not own or not iban_ok(m):
+            return None
+        new = refill(s[4:], plain_digits(own[:15], "iban", key) + plain_digits(own[15:], "iban", key))
+        return refill(m, s[:2] + next(f"{k:02d}" for k in range(2, 99) if iban_ok(f"{s[:2]}{k:02d}{new}")) + new, lambda c: c != " ")
+    if kind == "ip":
+        o = [int(x) for x in m.split(".")]
+        if max(o) > 255:
+            return None
+        p = plain_feistel(int.from_bytes(bytes(o), "big"), 65536, 65536, "ip", key)
+        return ".".join(map(str, p.to_bytes(4, "big")))
+    if kind == "ssn":
+        area, group, serial = map(int, m.split("-"))
+        if not (1 <= area <= 899 and area != 666 and group and serial):
+            return None
+        areas = [x for x in range(1, 900) if x != 666]
+        p = plain_feistel((areas.index(area) * 99 + group - 1) * 9999 + serial - 1, 898 * 99, 9999, "ssn", key)
+        return f"{areas[p // 9999 // 99]:03d}-{p // 9999 % 99 + 1:02d}-{p % 9999 + 1:04d}"
+    if kind == "phone":
+        american = (len(d) == 10 or len(d) == 11 and d[0] == "1") and d[-10] in "23456789" and d[-7] in "23456789"
+        if american:
+            t = d[-10:]
+            p = plain_feistel(((int(t[:3]) - 200) * 800 + int(t[3:6]) - 200) * 10000 + int(t[6:]), 80000, 80000, "phone", key)
+            return refill(m, d[:-10] + f"{p // 10000 // 800 + 200}{p // 10000 % 800 + 200}{p % 10000:04d}")
+        return refill(m, d[:3] + plain_digits(d[3:], "phone", key)) if m[0] == "+" and len(d) >= 8 else None
+    a, b, c = re.split("[-/.]", m)
+    mark = re.search("[-/.]", m)[0]
+    year, other = (a, c) if len(a) == 4 else (c, a)
+    y, p, q = int(year), int(other), int(b)
+
+    def made(month, day):
+        try:
+            return datetime.date(y % 400 + 400, month, day)
+        except ValueError:
+            return None
+
+    usual = made(q, p) is not None
+    day = made(q, p) or made(p, q)
+    if day is None or y < 1:
+        return None
+    new = datetime.date(400, 1, 1) + datetime.timedelta(plain_feistel((day - datetime.date(400, 1, 1)).days, 189, 773, "date", key))
+    outer, middle = (new.day, new.month) if usual else (new.month, new.day)
+    four = f"{new.year - 400 + y - y % 400:04d}"
+    return f"{four}{mark}{middle:02d}{mark}{outer:02d}" if len(a) == 4 else f"{outer:02d}{mark}{middle:02d}{mark}{four}"
+
+
+def plain_pseudonyms(text, key):
+    found = []
+    whole = regex.compile("|".join(f"(?P<k{i}>(?:{f}))" if kind != "date" else f"(?P<k{i}>{DATE})" for i, (kind, f) in enumerate(pii.FORMS.items())), regex.V0)
+
+    def one(m):
+        kind = pii.KINDS[int(m.lastgroup[1:])]
+        new = plain_value(kind, m[0], key)
+        if new is not None:
+            found.append(kind)
+        return m[0] if new is None else new
+
+    return whole.sub(one, text), len(found), ",".join(sorted(set(found)))
+
+
+#: The date form with its back references named, as its groups have other numbers inside a larger pattern.
+DATE = pii.FORMS["date"].replace("(?:\\d{4}([-/.])", "(?:\\d{4}(?P<s>[-/.])").replace("\\1", "(?P=s)").replace("\\d{1,2}([-/.])", "\\d{1,2}(?P<t>[-/.])").replace("\\2", "(?P=t)")
+
+
+def private_texts(n=150, seed=8):
+    r = random.Random(seed)
+    digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    every = [x for own in PRIVATE.values() for x in own] + PLAIN
+
+    def value():
+        k = r.randrange(9)
+        if k == 0:
+            return f"{r.randint(1, 9999):04d}-{r.randint(0, 13)}-{r.randint(0, 32)}"
+        if k == 1:
+            return f"{r.randint(0, 32)}.{r.randint(0, 13)}.{r.randint(1, 2400):04d}"
+        if k == 2:
+            return f"{digits(3)}-{digits(2)}-{digits(4)}"
+        if k == 3:
+            body = digits(r.randint(12, 18))
+            return body + next(c for c in "0123456789" if luhn(body + c))
+        if k == 4:
+            return ".".join(str(r.randint(0, 270)) for _ in range(4))
+        if k == 5:
+            return f"+{r.randint(1, 99)} {digits(3)} {digits(r.randint(2, 4))}-{digits(r.randint(2, 4))}"
+        if k == 6:
+            return f"{r.choice('abxy')}.{digits(2)}@{r.choice(['a', 'B-c'])}.example.org"
+        return r.choice(every)
+
+    return [r.choice(" ,;\n").join(r.choice([value(), "ünd", "word", ""]) for _ in range(r.randint(0, 12))) for _ in range(n)]
+
+
+def test_pseudonyms_equal_those_of_plain_python(make):
+    texts = private_texts()
+    got = {r.doc_id: (r.text, r.n_found, r.kinds) for r in pii.digest(make(list(enumerate(texts))), "a key").collect()}
+    assert got == {i: plain_pseudonyms(t, "a key") for i, t in enumerate(texts)}
+    assert {k for _, _, own in got.values() for k in own.split(",")} >= set(pii.KINDS)
+
+
+def test_very_long_values_do_not_end_the_task(make):
+    """Patterns must not recurse with the length of a value."""
+    parts = {"label": "x a@b" + ".c" * 50_000, "phone": "+1" + " 23" * 50_000, "iban": "GB82" + " WEST" * 50_000, "card": "1 " * 50_000, "dots": "1." * 50_000, "local": "a" * 200_000 + "@b"}
+    got = {r.doc_id: r for r in pii.digest(make(list(enumerate(parts.values()))), "k").collect()}
+    assert got[0].n_found == 1 and got[0].text.endswith(".c")
+    assert all(len(got[i].text) >= len(t) - 100 for i, t in enumerate(parts.values()))
+
+
+def test_a_key_is_made_for_the_session(spark, make):
+    d = make([(1, "4425414259157784")])
+    old = spark.conf.get(pii.KEY_SETTING, None)
+    try:
+        spark.conf.unset(pii.KEY_SETTING)
+        one = pii.digest(d).first().text
+        made = spark.conf.get(pii.KEY_SETTING)
+        assert len(made) == 64 and pii.digest(d).first().text == one == pii.digest(d, made).first().text
+    finally:
+        spark.conf.set(pii.KEY_SETTING, old) if old else spark.conf.unset(pii.KEY_SETTING)
+
+
 @pytest.mark.parametrize("a,b", [(7, 11), (10, 10), (3, 1)])
 def test_feistel_is_a_permutation(spark, a, b):
     from pyspark.sql import functions as F
