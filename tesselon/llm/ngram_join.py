@@ -13,7 +13,7 @@ Documents are sets of word shingles; two link when 100 * |intersection| >= 75 *
    cluster is compared, or connected already; the members of a large group of near copies do not meet in one task,
    and the work on it grows with its size. (A cluster of many unconnected documents costs documents times blocks.)
 4. A T-occurrence search over inverted lists finds the links: DivideSkip sets the longest lists aside by its cost
-   rule, merges the short ones by a heap that skips, and probes the long ones by binary search.
+   rule, merges the short ones from a heap, and probes the long ones by binary search.
 5. Links of all blocks are contracted to components.
 
 Frequencies use 32-bit keys inside a bucket: a collision can only raise a frequency, which keeps a document
@@ -27,7 +27,6 @@ smaller doc_id. A text of any length is one set, held whole by one task. Other c
 
 from __future__ import annotations
 
-import bisect
 import heapq
 
 import numpy as np
@@ -36,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .textcore import (
-    EMIT, REPLY, checkpointed, chunks_of, components, doc_key, emit, free_name, gathered, md5_hex, partitions, replies,
+    EMIT, REPLY, buckets_of, checkpointed, chunks_of, components, doc_key, emit, free_name, gathered, md5_hex, partitions, replies,
     shingle_hashes, split_counts, text_classes, text_rows, texts_of, trimmed, word_hashes,
 )
 
@@ -125,6 +124,7 @@ def prepared(docs: DataFrame) -> DataFrame:
     """One row per class: its set size and, if it may have partners, its shared shingles and rarest ones. Of a doc_id
     with several texts also a row for each of them, without a set."""
     n = partitions(docs)
+    buckets = buckets_of(docs.sparkSession, n)
     d, classes = keyed(docs, n), sent_classes(docs, n)
 
     def send(key, left, right):
@@ -132,7 +132,7 @@ def prepared(docs: DataFrame) -> DataFrame:
         _, _, texts = representatives(left, mine)
         sets = shingle_sets(texts)
         keys, count = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
-        return emit(key[0].as_py(), keys, n, _WIRE, n=np.minimum(count, 255))
+        return emit(key[0].as_py(), keys, buckets, _WIRE, n=np.minimum(count, 255))
 
     def answer(table):
         return replies(table, _WIRE, _frequencies)
@@ -162,41 +162,27 @@ def prepared(docs: DataFrame) -> DataFrame:
         return pa.table([pa.array(x, t) for x, t in zip(columns, _SETS_TYPE.types)], schema=_SETS_TYPE)
 
     sent = d.groupBy("g").cogroup(classes.groupBy("g")).applyInArrow(trimmed(send), EMIT)
-    back = sent.repartition(n, "b").groupBy("b").applyInArrow(trimmed(answer), REPLY)
+    back = sent.repartition(buckets, "b").groupBy("b").applyInArrow(trimmed(answer), REPLY)
     return d.groupBy("g").cogroup(back.unionByName(classes).groupBy("g")).applyInArrow(trimmed(finish), SETS)
 
 
 # --- T-occurrence search -----------------------------------------------------------------------------------
-def heap_merge(lists: list[list[int]], least: int) -> list[tuple[int, int]]:
-    """(document, number of lists) of the documents in at least `least` of some sorted lists, in order.
+def heap_merge(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents in at least `least` of some sorted lists, and their number of lists.
 
-    A heap holds the front of each list. Where fewer lists than needed show the smallest document, as many more are
-    taken off as could not make it up, and all of them skip to the document now smallest.
+    A heap holds the lists by length; the two shortest are merged and put back, until one is left.
     """
-    at = [0] * len(lists)
-    heap = [(x[0], k) for k, x in enumerate(lists) if x]
+    heap = [(len(x), k, x) for k, x in enumerate(lists)]
     heapq.heapify(heap)
-    out = []
-    while len(heap) >= least:
-        doc = heap[0][0]
-        met = []
-        while heap and heap[0][0] == doc:
-            met.append(heapq.heappop(heap)[1])
-        if len(met) >= least:
-            out.append((doc, len(met)))
-            to = doc + 1
-        else:
-            while heap and len(met) < least - 1:
-                met.append(heapq.heappop(heap)[1])
-            if not heap:
-                break
-            to = heap[0][0]
-        for k in met:
-            x = lists[k]
-            at[k] = bisect.bisect_left(x, to, at[k])
-            if at[k] < len(x):
-                heapq.heappush(heap, (x[at[k]], k))
-    return out
+    while len(heap) > 1:
+        _, k, a = heapq.heappop(heap)
+        both = np.concatenate([a, heap[0][2]])
+        both.sort(kind="stable")  # finds the two runs and merges them
+        heapq.heapreplace(heap, (len(both), k, both))
+    merged = heap[0][2] if heap else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], merged[1:] != merged[:-1]])) if len(merged) else merged
+    count = np.diff(np.append(first, len(merged)))
+    return merged[first[count >= least]], count[count >= least]
 
 
 def slices(postings: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -205,12 +191,14 @@ def slices(postings: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.nd
     return postings[base + np.arange(int(length.sum()))] if len(length) else postings[:0]
 
 
+#: Shortest lists whose last documents are compared before the lists are merged.
+GUESSES = 4
 #: Cost of a probe against a step of the merge, in the rule that sets lists aside.
 PROBE = 0.01
 
 
 def divide_skip(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Documents in at least `least` of some sorted lists, and their number of lists (DivideSkip).
+    """Documents in at least `least` of some sorted lists, none empty, and their number of lists (DivideSkip).
 
     least / (PROBE * log2(longest) + 1) of the longest lists, at most least - 1, are set aside. A document must then be in
     least - (set aside) of the short ones, which are merged by a heap; the long ones are probed for what that gives.
@@ -222,18 +210,15 @@ def divide_skip(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.nda
     order = np.argsort(length, kind="stable")
     aside = min(int(least / (PROBE * np.log2(max(length.max(), 1)) + 1)), least - 1)
     short, long = order[: len(order) - aside].tolist(), order[len(order) - aside :].tolist()
-    got = heap_merge([lists[k].tolist() for k in short], least - aside)
-    if not got:
+    found, count = heap_merge([lists[k] for k in short], least - aside)
+    if not len(found):
         return none, none
-    found, count = np.array(got, np.int64).T
-    if long:
-        # all lists as one sorted array of (list, document): a probe of every long list is one binary search
-        width = int(max(found[-1], max(int(lists[k][-1]) for k in long if len(lists[k]))) + 1) if any(len(lists[k]) for k in long) else 1
+    if long:  # all lists as one sorted array of (list, document), so that all are probed by one call of binary search
+        width = int(max(found[-1], *(lists[k][-1] for k in long)) + 1)
         keys = np.concatenate([lists[k] + i * width for i, k in enumerate(long)])
-        asked = (np.arange(len(long)) * width)[:, None] + found[None, :]
-        at = np.minimum(np.searchsorted(keys, asked.ravel()), max(len(keys) - 1, 0))
-        if len(keys):
-            count = count + (keys[at] == asked.ravel()).reshape(asked.shape).sum(0)
+        asked = ((np.arange(len(long)) * width)[:, None] + found).ravel()
+        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        count = count + (keys[at] == asked).reshape(len(long), -1).sum(0)
     good = count >= least
     return found[good], count[good]
 
@@ -271,13 +256,14 @@ def linked(ids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], label: np
         lowest, least = int(np.searchsorted(sizes, needed(n))), needed(n)
         held = own[filled[own] > 0]
         if lowest < q and len(held) >= least:
-            # the last document of the shortest list is likely to link, which settles all that are connected with it
-            last = postings[start[held] + filled[held] - 1]
-            guess = int(last[np.argmin(filled[held])])
-            if guess >= lowest and part[guess] != part[q]:
-                common = len(np.intersect1d(sets[q], sets[guess], assume_unique=True))
-                if 7 * common >= 3 * (n + int(sizes[guess])):
-                    join(q, guess)
+            # the documents that stand last in the shortest lists are likely to link, which settles all that are
+            # connected with them
+            by_length = held[np.argsort(filled[held], kind="stable")[:GUESSES]]
+            for guess in np.unique(postings[start[by_length] + filled[by_length] - 1])[::-1].tolist():
+                if guess >= lowest and part[guess] != part[q]:
+                    common = len(np.intersect1d(sets[q], sets[guess], assume_unique=True))
+                    if 7 * common >= 3 * (n + int(sizes[guess])):
+                        join(q, guess)
             merged = slices(postings, start[held], filled[held])
             of = np.repeat(np.arange(len(held)), filled[held])
             open_ = (merged >= lowest) & (part[merged] != part[q])
@@ -306,8 +292,8 @@ def searched(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").applyInArrow(trimmed(lambda table: _search(table)), "u long, v long")
 
 
-def links(sets: DataFrame) -> DataFrame:
-    """Edges (u, v) whose components are those of all links between the rows of `prepared`."""
+def labels(sets: DataFrame, same: DataFrame) -> DataFrame:
+    """(node, label) of the components of all links between the rows of `prepared` and of the edges `same`."""
     able = sets.where("shared IS NOT NULL")
     rare = able.select("doc_id", F.explode("prefix").alias("token"))
     first = rare.groupBy("token").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("most")).where("m < most").select("token", "m")
@@ -323,7 +309,7 @@ def links(sets: DataFrame) -> DataFrame:
     single = able.join(coarse.join(large, "label", "left_anti") if most > 1 else coarse, "doc_id")
     found = searched(single.select(F.pmod(F.xxhash64("label"), F.lit(bins)).alias("key"), "doc_id", "n_shingles", "shared"))
     if most <= 1:
-        return found
+        return components(found.union(same))
 
     def key(block):
         return F.xxhash64("label", block)
@@ -333,8 +319,7 @@ def links(sets: DataFrame) -> DataFrame:
     hub = member.withColumn("r", F.row_number().over(order)).where(F.col("r") <= HUBS).select("label", "blocks", "doc_id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     placed = member.select("label", "doc_id", "block").union(hub.select("label", "doc_id", "block")).distinct()
     inner = searched(able.join(placed, "doc_id").select(key(F.col("block")).alias("key"), "doc_id", "n_shingles", "shared"))
-    inner = checkpointed(inner)
-    part = components(inner)
+    part = components(found.union(inner).union(same))
     member = member.join(part.select(F.col("node").alias("doc_id"), F.col("label").alias("part")), "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
     counts = member.groupBy("label", "part").agg(F.count("*").alias("n")).groupBy("label").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
     member = checkpointed(member.join(counts, "label"))
@@ -343,7 +328,13 @@ def links(sets: DataFrame) -> DataFrame:
     home = member.join(member.where("part <> main").select("label").distinct(), "label", "left_semi")
     rows = home.select("doc_id", "part", key(F.col("block")).alias("key")).union(away.select("doc_id", "part", key(F.col("to")).alias("key")))
     across = searched(able.join(rows, "doc_id").select("key", "doc_id", "n_shingles", "shared", "part"))
-    return found.union(inner).union(across)
+    # links between components, which are then contracted
+    of = member.select("doc_id", "part")
+    joined = across.join(of.select(F.col("doc_id").alias("u"), F.col("part").alias("a")), "u").join(of.select(F.col("doc_id").alias("v"), F.col("part").alias("b")), "v")
+    over = components(joined.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    every = part.select("node", F.col("label").alias("part")).union(over.select("node", F.col("node").alias("part"))).distinct()
+    every = every.join(over.select(F.col("node").alias("part"), F.col("label").alias("top")), "part", "left")
+    return every.groupBy("node").agg(F.min(F.coalesce("top", "part")).alias("label"))
 
 
 def _grouped(docs: DataFrame) -> DataFrame:
@@ -353,7 +344,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
     # a doc_id with several texts is one node: its id links with the class of each text that has shingles
     same = sets.where(F.col("n_shingles") == _NAMED).select(F.col("doc_id").alias("u"), "h")
     same = same.join(classes.where("n_shingles > 0").select("h", F.col("doc_id").alias("v")), "h").select("u", "v")
-    label = components(links(classes).union(same))
+    label = labels(classes, same)
     info = classes.select("doc_id", "h", "n_shingles").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     info = info.select("h", "n_shingles", F.coalesce("label", "doc_id").alias("label"))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h"))

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .ngram_join import _WIRE, _frequencies, class_rows, keyed, representatives, sent_classes
 from .suffix import different, permuted_common_prefixes, suffix_array
-from .textcore import EMIT, MULTIPLIERS, REPLY, bucket_edges, chunks_of, emit, gathered, md5_hex, mix, partitions, prefix_hash, replies, span_hash, texts_of, trimmed
+from .textcore import EMIT, MULTIPLIERS, REPLY, bucket_edges, buckets_of, chunks_of, emit, gathered, md5_hex, mix, partitions, prefix_hash, replies, span_hash, texts_of, trimmed
 
 SPAN = 50
 GRAM = 20
@@ -378,6 +378,7 @@ def dedup(docs: DataFrame, keep: bool = False, merge: bool = True) -> DataFrame:
     """One row per row of docs; with keep also kept (the remaining bytes). Without merge no context is joined with an
     equal one before the suffix arrays, which then decide alone; the rows are the same."""
     n = partitions(docs)
+    buckets = buckets_of(docs.sparkSession, n)
     d, classes = keyed(docs, n), sent_classes(docs, n)
     schema = _RESULT_TYPE.append(pa.field("kept", pa.binary())) if keep else _RESULT_TYPE
 
@@ -389,7 +390,7 @@ def dedup(docs: DataFrame, keep: bool = False, merge: bool = True) -> DataFrame:
         k, text = k[order], text[order]
         own = np.concatenate([[True], (k[1:] != k[:-1]) | (text[1:] != text[:-1])]) if len(k) else np.zeros(0, bool)
         keys, count = np.unique(k[own], return_counts=True)
-        return emit(key[0].as_py(), keys, n, _WIRE, n=np.minimum(count, 255))
+        return emit(key[0].as_py(), keys, buckets, _WIRE, n=np.minimum(count, 255))
 
     def answer(table):
         return replies(table, _WIRE, _frequencies)
@@ -403,7 +404,7 @@ def dedup(docs: DataFrame, keep: bool = False, merge: bool = True) -> DataFrame:
             distinct, place = np.unique(k, return_inverse=True)
             return df[place] > 1 if len(distinct) else np.zeros(0, bool)
 
-        return by_shard(key[0].as_py(), *contexts(texts, ids, shared, merge), SHARDS * n)
+        return by_shard(key[0].as_py(), *contexts(texts, ids, shared, merge), SHARDS * buckets)
 
     def finish(key, left, right):
         mine, rest = class_rows(right)
@@ -433,9 +434,9 @@ def dedup(docs: DataFrame, keep: bool = False, merge: bool = True) -> DataFrame:
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     sent = d.groupBy("g").cogroup(classes.groupBy("g")).applyInArrow(trimmed(send), EMIT)
-    back = sent.repartition(n, "b").groupBy("b").applyInArrow(trimmed(answer), REPLY)
+    back = sent.repartition(buckets, "b").groupBy("b").applyInArrow(trimmed(answer), REPLY)
     around = d.groupBy("g").cogroup(back.unionByName(classes).groupBy("g")).applyInArrow(trimmed(surround), EMIT)
-    lost = around.repartition(n, "b").groupBy("b").applyInArrow(trimmed(lambda table: resolve(table, merge)), REPLY)
+    lost = around.repartition(buckets, "b").groupBy("b").applyInArrow(trimmed(lambda table: resolve(table, merge)), REPLY)
     out = d.groupBy("g").cogroup(lost.unionByName(classes).groupBy("g")).applyInArrow(trimmed(finish), RESULT + ", kept binary" * keep)
     alone = docs.where("doc_id IS NULL").select(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("t"))
     size = F.octet_length("t").cast("long")

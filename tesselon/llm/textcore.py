@@ -98,6 +98,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def drop_finished(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished rounds: it does so when the driver's JVM finds them unused."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Bytes of text in a group of documents, uncompressed, so that what a task holds does not depend on the file format.
 GROUP_BYTES = 4 << 20
 
@@ -109,6 +115,11 @@ def partitions(docs: DataFrame) -> int:
     return max(1, -(-int(size or 0) // GROUP_BYTES))
 
 
+def buckets_of(spark: SparkSession, n: int) -> int:
+    """Hash-range buckets for n groups: as many, or the session's shuffle partitions if those are more."""
+    return max(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def doc_key(df: DataFrame, n: int):
     """The group of a document: uniform in doc_id, so no source, copy group or text length is concentrated."""
     return F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")
@@ -290,6 +301,7 @@ def components(edges: DataFrame) -> DataFrame:
     def minimum(e):
         return e.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
 
+    spark = edges.sparkSession
     e = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v")
     e = checkpointed(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     previous = None
@@ -304,6 +316,8 @@ def components(edges: DataFrame) -> DataFrame:
         if state == previous:
             break
         previous = state
+        del both, large, small
+        drop_finished(spark)
     nodes = e.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label")
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("label"))
     return nodes.union(roots.join(nodes, "node", "left_anti"))
