@@ -9,7 +9,7 @@ p(w | h) = p(class | h) * p(w | class, h). The HEAD most frequent tokens stand i
 their own; every other token is in the class of its count's power of two, inside which it has its add-one share of
 the class, and an unseen token is the class of its own, so the probabilities of a text are proper. Class sizes and
 shares come from the counts of the whole corpus. The weights are fitted in numpy by truncated backpropagation
-through time on all training documents, in ROUNDS passes whatever the size of the input: in each of them every group
+through time on all training documents, in ROUNDS passes (one) whatever the size of the input: in each of them every group
 of documents goes once over all of its own from the common weights, and the groups' weights are averaged by
 their tokens. Texts are turned to classes once and kept as such for the rounds and the scoring. Scoring covers every row
 and whole texts: long texts run in windows with the state carried from one to the next.
@@ -22,6 +22,7 @@ recognized by 64-bit hashes. Other columns are ignored.
 from __future__ import annotations
 
 import copy
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,12 @@ from pyspark.sql import functions as F
 
 from .textcore import checkpointed, chunks_of, crc_mod, emit, gathered, partitions, replies, split_counts, text_rows, texts_of, trimmed, word_hashes
 
-HEAD, WIDTH, BINS = 1024, 32, 40
-HIDDEN, WINDOW, STREAMS = 16, 32, 256
+HEAD, WIDTH, BINS = 4096, 64, 40
+HIDDEN, WINDOW, STREAMS = 16, 16, 1024
 #: Passes over all training documents, and updates of a group in a round before it takes more streams.
-ROUNDS, UPDATES, RATE = 2, 200, 0.01
+ROUNDS, UPDATES, RATE = 1, 45, 0.06
+#: Rows whose class probabilities are computed at once.
+ROWS = 2048
 #: Pieces in which weights are averaged.
 PARTS = 32
 #: Documents scored side by side, and steps whose outputs are computed at once.
@@ -59,14 +62,23 @@ def bin_of(count: np.ndarray) -> np.ndarray:
 
 # --- the network -------------------------------------------------------------------------------------------
 def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+    """Logistic function in place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    np.reciprocal(x, out=x)
+
+
+def _exponential(x):
+    """exp of the rows in place, and their sums. Logits start at 0 or below and stay far from the bound."""
+    np.minimum(x, 60, out=x)
+    np.exp(x, out=x)
+    return x @ np.ones(x.shape[1], x.dtype) + np.float32(1e-30)
 
 
 def _softmax(x, count):
     """Softmax of the rows in place, divided by count."""
-    x -= x.max(1, keepdims=True)
-    np.exp(x, out=x)
-    x *= 1 / (x.sum(1, keepdims=True) * count)
+    x *= (1 / (_exponential(x) * count))[:, None]
 
 
 class Network:
@@ -77,16 +89,17 @@ class Network:
         n = len(head_counts)
         self.head, self.hidden = n, hidden
         self.groups = -(-n // WIDTH)
-        self.inputs = n + BINS + 1
+        self.inputs = n + len(mass) + 1
         padded = np.full(self.groups * WIDTH, -30.0)
         padded[:n] = np.log(head_counts + 1.0)
         sums = np.array([np.exp(padded[k * WIDTH : (k + 1) * WIDTH]).sum() for k in range(self.groups)])
         totals = np.log(np.concatenate([sums, mass + 1.0]))
+        padded[:n] -= padded[:n].max(initial=0)
         f = np.float32
         self.p = {
             "x": rng.normal(0, 0.1, (self.inputs, 3 * hidden)).astype(f),
             "u": (rng.normal(0, 1, (hidden, 3 * hidden)) / np.sqrt(hidden)).astype(f),
-            "c": np.zeros((hidden, self.groups + BINS), f),
+            "c": np.zeros((hidden, self.groups + len(mass)), f),
             "cb": (totals - totals.max()).astype(f),
             "w": np.zeros((max(self.groups, 1), hidden, WIDTH), f),
             "wb": padded.reshape(-1, WIDTH).astype(f) if self.groups else np.zeros((1, WIDTH), f),
@@ -97,10 +110,7 @@ class Network:
         a = self.p["x"][x]
         b = h @ self.p["u"]
         gate = a[:, : 2 * k] + b[:, : 2 * k]
-        np.negative(gate, out=gate)
-        np.exp(gate, out=gate)
-        gate += 1
-        np.reciprocal(gate, out=gate)
+        _sigmoid(gate)
         z, r = gate[:, :k], gate[:, k:]
         new = np.tanh(a[:, 2 * k :] + r * b[:, 2 * k :])
         return new + z * (h - new)
@@ -111,12 +121,14 @@ class Network:
 
     def output(self, h: np.ndarray, t: np.ndarray) -> np.ndarray:
         """log p of tokens t from states h, up to the share inside a bin."""
-        logits = h @ self.p["c"]
-        logits += self.p["cb"]
         c = self.classes(t)
-        out = logits[np.arange(len(t)), c]
-        np.exp(np.minimum(logits, 60), out=logits)
-        out = out - np.log(logits.sum(1))
+        out = np.empty(len(t), h.dtype)
+        for lo in range(0, len(t), ROWS):
+            some = slice(lo, lo + ROWS)
+            logits = h[some] @ self.p["c"]
+            logits += self.p["cb"]
+            own = logits[np.arange(len(logits)), c[some]]
+            out[some] = own - np.log(_exponential(logits))
         inner = np.flatnonzero(t < self.head)
         inner = inner[np.argsort(c[inner].astype(np.int16), kind="stable")]
         edges = np.searchsorted(c[inner], np.arange(self.groups + 1))
@@ -124,7 +136,7 @@ class Network:
             some = inner[edges[k] : edges[k + 1]]
             own = h[some] @ self.p["w"][k] + self.p["wb"][k]
             at = own[np.arange(len(some)), t[some] % WIDTH]
-            out[some] += at - np.log(np.exp(np.minimum(own, 60)).sum(1))
+            out[some] += at - np.log(_exponential(own))
         return out
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
@@ -183,30 +195,48 @@ class Network:
                 self.p[k] -= (rate / (1 + n / 2000) * (m[k] / (1 - 0.9**n)) / (np.sqrt(v[k] / (1 - 0.99**n)) + 1e-6)).astype(np.float32)
 
     def _window(self, h, x, t, start):
+        # one column for each stream: the gates are then contiguous
         k, p = self.hidden, self.p
+        u, table = np.ascontiguousarray(p["u"].T), np.ascontiguousarray(p["x"].T)
         kept = []
+        fresh = start.any(1)
+        h = np.ascontiguousarray(h.T)
+        states = np.empty((len(x), x.shape[1], k), h.dtype)
         for i in range(len(x)):
-            h = h * ~start[i][:, None]
-            a, b = p["x"][x[i]], h @ p["u"]
-            gate = _sigmoid(a[:, : 2 * k] + b[:, : 2 * k])
-            z, r, q = gate[:, :k], gate[:, k:], b[:, 2 * k :]
-            new = np.tanh(a[:, 2 * k :] + r * q)
+            if fresh[i]:
+                h = h * ~start[i]
+            a, b = table.take(x[i], 1), u @ h
+            gate = a[: 2 * k]
+            gate += b[: 2 * k]
+            _sigmoid(gate)
+            z, r, q = gate[:k], gate[k:], b[2 * k :]
+            new = r * q
+            new += a[2 * k :]
+            np.tanh(new, out=new)
             kept.append((h, z, r, q, new))
-            h = new + z * (h - new)
+            h = h - new
+            h *= z
+            h += new
+            states[i] = h.T
+        states = states.reshape(-1, k)
         real = np.flatnonzero(t.ravel() >= 0)
         target = t.ravel()[real]
-        states = np.concatenate([new + z * (before - new) for before, z, _, _, new in kept])
         back = np.zeros_like(states)
         states = states[real]
         count = np.float32(max(len(target), 1))
         grad = {n: np.zeros_like(w) for n, w in p.items()}
-        prob = states @ p["c"]
-        prob += p["cb"]
-        _softmax(prob, count)
         c = self.classes(target)
-        prob[np.arange(len(c)), c] -= 1 / count
-        grad["c"], grad["cb"] = states.T @ prob, prob.sum(0)
-        own_back = prob @ p["c"].T
+        own_back = np.empty_like(states)
+        for lo in range(0, len(states), ROWS):  # rows that stay in the processor's cache
+            some = slice(lo, lo + ROWS)
+            at = states[some]
+            prob = at @ p["c"]
+            prob += p["cb"]
+            _softmax(prob, count)
+            prob[np.arange(len(prob)), c[some]] -= 1 / count
+            grad["c"] += at.T @ prob
+            grad["cb"] += prob.sum(0)
+            own_back[some] = prob @ p["c"].T
         inner = np.flatnonzero(target < self.head)
         inner = inner[np.argsort(c[inner].astype(np.int16), kind="stable")]
         edges = np.searchsorted(c[inner], np.arange(self.groups + 1))
@@ -221,21 +251,38 @@ class Network:
         back[real] = own_back
         back = back.reshape(len(x), -1, k)
         carry = np.zeros_like(h)
-        into = np.zeros((*x.shape, 3 * k), h.dtype)
+        into = np.empty((3 * k, x.size), h.dtype)
+        db = np.empty((3 * k, x.shape[1]), h.dtype)
         for i in range(len(x) - 1, -1, -1):
             before, z, r, q, new = kept[i]
-            d = back[i] + carry
-            dn = d * (1 - z) * (1 - new * new)
-            dz = d * (before - new) * z * (1 - z)
-            dr = dn * q * r * (1 - r)
-            db = np.concatenate([dz, dr, dn * r], 1)
-            into[i] = np.concatenate([dz, dr, dn], 1)
-            grad["u"] += before.T @ db
-            carry = (d * z + db @ p["u"].T) * ~start[i][:, None]
-        order = np.argsort(x.ravel().astype(np.int16), kind="stable")
-        keys, first = np.unique(x.ravel()[order], return_index=True)
-        grad["x"][keys] = np.add.reduceat(into.reshape(-1, 3 * k)[order], first, axis=0)
-        return h, grad
+            d = back[i].T + carry
+            dz, dr, dn = db[:k], db[k : 2 * k], db[2 * k :]
+            # before - new, times z (1 - z); 1 - new^2, times 1 - z; q r (1 - r)
+            other = 1 - z
+            np.subtract(before, new, out=dz)
+            dz *= z
+            dz *= d
+            dz *= other
+            np.multiply(new, new, out=dn)
+            np.subtract(1, dn, out=dn)
+            dn *= other
+            dn *= d
+            np.subtract(1, r, out=dr)
+            dr *= r
+            dr *= q
+            dr *= dn
+            into[:, i * x.shape[1] : (i + 1) * x.shape[1]] = db
+            dn *= r
+            grad["u"] += before @ db.T
+            d *= z
+            d += p["u"] @ db
+            if fresh[i]:
+                d *= ~start[i]
+            carry = d
+        tokens = x.ravel()
+        for j in range(3 * k):
+            grad["x"][:, j] = np.bincount(tokens, into[j], minlength=self.inputs)
+        return h.T, grad
 
     def weights(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in sorted(self.p)])
@@ -252,7 +299,7 @@ class Network:
 def _keyed(docs: DataFrame, n: int) -> DataFrame:
     held = F.coalesce(crc_mod() % 7 == 2, F.lit(False)).alias("held_out")
     d = text_rows(docs)
-    return d.select(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n)).cast("int").alias("g"), "doc_id", "text", held)
+    return d.select(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n)).cast("int").alias("g"), "doc_id", "text", held).repartition(n, "g")
 
 
 def corpus_counts(d: DataFrame, n: int) -> DataFrame:
@@ -292,11 +339,12 @@ def corpus_counts(d: DataFrame, n: int) -> DataFrame:
             .append_column("head", pa.array([head, *rest], entry)).append_column("bins", pa.array([bins, *rest], pair))
         )
 
-    return d.groupBy("g").applyInArrow(trimmed(send), "b int, g int, payload binary").groupBy("b").applyInArrow(trimmed(answer), _COUNTS)
+    return d.groupBy("g").applyInArrow(trimmed(send), "b int, g int, payload binary").repartition(n, "b").groupBy("b").applyInArrow(trimmed(answer), _COUNTS)
 
 
-def fitted(rows: DataFrame, network: Network, turn: int) -> Network:
-    """The network after round `turn`: each group's pass over all its training documents, averaged by tokens."""
+def fitted(rows: DataFrame, network: Network, turn: int, fan: int = 16) -> Network:
+    """The network after round `turn`: each group's pass over all its training documents, averaged by tokens;
+    fan sums of weights are made before the last one."""
 
     def passes(batches):
         def one(g, own):
@@ -305,7 +353,7 @@ def fitted(rows: DataFrame, network: Network, turn: int) -> Network:
             docs = [np.frombuffer(t, np.uint16) for _, _, t in sorted(own)]
             net.train(docs, RATE / (1 + turn))
             tokens = sum(map(len, docs))
-            parts = [x.tobytes() for x in np.array_split(net.weights(), PARTS)]
+            parts = [(x * float(tokens)).tobytes() for x in np.array_split(net.weights().astype(np.float64), PARTS)]
             return pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([g] * PARTS, pa.int32()), pa.array([tokens] * PARTS, pa.int64()), pa.array(parts, pa.binary())], ["part", "g", "tokens", "payload"])
 
         # the rows of a group are next to each other
@@ -320,20 +368,25 @@ def fitted(rows: DataFrame, network: Network, turn: int) -> Network:
         if own:
             yield one(last, own)
 
-    def mean(table):
-        order = np.argsort(table.column("g").to_numpy())
-        weight, payload = table.column("tokens").to_numpy(), table.column("payload").to_pylist()
-        total = sum(np.frombuffer(payload[k], np.float32) * float(weight[k]) for k in order.tolist())
-        total = total / weight.sum() if weight.sum() else np.frombuffer(payload[0], np.float32)
-        return pa.table({"part": table.column("part").combine_chunks().slice(0, 1), "payload": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+    def total(table):
+        """Sum of the weights of some groups, times their tokens, in the order of the groups."""
+        order = np.argsort(table.column("g").to_numpy(), kind="stable").tolist()
+        n, payload = table.column("tokens").to_numpy(), table.column("payload").to_pylist()
+        whole = sum(np.frombuffer(payload[k], np.float64) for k in order)
+        first = [table.column(c).combine_chunks().slice(0, 1) for c in ("part", "some", "g")]
+        return pa.table([*first, pa.array([int(n.sum())]), pa.array([whole.tobytes()], pa.binary())], names=["part", "some", "g", "tokens", "payload"])
 
     train = rows.where("NOT held_out").select("g", "doc_id", "tokens")
-    trained = train.mapInArrow(passes, "part int, g int, tokens long, payload binary")
+    shape = "part int, some int, g int, tokens long, payload binary"
+    trained = train.mapInArrow(passes, "part int, g int, tokens long, payload binary").withColumn("some", F.pmod("g", F.lit(fan)).cast("int"))
+    trained = trained.select("part", "some", "g", "tokens", "payload")
+    # sums of sums, so that no task holds the weights of all groups
+    some = trained.groupBy("part", "some").applyInArrow(trimmed(total), shape).withColumn("g", F.col("some"))
     # bounded: PARTS pieces of one set of weights
-    got = trained.repartition(PARTS, "part").groupBy("part").applyInArrow(trimmed(mean), "part int, payload binary").collect()
+    got = some.groupBy("part").applyInArrow(trimmed(total), shape).collect()
     out = copy.deepcopy(network)
     if got:
-        out.take(np.frombuffer(b"".join(r["payload"] for r in sorted(got, key=lambda r: r["part"])), np.float32))
+        out.take(np.concatenate([np.frombuffer(r["payload"], np.float64) / max(r["tokens"], 1) for r in sorted(got, key=lambda r: r["part"])]))
     return out
 
 
@@ -352,6 +405,8 @@ def score(docs: DataFrame) -> DataFrame:
     np.subtract.at(mass, own, c)
     np.subtract.at(share, own, c + 1)
     share[0] = 1  # all unseen tokens are one
+    used = int(np.flatnonzero(share)[-1]) + 1
+    mass, share = mass[:used], share[:used]
     by_key = np.argsort(key)
     keys, place = key[by_key], by_key
 
@@ -361,7 +416,7 @@ def score(docs: DataFrame) -> DataFrame:
         known = keys[at] == hashes if len(keys) else np.zeros(len(hashes), bool)
         bins = bin_of(count)
         t = np.where(known, place[at] if len(keys) else 0, len(keys) + bins)
-        return t, np.where(known | (bins == 0), 0.0, np.log((count + 1) / np.maximum(share[bins], 1)))
+        return t, np.where(known | (bins == 0), 0.0, np.log((count + 1) / np.maximum(share[np.minimum(bins, used - 1)], 1)))
 
     floor = float(tokens + kinds + 1)
 
@@ -385,7 +440,7 @@ def score(docs: DataFrame) -> DataFrame:
     rows = checkpointed(d.groupBy("g").cogroup(counts.select("g", "b", "payload").groupBy("g")).applyInArrow(trimmed(classes), kinds_of))
     network = Network(c, mass)
     for turn in range(ROUNDS):
-        network = fitted(rows, network, turn)
+        network = fitted(rows, network, turn, math.ceil(math.sqrt(n)))
 
     def scored(batches):
         def finish(own):
