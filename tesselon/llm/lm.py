@@ -35,6 +35,8 @@ HEAD, WIDTH, BINS = 4096, 64, 40
 HIDDEN, WINDOW, STREAMS = 16, 16, 1024
 #: Passes over all training documents, and updates of a group in a round before it takes more streams.
 ROUNDS, UPDATES, RATE = 1, 45, 0.06
+#: Steps of the token counts for each power of two.
+STEPS_OF_COUNT = 32
 #: Rows whose class probabilities are computed at once.
 ROWS = 2048
 #: Pieces in which weights are averaged.
@@ -395,8 +397,15 @@ def score(docs: DataFrame) -> DataFrame:
     d = _keyed(docs, n)
     counts = checkpointed(corpus_counts(d, n))
     tokens, kinds = counts.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
-    # bounded: HEAD tokens and BINS sums
-    head = counts.select(F.inline("head")).orderBy(F.desc("c"), "k").limit(HEAD).collect()
+    # bounded: HEAD tokens and BINS sums; steps of the count tell first where the HEAD most frequent ones end, so that no
+    # bucket sends all of its own
+    frequent = counts.select(F.inline("head")).withColumn("step", F.floor(F.log2("c") * STEPS_OF_COUNT))
+    last, above = 0, 0
+    for r in frequent.groupBy("step").agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():
+        last, above = r["step"], above + r["n"]
+        if above >= HEAD:
+            break
+    head = frequent.where(F.col("step") >= last).orderBy(F.desc("c"), "k").limit(HEAD).collect()
     sums = {r["pos"]: (r["mass"], r["share"]) for r in counts.select(F.posexplode("bins").alias("pos", "x")).groupBy("pos").agg(F.sum("x.mass").alias("mass"), F.sum("x.share").alias("share")).collect()}
     mass, share = (np.array([sums.get(k, (0, 0))[i] for k in range(BINS)], np.float64) for i in (0, 1))
     key = np.array([r["k"] for r in head], np.int64).astype(np.uint64)
