@@ -9,6 +9,23 @@ from ..sources.checkpoints import checkpointed
 from . import tables as D
 from .tables import SQL_EDGES, SQL_EVENTS, SQL_NODES
 
+def sql_best_first(limits: expand.Limits) -> str:
+    """Common table expressions that close one node of each query a step: nodes(id), edges(src, kind, dst) and
+    start(query_id, id, score) -> found(query_id, id, score, depth)."""
+    kinds = ", ".join(f"('{k}', {v}e0)" for k, v in limits.kinds.items())
+    return f"""kw(kind, k) AS (VALUES {kinds}),
+adj AS (SELECT src AS id, dst AS other, kind FROM edges UNION ALL SELECT dst, src, kind FROM edges),
+nb AS (SELECT id, count(*) AS degree, list({{'o': other, 'k': coalesce(k, {expand.OTHER_KIND}e0)}}) AS ns FROM adj LEFT JOIN kw USING (kind) GROUP BY id),
+bfs AS (SELECT query_id, 0 AS step, list({{'m': -score, 'id': id, 't': 0, 'd': 0}}) AS q, NULL::STRUCT(m DOUBLE, id VARCHAR, t INTEGER, d INTEGER) AS b, []::VARCHAR[] AS done
+  FROM (SELECT query_id, id, max(score)::DOUBLE AS score FROM start SEMI JOIN nodes USING (id) GROUP BY ALL) GROUP BY query_id
+  UNION ALL
+  SELECT query_id, step + 1, list_filter(list_concat(q, CASE WHEN best.d >= {limits.depth} OR -best.m < {limits.least}e0 OR (best.d > 0 AND degree > {limits.hub}) OR ns IS NULL THEN []
+      ELSE list_transform(list_filter(ns, lambda n: NOT list_contains(closed, n.o)), lambda n: {{'m': best.m * {limits.decay}e0 * n.k, 'id': n.o, 't': step + 1, 'd': best.d + 1}}) END), lambda x: x.id <> best.id),
+    best, list_append(closed, best.id)
+  FROM (SELECT query_id, step, q, list_min(q) AS best, done AS closed FROM bfs WHERE len(q) > 0 AND step < {limits.budget}) s LEFT JOIN nb ON nb.id = s.best.id),
+found AS (SELECT query_id, b.id AS id, -b.m AS score, b.d AS depth FROM bfs WHERE b IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY -b.m DESC, b.id) <= {limits.nodes})"""
+
+
 SEED = "nat:3"
 CHOSEN = "substr(id, -1) = '7'"
 
@@ -176,6 +193,8 @@ SELECT path, sum(n)::BIGINT AS commit_count, max(at_ms) AS last_commit_at, strin
     "expand_hop1": f"""{_EDGES}, kw(kind, k) AS (VALUES {', '.join(f"('{k}', {v}e0)" for k, v in expand.KIND_WEIGHTS.items())}),
 nb AS (SELECT dst AS id, kind FROM edges WHERE src = '{SEED}' UNION ALL SELECT src, kind FROM edges WHERE dst = '{SEED}')
 SELECT '{SEED}' AS id, 0.8e0 AS score, 0 AS depth UNION ALL SELECT id, round(max(0.8e0 * 0.6e0 * coalesce(k, 0.5e0)), 6), 1 FROM nb LEFT JOIN kw USING (kind) GROUP BY id""",
+    "expand_best_first": f"""WITH RECURSIVE {SQL_NODES}, {SQL_EDGES}, start AS (SELECT split_part(id, ':', 2)::INTEGER AS query_id, id, 1e0 AS score FROM nodes WHERE kind = 'directory'),
+{sql_best_first(expand.Limits())} SELECT query_id, id, round(score, 6) AS score, depth FROM found""",
     "top_imported": f"{_EDGES}, {_FAN} SELECT id, fan_in FROM dg WHERE fan_in > 0 ORDER BY fan_in DESC, id LIMIT 8",
     "external_deps": f"{_EDGES} SELECT dst AS id, count(*) AS uses FROM edges WHERE dst IN (SELECT id FROM nodes WHERE kind = 'module') GROUP BY ALL ORDER BY uses DESC, id LIMIT 12",
     "dependency_summary": f"{_EDGES}, {_CHOSEN} SELECT src, dst, weight FROM edges WHERE kind = 'imports' AND src IN (FROM ch) AND dst IN (FROM ch) ORDER BY weight DESC, src, dst LIMIT 14",

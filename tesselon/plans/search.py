@@ -254,7 +254,7 @@ def _ranked_items(spark, sf):
     d = D.table(spark, sf, "documents")
     full = T.token_estimate(F.col("text"))
     is_file = F.col("doc_id") % 3 == 0
-    r = rank.best(d.select(F.col("source").alias("query_id"), F.col("doc_id").alias("id"), F.pmod(F.xxhash64("doc_id"), F.lit(1000)).cast("double").alias("score"), full.alias("full"), is_file.alias("is_file")), 50)
+    r = rank.best(d.select(F.col("source").alias("query_id"), F.col("doc_id").alias("id"), F.pmod(F.col("doc_id") * 7919, F.lit(1009)).cast("double").alias("score"), full.alias("full"), is_file.alias("is_file")), 50)
     return r.select(
         "query_id", F.col("rank").cast("int").alias("rank"), F.col("id").cast("string").alias("id"), F.pmod("id", F.lit(40)).cast("string").alias("file"), "is_file",
         F.lit(None).cast("string").alias("parent"), "full", F.ceil(F.col("full") / 8).cast("long").alias("card"), F.when(F.col("is_file"), F.lit(12)).cast("long").alias("mention"),
@@ -329,3 +329,49 @@ SELECT conv_id, turn, coalesce(tokens, '') AS tokens, coalesce(identifiers, '')
 
 
 ORACLE["query_parse"] = _sql_query_parse()
+
+
+def _sql_pack(budget: pack.Budget) -> str:
+    """The ladder as one step for each rank: what is left, files given whole, files with code, items inside."""
+    return f"""WITH RECURSIVE d AS (SELECT source AS query_id, doc_id, ceil(length(coalesce(text, '')) / 3.6e0)::BIGINT AS tokens, ((doc_id * 7919) % 1009)::DOUBLE AS score, doc_id % 3 = 0 AS is_file FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, (doc_id % 40)::VARCHAR AS file, ceil(tokens / 8e0)::BIGINT AS card FROM d QUALIFY rank <= 50),
+st AS (SELECT DISTINCT query_id, 0::BIGINT AS rank, {budget.content}::BIGINT AS rest, []::VARCHAR[] AS whole, []::VARCHAR[] AS coded, NULL::VARCHAR AS form, 0::BIGINT AS cost FROM r
+  UNION ALL
+  SELECT query_id, rank, rest - CASE WHEN form IS NULL THEN 0 ELSE cost END, CASE WHEN form = 'full' THEN list_append(whole, file) ELSE whole END, CASE WHEN form = 'code' THEN list_append(coded, file) ELSE coded END, form, cost
+  FROM (SELECT *, CASE form WHEN 'full' THEN tokens WHEN 'code' THEN tokens WHEN 'mention' THEN 12 ELSE card END AS cost FROM
+    (SELECT r.query_id, r.rank, rest, whole, coded, r.file, r.tokens, r.card, CASE WHEN list_contains(whole, r.file) THEN NULL
+      WHEN is_file AND NOT list_contains(coded, r.file) AND tokens <= least({budget.file_tokens}, rest) THEN 'full'
+      WHEN is_file AND card <= least({budget.tokens}, rest) THEN 'compressed' WHEN is_file AND 12 <= rest THEN 'mention'
+      WHEN NOT is_file AND tokens <= least({budget.symbol_tokens}, rest) THEN 'code' WHEN NOT is_file AND card <= least({budget.tokens}, rest) THEN 'card' END AS form
+     FROM st JOIN r ON r.query_id = st.query_id AND r.rank = st.rank + 1 WHERE rest > {pack.LEFT_OVER})))
+SELECT query_id, rank::INTEGER AS rank, form, cost AS tokens FROM st WHERE form IS NOT NULL"""
+
+
+ORACLE["pack_context"] = _sql_pack(pack.Budget())
+
+
+def _sql_retrieve() -> str:
+    from .graphs import sql_best_first
+
+    three = ["lexical", "semantic", "graph"]
+    parts = []
+    for s in three:
+        share = f"CASE WHEN count({s}) OVER w > 0 THEN {rank.WEIGHTS[s]}e0 ELSE 0e0 END"
+        total = " + ".join(f"CASE WHEN count({x}) OVER w > 0 THEN {rank.WEIGHTS[x]}e0 ELSE 0e0 END" for x in three)
+        x = f"CASE WHEN {s} IS NULL THEN 0e0 WHEN max({s}) OVER w - min({s}) OVER w < 1e-12 THEN 1e0 ELSE ({s} - min({s}) OVER w) / (max({s}) OVER w - min({s}) OVER w) END"
+        parts.append(f"{share} / ({total}) * ({x})")
+    hits = SQL_HITS[: SQL_HITS.rindex(",\ngraph AS")]
+    merged = SQL_MERGED[len(SQL_HITS) :]
+    seeds, last = SQL_SEEDS.rsplit("\nSELECT", 1)
+    # a query has at most 12 seeds, and what a step can look at is a star of documents with one first line
+    return f"""WITH RECURSIVE {hits},{seeds},
+start AS (SELECT{last.replace("round(score, 6) AS score", "score")}),
+fl AS (SELECT doc_id::VARCHAR AS id, split_part(text, chr(10), 1) AS first FROM documents),
+nodes AS (SELECT id FROM fl), heads AS (SELECT first, min(id) AS head FROM fl WHERE first IS NOT NULL GROUP BY first HAVING count(*) > 1),
+edges AS (SELECT id AS src, 'references' AS kind, head AS dst FROM fl JOIN heads USING (first) WHERE id <> head),
+{sql_best_first(expand.Limits())}, graph AS (SELECT query_id, id, score, depth FROM found){merged},
+sco AS (SELECT query_id, id, {' + '.join(parts)} AS score FROM cand WINDOW w AS (PARTITION BY query_id))
+SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(sco.score, 9) DESC, id)::INTEGER AS rank FROM sco QUALIFY rank <= 20"""
+
+
+ORACLE["retrieve_hybrid"] = _sql_retrieve()
