@@ -15,8 +15,6 @@ from ..functions import text as T
 from ..sources.checkpoints import checkpointed
 from . import graph
 
-#: How far chains of re-exports are followed.
-CHAIN = 8
 # What a specifier may stand for.
 ENDINGS = ("", ".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.mts", "/index.cts", "/index.js", "/index.jsx", "/index.mjs", "/index.cjs")
 
@@ -96,7 +94,7 @@ def exported(analysis: DataFrame, targets: DataFrame) -> DataFrame:
     named = r.where("NOT star").select(F.col("path").alias("via"), F.col("target").alias("path"), F.explode("names").alias("n")).select("via", "path", F.col("n.imported").alias("name"), F.col("n.exported").alias("as_name"))
     found = checkpointed(own.distinct())
     n = found.count()
-    for _ in range(CHAIN):
+    while True:  # each round follows re-exports one file further, until nothing new is reached
         through = star.join(found, "path").where("name <> 'default'").select(F.col("via").alias("path"), "name", "file", "symbol_path")
         renamed = named.join(found, ["path", "name"]).select(F.col("via").alias("path"), F.col("as_name").alias("name"), "file", "symbol_path")
         found = checkpointed(found.union(through).union(renamed).distinct())

@@ -29,9 +29,17 @@ class Budget:
 
 
 def trim(lines: DataFrame, budget: int, *keys: str) -> DataFrame:
-    """Lines (keys, i, tokens) up to the first that overflows the budget."""
-    w = Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("used", F.sum("tokens").over(w)).where(F.col("used") <= budget)
+    """Lines (keys, i, tokens) up to the first that overflows the budget.
+
+    Of the lines with tokens only the first budget + 1 of a key can matter, which a limit per key keeps before the
+    shuffle, so a key with very many lines is not sorted whole; they tell where the key is cut.
+    """
+    order = Window.partitionBy(*keys).orderBy("i")
+    running = order.rowsBetween(Window.unboundedPreceding, 0)
+    first = lines.where("tokens > 0").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= max(budget, 0) + 1)
+    cut = first.withColumn("_u", F.sum("tokens").over(running)).where(F.col("_u") > budget).groupBy(*keys).agg(F.min("i").alias("_cut"))
+    kept = lines.join(cut, list(keys), "left").where(F.col("_cut").isNull() | (F.col("i") < F.col("_cut"))).drop("_cut")
+    return kept.withColumn("used", F.sum("tokens").over(running)).where(F.col("used") <= budget)
 
 
 def ladder(items: list[dict], budget: Budget) -> list[tuple[int, str, int]]:

@@ -25,8 +25,8 @@ def normalized(v):
 def nearest(vectors: DataFrame, queries: list[tuple[int, list[float]]], limit: int = 10) -> DataFrame:
     """Exact cosine search of a few query vectors over vectors (id, v): (query_id, id, score, rank).
 
-    Queries are given values of bounded number. Every task scores its rows as one matrix product and keeps the
-    best `limit` of each query, so at most limit rows per task and query are shuffled.
+    Queries are given values of bounded number. Every task scores its batches as matrix products and keeps the best
+    `limit` of each query over all of them, so at most limit rows per task and query are shuffled.
     """
     q = np.array([v for _, v in queries], np.float64)
     norm = np.sqrt((q * q).sum(1, keepdims=True))
@@ -35,25 +35,33 @@ def nearest(vectors: DataFrame, queries: list[tuple[int, list[float]]], limit: i
     width = q.shape[1] if len(queries) else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.float64), np.zeros(0, object)) for _ in names]
+        kind = None
         for batch in batches:
             ids = batch.column(0)
+            kind = ids.type
             cells = batch.column(1)
             fits = np.array(cells.value_lengths().fill_null(0)) == width
             if not fits.any():
                 continue
             keep = pa.array(fits)
             m = np.asarray(cells.filter(keep).flatten(), np.float64).reshape(-1, width)
-            ids = ids.filter(keep)
+            own = np.array(ids.filter(keep).to_pylist(), object)
             size = np.sqrt((m * m).sum(1, keepdims=True))
             score = (m / np.where(size == 0, 1, size)) @ q.T
-            rows, cols = [], []
-            order = np.asarray(ids)
-            for k in range(score.shape[1]):
-                best = np.lexsort((order, -np.round(score[:, k], 9)))[:limit]
-                rows.append(best)
-                cols.append(np.full(len(best), k))
-            rows, cols = np.concatenate(rows), np.concatenate(cols)
-            yield pa.RecordBatch.from_arrays([pa.array(names[cols]), ids.take(pa.array(rows)), pa.array(score[rows, cols])], ["query_id", "id", "score"])
+            for k, (had, of) in enumerate(best):  # the best so far and those of this batch that may belong to them
+                s = score[:, k]
+                if len(s) > limit:
+                    near = np.flatnonzero(np.round(s, 9) >= np.round(s[np.argpartition(-s, limit - 1)[:limit]].min(), 9)) if limit else np.zeros(0, np.int64)
+                else:
+                    near = np.arange(len(s))
+                s, i = np.concatenate([had, s[near]]), np.concatenate([of, own[near]])
+                order = sorted(range(len(s)), key=lambda j: (-round(s[j], 9), i[j]))[:limit]
+                best[k] = s[order], i[order]
+        if kind is not None:
+            rows = [len(s) for s, _ in best]
+            ids = [x for _, i in best for x in i.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, rows)), pa.array(ids, kind), pa.array(np.concatenate([s for s, _ in best]) if best else np.zeros(0))], ["query_id", "id", "score"])
 
     kind = dict(vectors.dtypes)["id"]
     found = vectors.select("id", "v").where("v IS NOT NULL").mapInArrow(run, f"query_id long, id {kind}, score double")

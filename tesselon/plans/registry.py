@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import graphs, reports, search
+from . import code, graphs, reports, search
 
-_PARTS = (search, graphs, reports)
+_PARTS = (search, graphs, reports, code)
 
 
 def queries() -> dict:

@@ -31,6 +31,20 @@ def bm25_topk(spark, sf):
     return got.select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
+def bm25_stored(spark, sf):
+    """The same search over stored postings and lengths."""
+    c = D.corpus(spark, sf)
+    index = checkpointed(bm25.postings(c).repartition("term").sortWithinPartitions("term"))
+    got = bm25.search_index(index, checkpointed(bm25.lengths(c)), D.queries(spark), LIMIT)
+    return got.select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+
+def hashed_vectors(spark, sf):
+    """Cells of the unit vectors that are not 0."""
+    v = vectors.hashed_embedding(D.corpus(spark, sf)).select(F.col("id").alias("doc_id"), F.posexplode("v").alias("idx", "val"))
+    return v.where("val <> 0").select("doc_id", "idx", F.round(F.col("val").cast("double"), 5).alias("val"))
+
+
 def token_tf(spark, sf):
     return bm25.postings(D.corpus(spark, sf)).select(F.col("id").alias("doc_id"), "term", "tf")
 
@@ -278,7 +292,7 @@ def retrieve_hybrid(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    bm25_topk, token_tf, df_idf, doc_length_stats, query_parse, token_estimate, snippet, truncate_lines, identifier_parts, knn_exact, hashed_embedding,
+    bm25_topk, bm25_stored, hashed_vectors, token_tf, df_idf, doc_length_stats, query_parse, token_estimate, snippet, truncate_lines, identifier_parts, knn_exact, hashed_embedding,
     vec_cache_misses, vec_prune, name_match, seed_select, candidate_merge, rank_weighted, rank_rrf, topk_per_query, trim_to_budget, pack_context, retrieve_hybrid,
 )}
 
@@ -298,6 +312,10 @@ SELECT word, array_to_string(regexp_extract_all(regexp_replace(regexp_replace(wo
 SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s.score, 9) DESC, vec_id)::INTEGER AS rank FROM s QUALIFY rank <= 10""",
     "hashed_embedding": f"""WITH {SQL_CORPUS}, {sql_tokens('corpus', 'tok')}, tf AS (SELECT id, term, count(*) AS tf FROM tok GROUP BY ALL), vocab AS (SELECT term, {SQL_FNV} AS h FROM (SELECT DISTINCT term FROM tf))
 SELECT id AS doc_id, (h % 256)::INTEGER AS idx, round(sum(CASE WHEN (h >> 16) & 1 = 1 THEN -1e0 ELSE 1e0 END * (1 + ln(tf))), 6) AS val FROM tf JOIN vocab USING (term) GROUP BY ALL""",
+    "hashed_vectors": f"""WITH {SQL_CORPUS}, {sql_tokens('corpus', 'tok')}, tf AS (SELECT id, term, count(*) AS tf FROM tok GROUP BY ALL), vocab AS (SELECT term, {SQL_FNV} AS h FROM (SELECT DISTINCT term FROM tf)),
+cell AS (SELECT id, (h % 256)::INTEGER AS idx, sum(CASE WHEN (h >> 16) & 1 = 1 THEN -1e0 ELSE 1e0 END * (1 + ln(tf))) AS x FROM tf JOIN vocab USING (term) GROUP BY ALL),
+unit AS (SELECT id, idx, (x / sqrt(sum(x * x) OVER (PARTITION BY id)))::FLOAT AS x FROM cell)
+SELECT id AS doc_id, idx, round(x::DOUBLE, 5) AS val FROM unit WHERE x <> 0""",
     "vec_cache_misses": f"WITH {SQL_STORED} SELECT id, hash FROM chunks ANTI JOIN stored USING (id, hash)",
     "vec_prune": f"WITH {SQL_STORED} SELECT id, hash FROM stored SEMI JOIN chunks USING (id)",
     "name_match": f"WITH {SQL_HITS} SELECT query_id, id AS doc_id FROM names",
@@ -329,6 +347,7 @@ SELECT conv_id, turn, coalesce(tokens, '') AS tokens, coalesce(identifiers, '')
 
 
 ORACLE["query_parse"] = _sql_query_parse()
+ORACLE["bm25_stored"] = ORACLE["bm25_topk"]
 
 
 def _sql_pack(budget: pack.Budget) -> str:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 import subprocess
+from functools import reduce
+from operator import or_
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -66,9 +69,22 @@ def scan(spark: SparkSession, config: Config) -> DataFrame:
     d = raw.select(absolute.alias("abs_path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms"), "content")
     d = d.withColumn("path", F.substring("abs_path", len(root.as_posix()) + 2, 1_000_000))
     d = d.where(T.extension(F.col("path")).isin(*[e.lower() for e in config.extensions]) & (F.col("size") <= config.max_file_size_bytes) & ~ignored(F.col("path"), rules))
+    linked = linked_paths(root)
+    if linked:
+        d = d.where(~reduce(or_, [(F.col("path") == x) | F.col("path").startswith(x + "/") for x in linked]))
     return d.select("path", "abs_path", "size", "mtime_ms", F.col("content").cast("string").alias("content"))
 
 
+def linked_paths(root: Path) -> list[str]:
+    """Symbolic links under the root, outermost ones; what they lead to is not part of the repository."""
+    out = []
+    for folder, names, files in os.walk(root):
+        here = [n for n in [*names, *files] if os.path.islink(os.path.join(folder, n))]
+        out += [Path(folder, n).relative_to(root).as_posix() for n in here]
+        names[:] = [n for n in names if n not in here and n not in ("node_modules", ".git")]
+    return sorted(out)
+
+
 # --- git ---------------------------------------------------------------------------------------------------
 HISTORY = "path string, commit_count long, last_commit_at long, authors map<string,long>"
 _HEADER = "\x01"

@@ -117,13 +117,12 @@ def test_merge(spark):
     assert [r.name for r in graph.merged_nodes(m).collect()] == ["first"]
 
 
-@pytest.mark.parametrize("limit", [10**6, 0])
-def test_pagerank_both_ways(spark, limit):
-    """Against a dense power iteration; with limit 0 the distributed rounds run."""
+def test_pagerank(spark):
+    """Against a dense power iteration."""
     e = [("a", "b", 1.0), ("a", "c", 3.0), ("b", "c", 1.0), ("c", "a", 1.0), ("c", "d", 1.0)]
     ids = ["a", "b", "c", "d", "e"]
     n = spark.createDataFrame([(i,) for i in ids], "id string")
-    got = {r.id: r.rank for r in metrics.pagerank(n, spark.createDataFrame(e, "src string, dst string, weight double"), limit).collect()}
+    got = {r.id: r.rank for r in metrics.pagerank(n, spark.createDataFrame(e, "src string, dst string, weight double")).collect()}
     r = dict.fromkeys(ids, 0.2)
     total = {i: sum(w for a, _, w in e if a == i) for i in ids}
     for _ in range(25):
@@ -132,6 +131,33 @@ def test_pagerank_both_ways(spark, limit):
     assert abs(sum(got.values()) - 1) < 1e-9 and all(abs(got[i] - r[i]) < 1e-9 for i in ids)
 
 
+def test_trim_keeps_lines_up_to_the_first_overflow(spark):
+    rows = [("a", i, t) for i, t in enumerate([3, 0, 4, 0, 5, 0, 1])] + [("b", i, 1) for i in range(9)] + [("c", 1, 20), ("c", 2, 0), ("d", 1, 0)]
+    d = spark.createDataFrame(rows, "k string, i int, tokens int")
+    got = sorted((r.k, r.i, r.used) for r in pack.trim(d, 8, "k").collect())
+    assert got == [("a", 0, 3), ("a", 1, 3), ("a", 2, 7), ("a", 3, 7), *(("b", i, i + 1) for i in range(8)), ("d", 1, 0)]
+
+
+def test_nearest_keeps_the_best_over_all_batches(spark):
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+        rows = [(i, [float(i % 7), 1.0]) for i in range(40)]
+        got = vectors.nearest(spark.createDataFrame(rows, "id long, v array<float>").coalesce(1), [(1, [1.0, 0.0])], 9)
+        want = sorted(rows, key=lambda r: (-round(r[1][0] / (r[1][0] ** 2 + 1) ** 0.5, 9), r[0]))[:9]
+        assert [r.id for r in got.orderBy("rank").collect()] == [i for i, _ in want]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_linked_paths(tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src/a.ts").write_text("export const a = 1;")
+    (tmp_path / "link").symlink_to(tmp_path / "src")
+    (tmp_path / "src/b.ts").symlink_to(tmp_path / "src/a.ts")
+    assert R.linked_paths(tmp_path) == ["link", "src/b.ts"]
+
+
 def expanded(spark, rows, seeds, **limits):
     e = frame(spark, rows)
     n = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
