@@ -44,8 +44,8 @@ _SLIDE = SPAN - GRAM + 1  # places of an anchor in a window
 BEFORE = SPAN - GRAM  # context bytes before an anchor; after its start come SPAN
 #: Bytes of contexts whose suffix array is built at once.
 SHARD_BYTES = 2 << 20
-#: Shards for each shuffle partition.
-SHARDS = 4
+#: Shards for each hash-range bucket.
+SHARDS = 1
 #: Step of the places at which windows are told apart before they are sorted.
 GRID = 10
 
