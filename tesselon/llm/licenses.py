@@ -6,7 +6,8 @@ gives the template and the start that it implies, and a start that both rare wor
 candidate counts when the whole key phrase stands there; its score is the share of the notice's words that stand
 at their relative positions.
 
-Null and empty texts have no words, no labels and score 0. Repeated rows give equal rows. The index is bounded by
+Null and empty texts have no words, no labels and score 0. Repeated rows give equal rows. Other columns are ignored.
+Texts of any length are scanned whole. Words that are equally rare go by their place in the phrase. The index is bounded by
 the templates; only the document frequencies of their words (at most a few hundred rows) come to the driver.
 """
 

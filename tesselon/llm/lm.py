@@ -16,7 +16,8 @@ and whole texts: long texts run in windows with the state carried from one to th
 
 Null and empty texts are the end token alone. Rows with null doc_id are scored and count as training rows. Without
 training rows every token is unseen. Repeated rows count as often as they occur and give equal rows. Words are
-recognized by 64-bit hashes. Other columns are ignored.
+recognized by 64-bit hashes; of equally frequent ones those with the smaller hash come first in the head. A text of any
+length is scored whole. Rows that repeat both a doc_id and a length are in one group. Other columns are ignored.
 """
 
 from __future__ import annotations
