@@ -152,7 +152,7 @@ def _names(spark, sf):
 def _graph(spark, sf):
     """Expansion hits of a fixed form: each document passes 0.6 of its length rank to the query of its number."""
     d = D.table(spark, sf, "documents")
-    return d.where("doc_id % 3 = 0").select((F.pmod("doc_id", F.lit(4)) + 1).cast("int").alias("query_id"), F.col("doc_id").cast("string").alias("id"), (F.lit(0.6) * F.col("n_chars") / (F.col("n_chars") + 1000)).alias("score"), (F.pmod("doc_id", F.lit(2)) + 1).cast("int").alias("depth"))
+    return d.select((F.pmod("doc_id", F.lit(4)) + 1).cast("int").alias("query_id"), F.col("doc_id").cast("string").alias("id"), (F.lit(0.6) * F.col("n_chars") / (F.col("n_chars") + 1000)).alias("score"), (F.pmod("doc_id", F.lit(2)) + 1).cast("int").alias("depth"))
 
 
 SQL_HITS = f"""{SQL_BM25}, {SQL_NORM},
@@ -164,7 +164,7 @@ piece AS (SELECT query_id, query, generate_subscripts(s, 1) AS k, regexp_replace
 idt AS (SELECT query_id, lower(p) AS name, min(k) AS k, 0 AS g FROM piece WHERE length(p) >= 3 AND regexp_full_match(p, '[A-Za-z_$][A-Za-z0-9_$.]*') GROUP BY ALL),
 nterm AS (SELECT DISTINCT query_id, name FROM (SELECT query_id, name FROM idt UNION ALL SELECT id, term FROM qtok)),
 names AS (SELECT query_id, doc_id::VARCHAR AS id FROM documents JOIN nterm ON lower(split_part(text, ' ', 1)) = name),
-graph AS (SELECT (doc_id % 4 + 1)::INTEGER AS query_id, doc_id::VARCHAR AS id, 0.6e0 * n_chars / (n_chars + 1000) AS score, (doc_id % 2 + 1)::INTEGER AS depth FROM documents WHERE doc_id % 3 = 0)"""
+graph AS (SELECT (doc_id % 4 + 1)::INTEGER AS query_id, doc_id::VARCHAR AS id, 0.6e0 * n_chars / (n_chars + 1000) AS score, (doc_id % 2 + 1)::INTEGER AS depth FROM documents)"""
 
 
 def name_match(spark, sf):
