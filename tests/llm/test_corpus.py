@@ -595,3 +595,10 @@ def test_pipeline(spark, tmp_path):
     assert seen["ngram_join"] - seen["decontamination"] == {2000}
     assert seen["decontamination"] == seen["pii"] == seen["bpe"] and 2002 in seen["bpe"]
     assert {x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} == seen["bpe"]
+
+
+def test_pipeline_of_nothing(spark, none, tmp_path):
+    none.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    labels_of(spark, []).write.parquet(str(tmp_path / "labels.parquet"))
+    bench(spark, [(1, "some item of the benchmark")]).write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
