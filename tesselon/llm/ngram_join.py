@@ -9,9 +9,11 @@ Documents are sets of word shingles; two link when 100 * |intersection| >= 75 *
 3. Of the others, the rarest shared shingles (prefix filter: any linked pair shares one) are grouped; connected
    groups are coarse clusters that hold every linked pair. Clusters within BLOCK_BYTES are searched whole. A larger
    one is cut by hash into blocks, and every block is searched with a few documents of the cluster, the hubs, added.
-   What that does not connect with the cluster's largest component then goes to all of its blocks. So each pair of a
-   cluster is compared, or connected already; the members of a large group of near copies do not meet in one task,
-   and the work on it grows with its size. (A cluster of many unconnected documents costs documents times blocks.)
+   What that does not connect with the cluster's largest component then visits the other blocks and is searched against
+   their own documents, unless no size in the cluster lets it link: an overlap is at most the shared shingles, so
+   sizes n and m need 3 * (n + m) <= 7 * shared. So each pair of a cluster is compared, connected already or ruled out;
+   the members of a large group of near copies do not meet in one task, and the work on it grows with its size. (A
+   cluster of many unconnected documents that could link by size costs documents times blocks.)
 4. A T-occurrence search over inverted lists finds the links: DivideSkip sets the longest lists aside by its cost
    rule, merges the short ones from a heap, and probes the long ones by binary search.
 5. Links of all blocks are contracted to components.
@@ -223,14 +225,36 @@ def divide_skip(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.nda
     return found[good], count[good]
 
 
-def linked(ids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], label: np.ndarray | None = None) -> list[tuple[int, int]]:
+def partnered(sizes: np.ndarray, lens: np.ndarray, visitor: np.ndarray) -> np.ndarray:
+    """Which documents some other one could link to by its size, given the number of their shared shingles (lens).
+
+    Partners are all documents or, if some are visitors, a visitor's are the others and theirs the visitors.
+    """
+    out = np.zeros(len(sizes), bool)
+    for asks in (True, False) if visitor.any() else (False,):
+        own = visitor == asks
+        others = np.sort(sizes[~own] if visitor.any() else sizes)
+        n, least, most = sizes[own], -(-3 * sizes[own] // 4), 7 * lens[own] // 3 - sizes[own]
+        count = np.searchsorted(others, most, "right") - np.searchsorted(others, least)
+        out[own] = count > (0 if visitor.any() else (n <= most).astype(np.int64))
+    return out
+
+
+def linked(ids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], label: np.ndarray | None = None, visitor: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links between some documents, as pairs of ids.
 
     Documents with the same label are connected already. Each document is searched against the ones before it, in
-    order of size; those connected with it are left out of its lists, as no link to them could connect anything.
+    order of size; those connected with it are left out of its lists, as no link to them could connect anything. If
+    there are visitors, only they are searched, against all the others.
     """
+    ids, sizes = np.asarray(ids), np.asarray(sizes, np.int64)
+    visits = visitor is not None
+    visitor = np.asarray(visitor, bool) if visits else np.zeros(len(ids), bool)
+    if visits and not visitor.any():
+        return []
     order = np.lexsort((ids, sizes))
-    ids, sizes, sets = ids[order], sizes[order], [sets[i] for i in order]
+    order = order[partnered(sizes, np.array([len(s) for s in sets], np.int64), visitor)[order]]
+    ids, sizes, sets, visitor = ids[order], sizes[order], [sets[i] for i in order], visitor[order]
     lens = np.array([len(s) for s in sets], np.int64)
     if len(ids) < 2:
         return []
@@ -239,9 +263,10 @@ def linked(ids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], label: np
     tokens, token = np.unique(np.concatenate(sets), return_inverse=True)
     doc = np.repeat(np.arange(len(sets)), lens)
     by = np.lexsort((doc, token))
+    by = by[~visitor[doc[by]]]
     postings = doc[by]
     start = np.searchsorted(token[by], np.arange(len(tokens)))
-    filled = np.zeros(len(tokens), np.int64)
+    filled = np.bincount(token[by], minlength=len(tokens)) if visits else np.zeros(len(tokens), np.int64)
     own_at = np.concatenate([[0], np.cumsum(lens)])
     out = []
 
@@ -250,30 +275,33 @@ def linked(ids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], label: np
             out.append((int(ids[q]), int(ids[c])))
             part[part == part[q]] = part[c]
 
-    for q in range(len(ids)):
+    for q in np.flatnonzero(visitor).tolist() if visits else range(len(ids)):
         own = token[own_at[q] : own_at[q + 1]]
         n = int(sizes[q])
         lowest, least = int(np.searchsorted(sizes, needed(n))), needed(n)
+        # those before it; a visitor also meets larger ones, up to the size that its shared shingles allow
+        end = int(np.searchsorted(sizes, 7 * len(own) // 3 - n, "right")) if visits else q
         held = own[filled[own] > 0]
-        if lowest < q and len(held) >= least:
+        if lowest < end and len(held) >= least:
             # the documents that stand last in the shortest lists are likely to link, which settles all that are
             # connected with them
             by_length = held[np.argsort(filled[held], kind="stable")[:GUESSES]]
             for guess in np.unique(postings[start[by_length] + filled[by_length] - 1])[::-1].tolist():
-                if guess >= lowest and part[guess] != part[q]:
+                if lowest <= guess < end and part[guess] != part[q]:
                     common = len(np.intersect1d(sets[q], sets[guess], assume_unique=True))
                     if 7 * common >= 3 * (n + int(sizes[guess])):
                         join(q, guess)
             merged = slices(postings, start[held], filled[held])
             of = np.repeat(np.arange(len(held)), filled[held])
-            open_ = (merged >= lowest) & (part[merged] != part[q])
+            open_ = (merged >= lowest) & (merged < end) & (part[merged] != part[q])
             merged, of = merged[open_], of[open_]
             cut = np.flatnonzero(of[1:] != of[:-1]) + 1
             lists = np.split(merged, cut) if len(merged) else []
             found, count = divide_skip(lists, least)
             for c in found[7 * count >= 3 * (n + sizes[found])].tolist():
                 join(q, c)
-        filled[own] += 1
+        if not visits:
+            filled[own] += 1
     return out
 
 
@@ -282,16 +310,25 @@ _EDGE_TYPE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 def _search(table: pa.Table) -> pa.Table:
     sets = [np.frombuffer(x, np.uint64) for x in table.column("shared").to_pylist()]
-    label = table.column("part").to_numpy() if "part" in table.column_names else None
-    got = linked(table.column("doc_id").to_numpy(), table.column("n_shingles").to_numpy(), sets, label)
+    label, visitor = (table.column(c).to_numpy(zero_copy_only=False) if c in table.column_names else None for c in ("part", "visitor"))
+    got = linked(table.column("doc_id").to_numpy(), table.column("n_shingles").to_numpy(), sets, label, visitor)
     return pa.table([pa.array([e[k] for e in got], pa.int64()) for k in (0, 1)], schema=_EDGE_TYPE)
 
 
 def searched(rows: DataFrame) -> DataFrame:
-    """Edges of the links inside each key's rows (key, doc_id, n_shingles, shared and perhaps part)."""
+    """Edges of the links inside each key's rows (key, doc_id, n_shingles, shared and perhaps part and visitor)."""
     return rows.groupBy("key").applyInArrow(trimmed(lambda table: _search(table)), "u long, v long")
 
 
+def linkable(member: DataFrame) -> DataFrame:
+    """The doc_ids of member (label, doc_id, n: set size, s: shared shingles) that a size in their cluster lets link.
+    The sizes of a cluster are gathered in bands of 2 %, whose number is bounded."""
+    band = member.groupBy("label", F.floor(F.log2("n") * 32).alias("band")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    bands = band.groupBy("label").agg(F.collect_list(F.struct("lo", "hi")).alias("bands"))
+    fits = F.exists("bands", lambda x: (4 * x["hi"] >= 3 * F.col("n")) & (3 * (F.col("n") + x["lo"]) <= 7 * F.col("s")))
+    return member.join(bands, "label").where(fits).select("doc_id").distinct()
+
+
 def labels(sets: DataFrame, same: DataFrame) -> DataFrame:
     """(node, label) of the components of all links between the rows of `prepared` and of the edges `same`."""
     able = sets.where("shared IS NOT NULL")
@@ -314,20 +351,25 @@ def labels(sets: DataFrame, same: DataFrame) -> DataFrame:
     def key(block):
         return F.xxhash64("label", block)
 
-    member = checkpointed(coarse.join(large, "label").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.col("blocks")).cast("int")))
+    member = coarse.join(large, "label").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.col("blocks")).cast("int"))
+    sized = able.select("doc_id", F.col("n_shingles").alias("n"), (F.octet_length("shared") / 8).alias("s"))
+    fit = linkable(member.select("label", "doc_id").join(sized, "doc_id")).withColumn("open", F.lit(True))
+    member = checkpointed(member.join(fit, "doc_id", "left").withColumn("open", F.coalesce("open", F.lit(False))))
+    # what no size in the cluster lets link is no hub
     order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id")
-    hub = member.withColumn("r", F.row_number().over(order)).where(F.col("r") <= HUBS).select("label", "blocks", "doc_id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    hub = member.where("open").withColumn("r", F.row_number().over(order)).where(F.col("r") <= HUBS).select("label", "blocks", "doc_id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     placed = member.select("label", "doc_id", "block").union(hub.select("label", "doc_id", "block")).distinct()
     inner = searched(able.join(placed, "doc_id").select(key(F.col("block")).alias("key"), "doc_id", "n_shingles", "shared"))
     part = components(found.union(inner).union(same))
     member = member.join(part.select(F.col("node").alias("doc_id"), F.col("label").alias("part")), "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
     counts = member.groupBy("label", "part").agg(F.count("*").alias("n")).groupBy("label").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
     member = checkpointed(member.join(counts, "label"))
-    away = member.where("part <> main").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("to <> block")
+    away = member.where("part <> main AND open").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("to <> block")
     # only blocks of clusters that have such documents are searched again
-    home = member.join(member.where("part <> main").select("label").distinct(), "label", "left_semi")
-    rows = home.select("doc_id", "part", key(F.col("block")).alias("key")).union(away.select("doc_id", "part", key(F.col("to")).alias("key")))
-    across = searched(able.join(rows, "doc_id").select("key", "doc_id", "n_shingles", "shared", "part"))
+    home = member.where("open").join(member.where("part <> main AND open").select("label").distinct(), "label", "left_semi")
+    rows = home.select("doc_id", "part", key(F.col("block")).alias("key"), F.lit(False).alias("visitor"))
+    rows = rows.union(away.select("doc_id", "part", key(F.col("to")).alias("key"), F.lit(True).alias("visitor")))
+    across = searched(able.join(rows, "doc_id").select("key", "doc_id", "n_shingles", "shared", "part", "visitor"))
     # links between components, which are then contracted
     of = member.select("doc_id", "part")
     joined = across.join(of.select(F.col("doc_id").alias("u"), F.col("part").alias("a")), "u").join(of.select(F.col("doc_id").alias("v"), F.col("part").alias("b")), "v")

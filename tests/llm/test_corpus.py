@@ -204,6 +204,51 @@ def test_search_over_labelled_parts(seed):
     assert parts([*ngram_join.linked(ids, sizes, sets, label), *given]) == parts([*links, *given])
 
 
+def family(n=240):
+    """Copies of one text with a word of their own in every 100th place or, each third, so often that they link with none."""
+    words = vocabulary()[:200]
+    rows = []
+    for i in range(n):
+        own = list(words)
+        for p in range(i % 25, 200, 25 if i % 3 == 0 else 100):
+            own[p] = f"own{i}x{p}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+def test_a_family_costs_in_proportion(make, monkeypatch):
+    """Members that no size lets link do not go to all blocks of their cluster."""
+    rows, sent = family(), []
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 8000)
+    search = ngram_join.searched
+
+    def counted(table):
+        sent.append(table.count())
+        return search(table)
+
+    monkeypatch.setattr(ngram_join, "searched", counted)
+    got = sorted(map(tuple, ngram_join.groups(make(rows)).collect()))
+    expected = sorted(brute_groups(rows))
+    assert got == expected and sum(c == i for i, _, c in expected) > 40
+    assert len(sent) == 3 and sum(sent) < 4 * len(rows)
+
+
+def test_visitors_are_searched_against_the_others():
+    """Smaller and larger ones, and not among themselves."""
+    r = np.random.default_rng(4)
+    base = r.integers(0, 2**63, 80, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([r.permutation(base)[: r.integers(60, 80)], r.integers(0, 2**63, r.integers(0, 9), dtype=np.uint64)])) for _ in range(80)]
+    ids, sizes, visitor = np.arange(80), np.array([len(s) for s in sets]), np.arange(80) % 4 == 0
+    links = {(a, b) for a in range(80) for b in range(80) if visitor[a] and not visitor[b] and 7 * len(np.intersect1d(sets[a], sets[b])) >= 3 * (sizes[a] + sizes[b])}
+    got = ngram_join.linked(ids, sizes, sets, None, visitor)
+    root = list(range(80))
+    for a, b in got:
+        assert (a, b) in links
+        root = [min(root[a], root[b]) if z in (root[a], root[b]) else z for z in root]
+    assert links and all(root[a] == root[b] for a, b in links)
+    assert ngram_join.linked(ids, sizes, sets, None, np.zeros(80, bool)) == []
+
+
 def test_one_of_each_group_is_kept(make):
     rows = corpus()
     expected = {i for i, _, c in brute_groups(rows) if c == i and i is not None}
