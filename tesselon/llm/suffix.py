@@ -97,32 +97,36 @@ def _induce_buckets(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, size: n
 def _induce_scan(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The same as two scans over the array, for alphabets with many small buckets."""
     n = len(s)
-    text, small = s.tolist(), smaller.tolist()
     tail = np.cumsum(size)
-    head, end = (tail - size).tolist(), tail.tolist()
-    sa = [-1] * n
-    for p in lms[::-1].tolist():
-        end[text[p]] -= 1
-        sa[end[text[p]]] = p
-    seeds = [i for i in range(n) if sa[i] >= 0]
-    c = text[n - 1]
+    # of each place the symbol before it, if a larger (or smaller) suffix starts there; place n stands for no suffix
+    larger_before, smaller_before = np.full(n + 1, -1, np.int64), np.full(n + 1, -1, np.int64)
+    larger_before[1:n][~smaller[:-1]] = s[:-1][~smaller[:-1]]
+    smaller_before[1:n][smaller[:-1]] = s[:-1][smaller[:-1]]
+    of = s[lms]
+    by = np.argsort(of, kind="stable")
+    seeds = np.bincount(of, minlength=len(size))
+    seed_at = (tail - np.cumsum(seeds))[of[by]] + np.arange(len(lms))
+    start = np.full(n, n, np.int64)
+    start[seed_at] = lms[by]
+    sa, head, before = start.tolist(), (tail - size).tolist(), larger_before.tolist()
+    c = int(s[n - 1])
     sa[head[c]] = n - 1
     head[c] += 1
-    for i in range(n):
-        j = sa[i] - 1
-        if j >= 0 and not small[j]:
-            c = text[j]
-            sa[head[c]] = j
-            head[c] += 1
-    for i in seeds:  # leftmost-smaller suffixes are placed anew from the right
-        sa[i] = -1
-    end = tail.tolist()
-    for i in range(n - 1, -1, -1):
-        j = sa[i] - 1
-        if j >= 0 and small[j]:
-            c = text[j]
-            end[c] -= 1
-            sa[end[c]] = j
+    for p in sa:  # sees what is put behind
+        c = before[p]
+        if c >= 0:
+            h = head[c]
+            sa[h] = p - 1
+            head[c] = h + 1
+    for i in seed_at.tolist():  # leftmost-smaller suffixes are placed anew from the right
+        sa[i] = n
+    end, before = tail.tolist(), smaller_before.tolist()
+    for p in reversed(sa):
+        c = before[p]
+        if c >= 0:
+            e = end[c] - 1
+            sa[e] = p - 1
+            end[c] = e
     return np.array(sa, np.int32)
 
 

@@ -44,8 +44,8 @@ _SLIDE = SPAN - GRAM + 1  # places of an anchor in a window
 BEFORE = SPAN - GRAM  # context bytes before an anchor; after its start come SPAN
 #: Bytes of contexts whose suffix array is built at once.
 SHARD_BYTES = 2 << 20
-#: Shards for each hash-range bucket.
-SHARDS = 1
+#: Groups of documents for each shard: what groups send to shards is packed apart, which costs groups times shards.
+SHARD_GROUPS = 4
 #: Step of the places at which windows are told apart before they are sorted.
 GRID = 10
 
@@ -81,7 +81,8 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     padded = np.concatenate([np.zeros(_SLIDE - 1, np.uint64), least, np.zeros(len(key) - len(least), np.uint64)])
     at = np.flatnonzero(_sliding(padded, _SLIDE, np.maximum) == key)
     text = np.searchsorted(first, at, side="right") - 1
-    return text, at - first[text], key[at]
+    # least hashes are small ones: mixed again, they spread over all ranges
+    return text, at - first[text], mix(key[at])
 
 
 def all_anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -379,6 +380,7 @@ def dedup(docs: DataFrame, keep: bool = False, merge: bool = True) -> DataFrame:
     equal one before the suffix arrays, which then decide alone; the rows are the same."""
     n = partitions(docs)
     buckets = buckets_of(docs.sparkSession, n)
+    shards = buckets_of(docs.sparkSession, -(-n // SHARD_GROUPS))
     d, classes = keyed(docs, n), sent_classes(docs, n)
     schema = _RESULT_TYPE.append(pa.field("kept", pa.binary())) if keep else _RESULT_TYPE
 
@@ -404,7 +406,7 @@ def dedup(docs: DataFrame, keep: bool = False, merge: bool = True) -> DataFrame:
             distinct, place = np.unique(k, return_inverse=True)
             return df[place] > 1 if len(distinct) else np.zeros(0, bool)
 
-        return by_shard(key[0].as_py(), *contexts(texts, ids, shared, merge), SHARDS * buckets)
+        return by_shard(key[0].as_py(), *contexts(texts, ids, shared, merge), shards)
 
     def finish(key, left, right):
         mine, rest = class_rows(right)

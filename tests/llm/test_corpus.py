@@ -125,6 +125,15 @@ def test_windows_of_one_anchor_in_several_arrays(shard, monkeypatch):
         assert (got[i] == cover).all()
 
 
+def test_anchors_spread_over_all_ranges():
+    """Their hashes are the least of many, but no range of keys gets more than its share."""
+    r = random.Random(3)
+    texts = [bytes(r.choices(b"abcdefghij ", k=2000)) for _ in range(100)]
+    _, _, key = suffix_dedup.all_anchors(texts)
+    share = np.diff(textcore.bucket_edges(np.sort(key), 16)) / len(key)
+    assert len(key) > 5000 and share.min() > 0.8 / 16 and share.max() < 1.2 / 16
+
+
 def test_suffix_dedup_of_nothing(none):
     assert suffix_dedup.dedup(none).collect() == []
 
