@@ -404,11 +404,12 @@ def groups(docs: DataFrame) -> DataFrame:
 def kept(docs: DataFrame) -> DataFrame:
     """docs with one document of each group (its smallest doc_id; of rows that repeat it, the one whose text has the
     smallest md5), all columns. Rows with null doc_id stay."""
-    chosen = _grouped(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept"), F.col("h").alias("_h")).distinct()
+    chosen = _grouped(docs).where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.min("h").alias("_h"))
     h = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    out = docs.join(chosen, (docs["doc_id"] == chosen["_kept"]) & (h == chosen["_h"]), "left_semi")
+    # joined by id alone (an equality with h would be a key too), rows with their texts already lie as the window needs them
+    out = docs.join(chosen, (docs["doc_id"] == chosen["_kept"]) & (h >= chosen["_h"]) & (h <= chosen["_h"]), "left_semi")
     row = free_name(docs, "row")
-    out = out.withColumn(row, F.row_number().over(Window.partitionBy("doc_id").orderBy(h))).where(F.col(row) == 1).drop(row)
+    out = out.withColumn(row, F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).where(F.col(row) == 1).drop(row)
     return out.unionByName(docs.where("doc_id IS NULL"))
 
 

@@ -242,6 +242,20 @@ def test_a_family_costs_in_proportion(make, monkeypatch):
     assert len(sent) == 3 and sum(sent) < 4 * len(rows)
 
 
+def test_kept_rows_move_once(make, spark):
+    """Texts are dealt by id for the join, and not again for the choice among rows that repeat one."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        out = ngram_join.kept(make(repeated_rows() * 2))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Window" in plan and "Exchange" not in plan.split("SortMergeJoin")[0]
+        assert sorted((r.doc_id, r.text or "") for r in out.collect()) == sorted((r.doc_id, r.text or "") for r in ngram_join.kept(make(repeated_rows())).collect())
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_visitors_are_searched_against_the_others():
     """Smaller and larger ones, and not among themselves."""
     r = np.random.default_rng(4)
