@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .textcore import (
     EMIT, REPLY, buckets_of, checkpointed, chunks_of, components, doc_key, emit, free_name, gathered, md5_hex, partitions, replies,
-    shingle_hashes, split_counts, text_classes, text_rows, texts_of, trimmed, word_hashes,
+    shingle_hashes, split_counts, tasks_of, text_classes, text_rows, texts_of, trimmed, word_hashes,
 )
 
 SHINGLE = 5
@@ -84,10 +84,11 @@ def sent_classes(docs: DataFrame, n: int) -> DataFrame:
     return c.select(doc_key(c, n).alias("g"), F.lit(-1).alias("b"), payload.alias("payload"))
 
 
-def keyed(docs: DataFrame, n: int) -> DataFrame:
+def keyed(docs: DataFrame, n: int, tasks: int | None = None) -> DataFrame:
+    """Rows with their group of n, dealt to as many tasks or the given number."""
     d = text_rows(docs).where("doc_id IS NOT NULL")
     # a fixed number of partitions: the optimizer would join small ones to large tasks
-    return d.select(doc_key(d, n).alias("g"), "doc_id", "text").repartition(n, "g")
+    return d.select(doc_key(d, n).alias("g"), "doc_id", "text").repartition(tasks or n, "g")
 
 
 def _frequencies(merged: np.ndarray) -> np.ndarray:
@@ -127,7 +128,7 @@ def prepared(docs: DataFrame) -> DataFrame:
     with several texts also a row for each of them, without a set."""
     n = partitions(docs)
     buckets = buckets_of(docs.sparkSession, n)
-    d, classes = keyed(docs, n), sent_classes(docs, n)
+    d, classes = keyed(docs, n, tasks_of(docs.sparkSession, n)), sent_classes(docs, n)
 
     def send(key, left, right):
         mine, _ = class_rows(right)
@@ -164,7 +165,7 @@ def prepared(docs: DataFrame) -> DataFrame:
         return pa.table([pa.array(x, t) for x, t in zip(columns, _SETS_TYPE.types)], schema=_SETS_TYPE)
 
     sent = d.groupBy("g").cogroup(classes.groupBy("g")).applyInArrow(trimmed(send), EMIT)
-    back = sent.repartition(buckets, "b").groupBy("b").applyInArrow(trimmed(answer), REPLY)
+    back = sent.repartition(tasks_of(docs.sparkSession, buckets), "b").groupBy("b").applyInArrow(trimmed(answer), REPLY)
     return d.groupBy("g").cogroup(back.unionByName(classes).groupBy("g")).applyInArrow(trimmed(finish), SETS)
 
 

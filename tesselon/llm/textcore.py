@@ -120,6 +120,17 @@ def buckets_of(spark: SparkSession, n: int) -> int:
     return max(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Groups or buckets that a task handles, one after the other.
+TASK_GROUPS = 4
+
+
+def tasks_of(spark: SparkSession, n: int) -> int:
+    """Tasks for n groups or buckets. Each task whose rows are checkpointed writes two files (data and checksum), and on
+    a local file system without Hadoop's native library the executor starts a process for each, to set its mode. Not
+    fewer than the session's shuffle partitions: Spark would deal the rows anew before a cogroup."""
+    return min(n, buckets_of(spark, -(-n // TASK_GROUPS)))
+
+
 def doc_key(df: DataFrame, n: int):
     """The group of a document: uniform in doc_id, so no source, copy group or text length is concentrated."""
     return F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")

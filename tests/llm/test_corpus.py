@@ -242,6 +242,22 @@ def test_a_family_costs_in_proportion(make, monkeypatch):
     assert len(sent) == 3 and sum(sent) < 4 * len(rows)
 
 
+def test_several_groups_share_a_task(make, spark, monkeypatch):
+    """What is checkpointed has a file for several groups, and the rows stay those of brute force."""
+    rows = corpus() + [(10_000 + i, t) for i, t in repeated_rows()]
+    monkeypatch.setattr(textcore, "GROUP_BYTES", 10_000)
+    groups, files = textcore.partitions(make(rows)), []
+
+    def checkpointed(df):
+        files.append(df.rdd.getNumPartitions())
+        return textcore.checkpointed(df)
+
+    monkeypatch.setattr(ngram_join, "checkpointed", checkpointed)
+    got = sorted(map(tuple, ngram_join.groups(make(rows)).collect()), key=repr)
+    assert got == brute_groups(rows)
+    assert groups > 16 and files[0] <= -(-groups // 4)
+
+
 def test_kept_rows_move_once(make, spark):
     """Texts are dealt by id for the join, and not again for the choice among rows that repeat one."""
     key = "spark.sql.autoBroadcastJoinThreshold"
