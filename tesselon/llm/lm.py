@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import checkpointed, chunks_of, crc_mod, emit, gathered, partitions, replies, split_counts, text_rows, texts_of, trimmed, word_hashes
+from .textcore import checkpointed, chunks_of, crc_mod, emit, gathered, partitions, replies, split_counts, tasks_of, text_rows, texts_of, trimmed, word_hashes
 
 HEAD, WIDTH, BINS = 4096, 64, 40
 HIDDEN, WINDOW, STREAMS = 16, 16, 1024
@@ -302,7 +302,7 @@ class Network:
 def _keyed(docs: DataFrame, n: int) -> DataFrame:
     held = F.coalesce(crc_mod() % 7 == 2, F.lit(False)).alias("held_out")
     d = text_rows(docs)
-    return d.select(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n)).cast("int").alias("g"), "doc_id", "text", held).repartition(n, "g")
+    return d.select(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n)).cast("int").alias("g"), "doc_id", "text", held).repartition(tasks_of(d.sparkSession, n), "g")
 
 
 def corpus_counts(d: DataFrame, n: int) -> DataFrame:
@@ -342,7 +342,7 @@ def corpus_counts(d: DataFrame, n: int) -> DataFrame:
             .append_column("head", pa.array([head, *rest], entry)).append_column("bins", pa.array([bins, *rest], pair))
         )
 
-    return d.groupBy("g").applyInArrow(trimmed(send), "b int, g int, payload binary").repartition(n, "b").groupBy("b").applyInArrow(trimmed(answer), _COUNTS)
+    return d.groupBy("g").applyInArrow(trimmed(send), "b int, g int, payload binary").repartition(tasks_of(d.sparkSession, n), "b").groupBy("b").applyInArrow(trimmed(answer), _COUNTS)
 
 
 def fitted(rows: DataFrame, network: Network, turn: int, fan: int = 16) -> Network:

@@ -428,6 +428,27 @@ def test_every_token_is_a_target_once_at_every_size(n, monkeypatch):
     assert seen == collections.Counter(tokens.tolist())
 
 
+def test_several_groups_share_a_task_of_the_model(make, monkeypatch):
+    """What is checkpointed has a file for several groups, and the counts stay right."""
+    rows = [(i, t) for i, t in corpus() if i is not None and i >= 100]
+    monkeypatch.setattr(textcore, "GROUP_BYTES", 3000)
+    groups, files = textcore.partitions(make(rows)), []
+
+    def checkpointed(df):
+        files.append(df.rdd.getNumPartitions())
+        return textcore.checkpointed(df)
+
+    monkeypatch.setattr(lm, "checkpointed", checkpointed)
+    got = {r.doc_id: r for r in lm.score(make(rows)).collect()}
+    assert groups > 16 and len(files) == 2 and max(files) <= -(-groups // 4)
+    own = {i: [*WORDS.findall(t.encode()), b""] for i, t in rows}
+    count = collections.Counter(w for i, ws in own.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
+    total = sum(count.values())
+    for i, ws in own.items():
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(ws), sum(count[w] > 0 for w in ws), total)
+        assert math.isclose(got[i].base_score, sum(math.log10((count[w] + 1) / (total + len(count) + 1)) for w in ws), rel_tol=1e-9)
+
+
 def test_scores_of_nothing(none):
     assert lm.score(none).collect() == []
 
