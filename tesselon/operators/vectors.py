@@ -80,11 +80,17 @@ def hashed_sparse(corpus: DataFrame) -> DataFrame:
 
 
 def hashed_embedding(corpus: DataFrame) -> DataFrame:
-    """(id, v): unit vectors of DIMENSIONS floats; texts without terms are zero vectors."""
-    cells = hashed_sparse(corpus).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("idx", "val"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
+    """(id, v): unit vectors of DIMENSIONS floats; texts without terms are zero vectors.
+
+    Map and norm are aggregated first, and each is named twice below so that the optimizer keeps them as columns:
+    inside the lambda they would be computed again for each cell.
+    """
+    entry = F.struct("idx", "val")
+    cells = hashed_sparse(corpus).groupBy("id").agg(F.map_from_entries(F.collect_list(entry)).alias("m"), F.sqrt(F.sum(F.col("val") * F.col("val"))).alias("norm"))
+    norm = F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)) / norm)
     zero = F.array_repeat(F.lit(0.0), DIMENSIONS)
-    out = corpus.select("id").join(cells.select("id", normalized(dense).alias("v")), "id", "left")
+    out = corpus.select("id").join(cells.select("id", F.when(F.col("m").isNotNull(), dense).alias("v")), "id", "left")
     return out.select("id", F.coalesce("v", zero).cast("array<float>").alias("v"))
 
 

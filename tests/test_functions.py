@@ -105,6 +105,14 @@ def test_vectors(spark):
     assert abs(sum(x * x for x in e[1]) - 1) < 1e-5 and set(e[2]) == {0.0} and len(e[2]) == 256
 
 
+def test_norm_is_no_part_of_the_lambda_over_cells(spark):
+    """Inside it, it would be computed again for each cell of a vector."""
+    c = spark.createDataFrame([(1, "auth token auth")], "id long, text string")
+    plan = vectors.hashed_embedding(c)._jdf.queryExecution().optimizedPlan().toString()
+    dense = [line for line in plan.splitlines() if "element_at" in line]
+    assert dense and not any(x in line for line in dense for x in ("SQRT", "map_from_entries", "aggregate("))
+
+
 def frame(spark, rows, kind="calls"):
     return spark.createDataFrame([(a, k, b, 1.0) for a, k, b in rows], "src string, kind string, dst string, weight double")
 
