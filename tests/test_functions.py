@@ -139,6 +139,22 @@ def test_pagerank(spark):
     assert abs(sum(got.values()) - 1) < 1e-9 and all(abs(got[i] - r[i]) < 1e-9 for i in ids)
 
 
+def test_pagerank_in_blocks(spark):
+    """Three blocks and nine cells, with edges that are not merged and ends that are no nodes; no edge is shuffled after packing."""
+    e = [(f"n{a}", k, f"n{(a * a + s) % 50}", 1.0 + s) for a in range(40) for s, k in enumerate(["calls", "imports", "calls"])] + [("n1", "calls", "gone", 2.0), ("gone", "calls", "n2", 5.0)]
+    n = spark.createDataFrame([(f"n{i}",) for i in range(50)], "id string")
+    got = {r.id: r.rank for r in metrics.pagerank(n, spark.createDataFrame(e, "src string, kind string, dst string, weight double"), 3).collect()}
+    ids = [f"n{i}" for i in range(50)]
+    r = dict.fromkeys(ids, 1 / 50)
+    total = {i: sum(w for a, _, _, w in e if a == i) for i in ids}
+    for _ in range(25):
+        loose = sum(r[i] for i in ids if not total[i])
+        r = {i: 0.15 / 50 + 0.85 * (sum(r[a] * w / total[a] for a, _, b, w in e if b == i and a in r) + loose / 50) for i in ids}
+    assert got.keys() == r.keys() and all(abs(got[i] - r[i]) < 1e-12 for i in ids)
+    assert metrics.pagerank(n.limit(0), spark.createDataFrame(e, "src string, kind string, dst string, weight double")).count() == 0
+    assert {round(x.rank, 9) for x in metrics.pagerank(n, spark.createDataFrame([], "src string, dst string, weight double")).collect()} == {0.02}
+
+
 def test_trim_keeps_lines_up_to_the_first_overflow(spark):
     rows = [("a", i, t) for i, t in enumerate([3, 0, 4, 0, 5, 0, 1])] + [("b", i, 1) for i in range(9)] + [("c", 1, 20), ("c", 2, 0), ("d", 1, 0)]
     d = spark.createDataFrame(rows, "k string, i int, tokens int")
