@@ -88,6 +88,8 @@ def linked_paths(root: Path) -> list[str]:
 # --- git ---------------------------------------------------------------------------------------------------
 HISTORY = "path string, commit_count long, last_commit_at long, authors map<string,long>"
 _HEADER = "\x01"
+#: Numbers of lines in one range of a log.
+RANGE = 1 << 16
 
 
 def git_log(root: str, window_days: int = 180, max_commits: int = 2000) -> list[str] | None:
@@ -109,11 +111,16 @@ def unquoted(line: str) -> str:
 def history_of_lines(lines: DataFrame) -> DataFrame:
     """lines (n, line) of a log -> HISTORY: a header carries its author and time to the paths below it.
 
-    The log is bounded by the number of commits asked for, so one ordered window over it is bounded too.
+    Headers are carried within ranges of RANGE numbers, each a window of its own; what a range begins with is the last
+    header of the ranges before it, found over one row for each.
     """
     head = F.when(F.col("line").startswith(_HEADER), F.substring("line", 2, 1_000_000))
-    w = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    d = lines.withColumn("head", F.last(head, ignorenulls=True).over(w))
+    d = lines.select("n", "line", F.floor(F.col("n") / RANGE).alias("range"), head.alias("own"))
+    ends = d.groupBy("range").agg(F.max_by("own", F.when(F.col("own").isNotNull(), F.col("n"))).alias("end"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    begins = ends.select("range", F.last("end", ignorenulls=True).over(before).alias("begin"))
+    w = Window.partitionBy("range").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("within", F.last("own", ignorenulls=True).over(w)).join(begins, "range").withColumn("head", F.coalesce("within", "begin"))
     d = d.where((F.col("line") != "") & ~F.col("line").startswith(_HEADER) & F.col("head").isNotNull())
     d = d.select(F.col("line").alias("path"), (F.split("head", "\t")[0].cast("long") * 1000).alias("at"), F.split("head", "\t")[1].alias("author"))
     by = d.groupBy("path", "author").agg(F.count("*").alias("n"), F.max("at").alias("at"))

@@ -298,6 +298,26 @@ def test_git_lines(spark):
     assert got == {"src/a.ts": (2, 2000, {"Ann": 1, "Bob": 1}), "src/b.ts": (1, 1000, {"Bob": 1})}
 
 
+def test_git_lines_over_ranges(spark, monkeypatch):
+    """Headers are carried over ranges without lines of their own, and no window holds all lines."""
+    monkeypatch.setattr(R, "RANGE", 2)
+    lines = ["lost.ts", "\x012\tAnn", "src/a.ts", "src/b.ts", "src/c.ts", "src/d.ts", "src/e.ts", "\x011\tBob", "src/a.ts"]
+    d = R.history_of_lines(spark.createDataFrame(list(enumerate(lines)), "n long, line string"))
+    got = {r.path: (r.commit_count, r.last_commit_at, dict(r.authors)) for r in d.collect()}
+    ann = {f"src/{x}.ts": (1, 2000, {"Ann": 1}) for x in "bcde"}
+    assert got == {"src/a.ts": (2, 2000, {"Ann": 1, "Bob": 1}), **ann}
+    windows = [x for x in d._jdf.queryExecution().optimizedPlan().toString().splitlines() if "+- Window" in x]
+    assert len(windows) == 2 and sum("[n#" in x for x in windows) == 1 and all("[range#" in x for x in windows)
+
+
+def test_files_are_dealt_before_analysis(spark):
+    from tesselon.sources import analysis
+
+    files = spark.createDataFrame([(f"src/a{i}.ts", "export const x = 1;") for i in range(200)], "path string, content string").coalesce(1)
+    sizes = analysis.analyses(files).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > 4 and sum(r["count"] for r in sizes) == 200
+
+
 @pytest.mark.parametrize("rule,yes,no", [
     ("dist/", ["dist/a.ts", "x/dist/a.ts"], ["dist.ts", "xdist/a.ts"]), ("*.min.js", ["a.min.js", "x/a.min.js"], ["a.js"]), ("/top", ["top", "top/a.ts"], ["x/top"]),
     ("a/**/z.ts", ["a/z.ts", "a/b/c/z.ts"], ["b/z.ts"]), ("src/*.ts", ["src/a.ts"], ["src/b/a.ts", "x/src/a.ts"]), ("# note", [], ["note"]), ("?.ts", ["a.ts"], ["ab.ts"]),
