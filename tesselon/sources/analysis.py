@@ -29,10 +29,13 @@ ANALYSIS = (
 Analyzer = tuple[tuple[str, ...], Callable[[str, str], dict | None]]
 BUILT_IN: Analyzer = (EXTENSIONS, script.analyze)
 FILE_CHUNK, SYMBOL_CHUNK = 4000, 8000
+#: Parts of the files for each core.
+PARTS = 4
 
 
 def analyses(files: DataFrame, analyzers: tuple[Analyzer, ...] = (BUILT_IN,)) -> DataFrame:
-    """One row per file that an analyzer could read."""
+    """One row per file that an analyzer could read. Files are dealt to all cores first: a table of a million of them may
+    be one small split."""
     schema = to_arrow_schema(StructType.fromDDL(ANALYSIS))
 
     def run(batches):
@@ -46,7 +49,8 @@ def analyses(files: DataFrame, analyzers: tuple[Analyzer, ...] = (BUILT_IN,)) ->
                     rows.append(got)
             yield from pa.Table.from_pylist(rows, schema=schema).to_batches()
 
-    return files.select("path", "content").mapInArrow(run, ANALYSIS)
+    parts = PARTS * files.sparkSession.sparkContext.defaultParallelism
+    return files.select("path", "content").repartition(parts, "path").mapInArrow(run, ANALYSIS)
 
 
 def chunks(analysis: DataFrame, files: DataFrame) -> DataFrame:
