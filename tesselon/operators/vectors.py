@@ -13,6 +13,8 @@ from ..functions import text as T
 
 # Width of the hashed embedding and the bit that gives the sign.
 DIMENSIONS, SIGN_BIT = 256, 16
+#: Queries that are scored against a batch at once.
+STEP = 128
 
 
 def normalized(v):
@@ -48,9 +50,11 @@ def nearest(vectors: DataFrame, queries: list[tuple[int, list[float]]], limit: i
             m = np.asarray(cells.filter(keep).flatten(), np.float64).reshape(-1, width)
             own = np.array(ids.filter(keep).to_pylist(), object)
             size = np.sqrt((m * m).sum(1, keepdims=True))
-            score = (m / np.where(size == 0, 1, size)) @ q.T
+            unit = m / np.where(size == 0, 1, size)
             for k, (had, of) in enumerate(best):  # the best so far and those of this batch that may belong to them
-                s = score[:, k]
+                if k % STEP == 0:
+                    score = unit @ q[k : k + STEP].T
+                s = score[:, k % STEP]
                 if len(s) > limit:
                     near = np.flatnonzero(np.round(s, 9) >= np.round(s[np.argpartition(-s, limit - 1)[:limit]].min(), 9)) if limit else np.zeros(0, np.int64)
                 else:
