@@ -23,6 +23,12 @@ def lengths(corpus: DataFrame) -> DataFrame:
     return w.groupBy("id").agg(F.coalesce(F.sum(F.size(T.word_terms(F.col("w")))), F.lit(0)).cast("long").alias("len"))
 
 
+def stored_lengths(index: DataFrame, corpus: DataFrame) -> DataFrame:
+    """The same from postings of the corpus: texts are not split into terms again."""
+    of = index.groupBy("id").agg(F.sum("tf").alias("len"))
+    return corpus.select("id").distinct().join(of, "id", "left").select("id", F.coalesce("len", F.lit(0)).cast("long").alias("len"))
+
+
 def document_frequency(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("df"))
 

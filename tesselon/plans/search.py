@@ -35,7 +35,7 @@ def bm25_stored(spark, sf):
     """The same search over stored postings and lengths."""
     c = D.corpus(spark, sf)
     index = checkpointed(bm25.postings(c).repartition("term").sortWithinPartitions("term"))
-    got = bm25.search_index(index, checkpointed(bm25.lengths(c)), D.queries(spark), LIMIT)
+    got = bm25.search_index(index, checkpointed(bm25.stored_lengths(index, c)), D.queries(spark), LIMIT)
     return got.select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 

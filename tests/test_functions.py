@@ -97,6 +97,12 @@ def test_bm25_by_hand(spark):
     assert again.keys() == got.keys() and all(abs(again[k] - got[k]) < 1e-9 for k in got)
 
 
+def test_lengths_from_postings(spark):
+    c = spark.createDataFrame([(1, "alpha beta beta"), (2, ""), (3, None)], "id long, text string")
+    of = bm25.stored_lengths(bm25.postings(c), c)
+    assert sorted(map(tuple, of.collect())) == sorted(map(tuple, bm25.lengths(c).collect())) == [(1, 3), (2, 0), (3, 0)]
+
+
 def test_vectors(spark):
     v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 2.0]), ("c", [-3.0, 0.0]), ("z", [0.0, 0.0]), ("n", None), ("w", [1.0])], "id string, v array<float>")
     got = [(r.id, round(r.score, 6)) for r in vectors.nearest(v, [(7, [2.0, 0.0])], 3).orderBy("rank").collect()]
