@@ -18,6 +18,9 @@ from . import graph
 # What a specifier may stand for.
 ENDINGS = ("", ".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.mts", "/index.cts", "/index.js", "/index.jsx", "/index.mjs", "/index.cjs")
 
+#: Rows of a table that every task gets.
+LOOKUP = 100_000
+
 
 def _file(path):
     return F.concat(F.lit("file:"), path)
@@ -42,7 +45,7 @@ def nodes(analysis: DataFrame) -> DataFrame:
     files = row(analysis, _file(p), F.lit("file"), T.basename(p), p, p, F.lit(1), F.col("loc"), language=F.col("language"))
     s = analysis.select("path", "language", F.explode("symbols").alias("s"))
     symbols = row(s, _symbol(p, F.col("s.symbol_path")), F.col("s.kind"), F.col("s.name"), p, p, F.col("s.start_line"), F.col("s.end_line"), F.col("s.signature"), F.col("s.doc"), F.col("s.exported"), F.col("language"))
-    m = imported(analysis).where("package IS NOT NULL").select("package").distinct()
+    m = references(analysis).where("package IS NOT NULL").select("package").distinct()
     modules = row(m, F.concat(F.lit("mod:"), "package"), F.lit("module"), F.col("package"), external=F.lit(True))
     return reduce(DataFrame.union, [repo, dirs, files, symbols, modules])
 
@@ -61,49 +64,88 @@ def normalized(folder, specifier):
     return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
 
 
+def references(analysis: DataFrame) -> DataFrame:
+    """(path, specifier, bindings, type_only, seq, package): imports, and re-exports with a null seq. A package is read off
+    the specifier."""
+    i = analysis.select("path", F.posexplode("imports").alias("seq", "i")).select("path", F.col("i.specifier").alias("specifier"), F.col("i.bindings").alias("bindings"), F.col("i.type_only").alias("type_only"), "seq")
+    r = analysis.select("path", F.explode("reexports").alias("r")).select("path", F.col("r.specifier").alias("specifier"))
+    kinds = dict(i.dtypes)
+    r = r.select("path", "specifier", *[F.lit(None).cast(kinds[c]).alias(c) for c in ("bindings", "type_only", "seq")])
+    outer = ~F.col("specifier").startswith(".") & ~F.col("specifier").startswith("/")
+    return i.union(r).withColumn("package", F.when(outer, package_of(F.col("specifier"))))
+
+
 def resolved(refs: DataFrame, analysis: DataFrame) -> DataFrame:
-    """refs (path, specifier) -> (path, specifier, target, package): a file of the repository or a package."""
-    d = refs.select("path", "specifier").distinct()
-    inner = d.where(F.col("specifier").startswith("."))
-    base = normalized(T.dirname(F.col("path")), F.col("specifier"))
+    """refs (path, specifier) -> (folder, specifier, target) of those that name a file of the repository.
+
+    What a specifier names follows from its folder, so each pair is tried once, however many files write it.
+    """
+    d = refs.where(F.col("specifier").startswith(".")).select(T.dirname(F.col("path")).alias("folder"), "specifier").distinct()
+    d = d.withColumn("base", normalized(F.col("folder"), F.col("specifier")))
+    base = F.col("base")
     bare = F.regexp_replace(base, r"\.([cm]?)js(x?)$", "")
     typed = F.regexp_extract(base, r"\.([cm]?)js(x?)$", 1)
     swapped = F.when(base.rlike(r"\.[cm]?jsx?$"), F.array(F.concat(bare, F.lit("."), typed, F.lit("ts")), F.concat(bare, F.lit(".tsx")))).otherwise(F.array().cast("array<string>"))
     tries = F.concat(F.array(base), swapped, F.array(*[F.concat(base, F.lit(e)) for e in ENDINGS[1:]]))
-    t = inner.select("path", "specifier", F.posexplode(tries).alias("k", "target")).join(analysis.select(F.col("path").alias("target")), "target")
-    hit = t.groupBy("path", "specifier").agg(F.min_by("target", "k").alias("target"))
-    out = hit.select("path", "specifier", "target", F.lit(None).cast("string").alias("package"))
-    outer = d.where(~F.col("specifier").startswith(".") & ~F.col("specifier").startswith("/"))
-    return out.union(outer.select("path", "specifier", F.lit(None).cast("string"), package_of(F.col("specifier"))))
+    t = d.select("base").distinct().select("base", F.posexplode(tries).alias("k", "target")).join(analysis.select(F.col("path").alias("target")), "target")
+    hit = t.groupBy("base").agg(F.min_by("target", "k").alias("target"))
+    return d.join(hit, "base").select("folder", "specifier", "target")
+
+
+def lookup(table: DataFrame) -> DataFrame:
+    """A table that many rows look into, written once. If it is small every task gets it, so that a key that all rows
+    look for puts them into no partition of its own."""
+    out = checkpointed(table)
+    return F.broadcast(out) if out.limit(LOOKUP + 1).count() <= LOOKUP else out
 
 
 def imported(analysis: DataFrame) -> DataFrame:
-    """(path, specifier, target, package, bindings, type_only, seq)."""
-    i = analysis.select("path", F.posexplode("imports").alias("seq", "i")).select("path", "seq", F.col("i.specifier").alias("specifier"), F.col("i.bindings").alias("bindings"), F.col("i.type_only").alias("type_only"))
-    r = analysis.select("path", F.explode("reexports").alias("r")).select("path", F.col("r.specifier").alias("specifier"))
-    return resolved(i.select("path", "specifier").union(r), analysis).join(i, ["path", "specifier"], "left")
+    """references() with a folder and target: those that name a file or a package."""
+    refs = references(analysis)
+    outer = refs.where("package IS NOT NULL").withColumn("target", F.lit(None).cast("string"))
+    inner = refs.where(F.col("specifier").startswith(".")).withColumn("folder", T.dirname(F.col("path")))
+    inner = inner.join(lookup(resolved(refs, analysis)), ["folder", "specifier"])
+    return outer.union(inner.select(*outer.columns))
+
+
+def own_exports(analysis: DataFrame) -> DataFrame:
+    """(path, again, name, file, symbol_path, to) of the symbols that a file exports itself, the first symbol of each name,
+    per file and without a shuffle. to is the symbol's id, empty if the analysis has left the symbol out; again: whether
+    the file re-exports too."""
+    pairs = F.transform(F.filter("exports", lambda e: e["symbol_path"].isNotNull()), lambda e: F.struct(e["exported"].alias("name"), e["symbol_path"].alias("symbol_path")))
+    d = analysis.select("path", (F.coalesce(F.size("reexports"), F.lit(0)) > 0).alias("again"), F.col("symbols.symbol_path").alias("here"), pairs.alias("pairs"))
+    d = d.withColumn("pairs", F.array_sort(F.array_distinct("pairs")))
+    first = F.filter("pairs", lambda e, i: (i == 0) | ~e["name"].eqNullSafe(F.get("pairs", i - 1)["name"]))
+    known = F.transform(first, lambda e: F.struct(e["name"].alias("name"), e["symbol_path"].alias("symbol_path"), F.array_contains("here", e["symbol_path"]).alias("held")))
+    p = F.col("path")
+    return d.select("path", "again", F.inline(known)).select("path", "again", "name", p.alias("file"), "symbol_path", F.when(F.col("held"), _symbol(p, F.col("symbol_path"))).otherwise("").alias("to"))
 
 
 def exported(analysis: DataFrame, targets: DataFrame) -> DataFrame:
-    """(path, name, file, symbol_path): what each file exports under which name, re-export chains resolved."""
-    own = analysis.select("path", F.explode("exports").alias("e")).where("e.symbol_path IS NOT NULL")
-    own = own.select("path", F.col("e.exported").alias("name"), F.col("path").alias("file"), F.col("e.symbol_path").alias("symbol_path"))
+    """(path, name, file, symbol_path, to): what each file exports under which name, re-export chains resolved.
+
+    Only files that re-export, or that others re-export, take part in the rounds, and a round follows what the last one
+    has found.
+    """
+    cells = ["path", "name", "file", "symbol_path", "to"]
+    own = own_exports(analysis)
     r = analysis.select("path", F.explode("reexports").alias("r")).select("path", F.col("r.specifier").alias("specifier"), "r.star", "r.names")
-    r = r.join(targets.where("target IS NOT NULL").select("path", "specifier", "target").distinct(), ["path", "specifier"])
-    star = r.where("star").select(F.col("path").alias("via"), F.col("target").alias("path")).distinct()
+    r = r.join(targets.where("target IS NOT NULL AND seq IS NULL").select("path", "specifier", "target").distinct(), ["path", "specifier"])
+    star = lookup(r.where("star").select(F.col("path").alias("via"), F.col("target").alias("path")).distinct())
     named = r.where("NOT star").select(F.col("path").alias("via"), F.col("target").alias("path"), F.explode("names").alias("n")).select("via", "path", F.col("n.imported").alias("name"), F.col("n.exported").alias("as_name"))
-    found = checkpointed(own.distinct())
-    n = found.count()
-    while True:  # each round follows re-exports one file further, until nothing new is reached
-        through = star.join(found, "path").where("name <> 'default'").select(F.col("via").alias("path"), "name", "file", "symbol_path")
-        renamed = named.join(found, ["path", "name"]).select(F.col("via").alias("path"), F.col("as_name").alias("name"), "file", "symbol_path")
-        found = checkpointed(found.union(through).union(renamed).distinct())
-        more = found.count()
-        if more == n:
-            break
-        n = more
+    named = lookup(named.where("as_name IS NOT NULL").distinct())
+    ends = lookup(star.select("path").union(named.select("path")).distinct())
+    chains = own.where("again").union(own.where("NOT again").join(ends, "path", "left_semi").select(*own.columns))
+    new = found = checkpointed(chains.select(*cells).distinct())
+    while not new.isEmpty():  # each round follows re-exports one file further, until nothing new is reached
+        through = new.join(star, "path").where("name <> 'default'").select(F.col("via").alias("path"), "name", "file", "symbol_path", "to")
+        renamed = new.join(named, ["path", "name"]).select(F.col("via").alias("path"), F.col("as_name").alias("name"), "file", "symbol_path", "to")
+        new = checkpointed(through.union(renamed).distinct().join(found, cells, "left_anti"))
+        found = found.union(new)
     w = Window.partitionBy("path", "name").orderBy((F.col("file") != F.col("path")), "file", "symbol_path")
-    return found.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    again = own.where("again").select("path").union(star.select("via")).union(named.select("via")).distinct()
+    first = checkpointed(found.join(again, "path", "left_semi").withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*cells))
+    return first.union(own.where("NOT again").select(*cells))
 
 
 def _edge(df, src, kind, dst, weight=None, variant=None, resolution=None, seq=None):
@@ -114,81 +156,142 @@ def _edge(df, src, kind, dst, weight=None, variant=None, resolution=None, seq=No
     )
 
 
-def edges(analysis: DataFrame) -> DataFrame:
+HERITAGE = {"extends_names": ("inheritance", "extends"), "implements_names": ("inheritance", "implements"), "composition_names": ("composition", None), "type_refs": ("references", None)}
+
+
+def edges(analysis: DataFrame, *kinds: str) -> DataFrame:
+    """Edges of all kinds, or of some; only what those need is linked.
+
+    No end is missing in nodes(): paths come from the analyses, and a symbol is looked for in that of its own file, as an
+    analysis may leave some out.
+    """
     p = F.col("path")
     out = []
-    # containment: repository, directories, files, symbols
+
+    def asked(*of):
+        return not kinds or any(k in kinds for k in of)
+
     up = T.dirname(p)
-    files = analysis.select("path")
-    out.append(_edge(files, F.when(up == ".", F.lit("repo:.")).otherwise(F.concat(F.lit("dir:"), up)), "contains", _file(p)))
-    dirs = analysis.select(F.explode(T.ancestors(p)).alias("path")).distinct()
-    out.append(_edge(dirs, F.when(up == ".", F.lit("repo:.")).otherwise(F.concat(F.lit("dir:"), up)), "contains", F.concat(F.lit("dir:"), p)))
-    s = analysis.select("path", F.posexplode("symbols").alias("seq", "s"))
-    holder = F.when(F.col("s.parent").isNull(), _file(p)).otherwise(_symbol(p, F.col("s.parent")))
-    out.append(_edge(s, holder, "contains", _symbol(p, F.col("s.symbol_path")), seq=F.col("seq")))
-    # imports, weighted by their bindings
+    above = F.when(up == ".", F.lit("repo:.")).otherwise(F.concat(F.lit("dir:"), up))
+    if asked("contains"):  # repository, directories, files, symbols
+        out.append(_edge(analysis.select("path"), above, "contains", _file(p)))
+        dirs = analysis.select(F.explode(T.ancestors(p)).alias("path")).distinct()
+        out.append(_edge(dirs, above, "contains", F.concat(F.lit("dir:"), p)))
+        here = F.col("symbols.symbol_path")
+        held = F.transform("symbols", lambda x: F.struct(x["symbol_path"].alias("own"), x["parent"].alias("parent"), (x["parent"].isNull() | F.array_contains("here", x["parent"])).alias("held")))
+        h = analysis.select("path", here.alias("here"), "symbols").select("path", F.posexplode(held).alias("seq", "s")).where("s.held")
+        holder = F.when(F.col("s.parent").isNull(), _file(p)).otherwise(_symbol(p, F.col("s.parent")))
+        out.append(_edge(h, holder, "contains", _symbol(p, F.col("s.own")), seq=F.col("seq")))
+    fields = [f for f, (kind, _) in HERITAGE.items() if asked(kind)]
+    if not (asked("imports", "exports", "calls") or fields):
+        return reduce(DataFrame.union, out)
     i = checkpointed(imported(analysis))
     named = i.where("seq IS NOT NULL")
-    weight = F.greatest(F.size("bindings"), F.lit(1))
-    variant = F.when(F.col("type_only"), "type-only")
-    to = F.coalesce(F.when(F.col("target").isNotNull(), _file(F.col("target"))), F.concat(F.lit("mod:"), "package"))
-    out.append(_edge(named, _file(p), "imports", to, weight, variant, seq=F.col("seq")))
-    # exports: own symbols, named re-exports to the symbol, stars to the file
+    if asked("imports"):  # weighted by their bindings
+        weight = F.greatest(F.size("bindings"), F.lit(1))
+        to = F.coalesce(F.when(F.col("target").isNotNull(), _file(F.col("target"))), F.concat(F.lit("mod:"), "package"))
+        out.append(_edge(named, _file(p), "imports", to, weight, F.when(F.col("type_only"), "type-only"), seq=F.col("seq")))
+    if not (asked("exports", "calls") or fields):
+        return reduce(DataFrame.union, out)
     x = exported(analysis, i)
-    again = F.when(F.col("file") != p, "reexport")
-    r = analysis.select("path", F.explode("reexports").alias("r"))
-    names = r.where("NOT r.star").select("path", F.explode("r.names").alias("n")).select("path", F.col("n.exported").alias("name")).distinct()
-    out.append(_edge(x.where("file = path"), _file(p), "exports", _symbol(F.col("file"), F.col("symbol_path")), variant=again))
-    out.append(_edge(x.where("file <> path").join(names, ["path", "name"]), _file(p), "exports", _symbol(F.col("file"), F.col("symbol_path")), variant=again))
-    star = r.where("r.star").select("path", F.col("r.specifier").alias("specifier")).join(i.where("target IS NOT NULL").select("path", "specifier", "target").distinct(), ["path", "specifier"])
-    out.append(_edge(star, _file(p), "exports", _file(F.col("target")), variant=F.lit("reexport")))
-    # names of a file: bound by imports, or declared in it
-    b = named.where("target IS NOT NULL").select("path", "target", F.explode("bindings").alias("b"))
-    bound = b.select("path", "target", F.col("b.local").alias("local"), F.col("b.imported").alias("name"))
-    bound = bound.join(x.select(F.col("path").alias("target"), "name", "file", "symbol_path"), ["target", "name"])
-    bound = bound.select("path", "local", "file", "symbol_path").distinct()
-    spaces = b.where("b.imported = '*'").select("path", F.col("b.local").alias("receiver"), "target")
-    top = s.where("s.parent IS NULL").select("path", F.col("s.symbol_path").alias("local"), F.col("s.symbol_path").alias("symbol_path"))
-    # uses: calls, type references, heritage and composition
-    calls = s.select("path", F.col("s.symbol_path").alias("own"), F.col("s.parent").alias("parent"), F.explode("s.calls").alias("c"))
-    calls = calls.union(analysis.select("path", F.lit(None).cast("string"), F.lit(None).cast("string"), F.explode("file_calls")))
-    calls = calls.select("path", "own", "parent", F.col("c.name").alias("name"), F.col("c.receiver").alias("receiver"), F.col("c.is_new").alias("is_new"))
-    calls = calls.groupBy("path", "own", "parent", "name", "receiver", "is_new").agg(F.count("*").alias("n"))
-    by_import = bound.select("path", F.col("local").alias("name"), F.col("file").alias("f1"), F.col("symbol_path").alias("s1"))
-    by_file = top.select("path", F.col("local").alias("name"), F.col("symbol_path").alias("s2"))
-    by_space = spaces.join(x.select(F.col("path").alias("target"), "name", "file", "symbol_path"), "target").select("path", "receiver", "name", F.col("file").alias("f3"), F.col("symbol_path").alias("s3"))
+    if asked("exports"):  # own symbols, named re-exports to the symbol, stars to the file
+        r = analysis.select("path", F.explode("reexports").alias("r"))
+        names = r.where("NOT r.star").select("path", F.explode("r.names").alias("n")).select("path", F.col("n.exported").alias("name")).distinct()
+        out.append(_edge(x.where("file = path"), _file(p), "exports", F.col("to")))
+        out.append(_edge(x.where("file <> path").join(names, ["path", "name"]), _file(p), "exports", F.col("to"), variant=F.lit("reexport")))
+        star = r.where("r.star").select("path", F.col("r.specifier").alias("specifier")).join(i.where("target IS NOT NULL AND seq IS NULL").select("path", "specifier", "target").distinct(), ["path", "specifier"])
+        out.append(_edge(star, _file(p), "exports", _file(F.col("target")), variant=F.lit("reexport")))
+    if asked("calls") or fields:
+        out += _uses(analysis, named.where("target IS NOT NULL"), x, fields, asked("calls"))
+    return reduce(DataFrame.union, out).where("src <> '' AND dst <> ''")
+
+
+def _found(rows: DataFrame, table: DataFrame, *keys: str) -> DataFrame:
+    """The part of a table that rows look for by keys."""
+    return lookup(table.join(lookup(rows.select(*keys).distinct()), list(keys), "left_semi"))
+
+
+def _uses(analysis: DataFrame, named: DataFrame, x: DataFrame, fields: list[str], calls: bool) -> list[DataFrame]:
+    """Edges of calls, type references, heritage and composition.
+
+    A name means what its file binds by an import (named, looked up in the exports x), else what the file declares. Which
+    of the two it may be is read off its own analysis, so only bound names are joined with the bindings.
+    """
+    p, out = F.col("path"), []
+    b = named.select("path", "target", F.explode("bindings").alias("b")).select("path", "target", F.col("b.local").alias("local"), F.col("b.imported").alias("name"))
+    bound = b.join(_found(b.select(F.col("target").alias("path"), "name"), x, "path", "name").withColumnRenamed("path", "target"), ["target", "name"])
+    bound = bound.select("path", "local", "file", "symbol_path", "to").repartition("path", "local").distinct()
+    by_import = bound.select("path", F.col("local").alias("name"), F.col("to").alias("t1"))
+    tops = F.transform(F.filter("symbols", lambda s: s["parent"].isNull()), lambda s: s["symbol_path"])
+    locals_ = F.flatten(F.transform("imports", lambda m: m["bindings"]))["local"]
+    s = analysis.select("path", F.explode("symbols").alias("s"))
+    files = analysis.select("path", "symbols", "file_calls", tops.alias("tops"), locals_.alias("locals"))
+
+    def linked(rows):
+        """rows with path, name, is_bound -> and t1, what the import of the name leads to."""
+        free = rows.where("NOT is_bound").withColumn("t1", F.lit(None).cast("string"))
+        return rows.where("is_bound").join(by_import, ["path", "name"], "left").select(*free.columns).union(free)
+
+    def marked(name):
+        return F.coalesce(F.array_contains("locals", name), F.lit(False)).alias("is_bound"), F.coalesce(F.array_contains("tops", name), F.lit(False)).alias("is_top")
+
+    if fields:
+        def listed(s, field):
+            return F.transform(F.coalesce(s[field], F.array().cast("array<string>")), lambda n: F.struct(s["symbol_path"].alias("own"), F.lit(field).alias("field"), n.alias("name")))
+
+        used = F.flatten(F.transform("symbols", lambda s: F.concat(*[listed(s, f) for f in fields])))
+        u = files.select("path", "tops", "locals", F.inline(used))
+        u = linked(u.select("path", "own", "field", "name", *marked(F.col("name"))))
+        to = F.coalesce("t1", F.when(F.col("is_top"), _symbol(p, F.col("name"))))
+        for f in fields:
+            kind, variant = HERITAGE[f]
+            out.append(_edge(u.where(F.col("field") == f).withColumn("dst_", to).where("dst_ IS NOT NULL"), _symbol(p, F.col("own")), kind, F.col("dst_"), variant=None if variant is None else F.lit(variant)))
+    if not calls:
+        return out
+    inner = F.flatten(F.transform("symbols", lambda s: F.transform(s["calls"], lambda c: F.struct(s["symbol_path"].alias("own"), s["parent"].alias("parent"), c["name"].alias("name"), c["receiver"].alias("receiver"), c["is_new"].alias("is_new")))))
+    outer = F.transform("file_calls", lambda c: F.struct(F.lit(None).cast("string").alias("own"), F.lit(None).cast("string").alias("parent"), c["name"].alias("name"), c["receiver"].alias("receiver"), c["is_new"].alias("is_new")))
+    c = files.select("path", "tops", "locals", F.inline(F.concat(F.coalesce(inner, F.array().cast(dict(files.select(outer.alias("o")).dtypes)["o"])), outer)))
+    c = c.select("path", "own", "parent", "name", "receiver", "is_new", *marked(F.col("name")))
+    c = checkpointed(c.groupBy(*c.columns).agg(F.count("*").alias("n")))
+    free, this = F.col("receiver").isNull(), F.col("receiver") == "this"
+    # members of the own class, of namespaces and of classes: only those that a call names are looked for
     member = s.where("s.parent IS NOT NULL").select("path", F.col("s.parent").alias("parent"), F.col("s.name").alias("name"), F.col("s.symbol_path").alias("s4"))
-    static = bound.select("path", F.col("local").alias("receiver"), F.col("file").alias("f5"), F.col("symbol_path").alias("p5"))
+    own = _found(c.where(this), member, "path", "parent", "name")
+    asked = lookup(c.where(~free).select("path", "receiver", "name").distinct())
+    space = asked.join(b.where("name = '*'").select("path", F.col("local").alias("receiver"), "target"), ["path", "receiver"])
+    space = space.join(_found(space.select(F.col("target").alias("path"), "name"), x, "path", "name").select(F.col("path").alias("target"), "name", F.col("to").alias("t3")), ["target", "name"])
+    static = asked.join(bound.select("path", F.col("local").alias("receiver"), F.col("file").alias("f5"), F.col("symbol_path").alias("p5")), ["path", "receiver"])
+    parts = _found(static.select(F.col("f5").alias("path"), F.col("p5").alias("parent"), "name"), member, "path", "parent", "name")
+    static = static.join(parts.select(F.col("path").alias("f5"), F.col("parent").alias("p5"), "name", _symbol(F.col("path"), F.col("s4")).alias("t5")), ["f5", "p5", "name"])
     everywhere = s.where("s.exported").select(F.col("s.name").alias("name"), p.alias("f6"), F.col("s.symbol_path").alias("s6"))
-    unique = everywhere.groupBy("name").agg(F.count("*").alias("k"), F.first("f6").alias("f6"), F.first("s6").alias("s6")).where("k = 1").drop("k")
-    free = F.col("receiver").isNull()
-    c = calls.join(by_import, ["path", "name"], "left").join(by_file, ["path", "name"], "left").join(by_space, ["path", "receiver", "name"], "left")
-    c = c.join(member, ["path", "parent", "name"], "left").join(static.join(member.select(F.col("path").alias("f5"), F.col("parent").alias("p5"), "name", F.col("s4").alias("s5")), ["f5", "p5"]).select("path", "receiver", "name", "f5", "s5"), ["path", "receiver", "name"], "left")
-    c = c.join(unique, "name", "left")
-    this = F.col("receiver") == "this"
+    everywhere = everywhere.join(lookup(c.where(~(free & F.col("is_top"))).select("name").distinct()), "name", "left_semi")
+    unique = everywhere.groupBy("name").agg(F.count("*").alias("k"), F.first("f6").alias("f6"), F.first("s6").alias("s6")).where("k = 1")
+    c = linked(c).join(own, ["path", "parent", "name"], "left").join(lookup(space.select("path", "receiver", "name", "t3")), ["path", "receiver", "name"], "left")
+    c = c.join(lookup(static.select("path", "receiver", "name", "t5")), ["path", "receiver", "name"], "left").join(lookup(unique.select("name", _symbol(F.col("f6"), F.col("s6")).alias("t6"))), "name", "left")
+
+    rules = ("import", "same-class", "namespace", "same-file", "global-unique")
+
+    def to(dst, how):
+        return F.struct(dst.alias("dst"), F.lit(how).alias("how"), F.lit(rules.index(how)).alias("seq"))
+
     pick = (
-        F.when(free & F.col("s1").isNotNull(), F.struct(_symbol(F.col("f1"), F.col("s1")).alias("dst"), F.lit("import").alias("how")))
-        .when(this & F.col("s4").isNotNull(), F.struct(_symbol(p, F.col("s4")).alias("dst"), F.lit("same-class").alias("how")))
-        .when(F.col("s3").isNotNull(), F.struct(_symbol(F.col("f3"), F.col("s3")).alias("dst"), F.lit("namespace").alias("how")))
-        .when(F.col("s5").isNotNull(), F.struct(_symbol(F.col("f5"), F.col("s5")).alias("dst"), F.lit("import").alias("how")))
-        .when(free & F.col("s2").isNotNull(), F.struct(_symbol(p, F.col("s2")).alias("dst"), F.lit("same-file").alias("how")))
-        .when(F.col("s6").isNotNull(), F.struct(_symbol(F.col("f6"), F.col("s6")).alias("dst"), F.lit("global-unique").alias("how")))
+        F.when(free & F.col("t1").isNotNull(), to(F.col("t1"), "import"))
+        .when(this & F.col("s4").isNotNull(), to(_symbol(p, F.col("s4")), "same-class"))
+        .when(F.col("t3").isNotNull(), to(F.col("t3"), "namespace"))
+        .when(F.col("t5").isNotNull(), to(F.col("t5"), "import"))
+        .when(free & F.col("is_top"), to(_symbol(p, F.col("name")), "same-file"))
+        .when(F.col("t6").isNotNull(), to(F.col("t6"), "global-unique"))
     )
     c = c.withColumn("to", pick).where("to IS NOT NULL")
     src = F.when(F.col("own").isNull(), _file(p)).otherwise(_symbol(p, F.col("own")))
-    out.append(_edge(c, src, "calls", F.col("to.dst"), F.col("n"), F.when(F.col("is_new"), "instantiates"), F.col("to.how")))
+    return [*out, _edge(c, src, "calls", F.col("to.dst"), F.col("n"), F.when(F.col("is_new"), "instantiates"), F.col("to.how"), F.col("to.seq") * 2 + F.coalesce(F.col("is_new").cast("int"), F.lit(0)))]
 
-    def names_of(field, kind, variant=None):
-        d = s.select("path", F.col("s.symbol_path").alias("own"), F.explode(f"s.{field}").alias("name"))
-        d = d.join(by_import, ["path", "name"], "left").join(by_file, ["path", "name"], "left")
-        dst = F.coalesce(F.when(F.col("s1").isNotNull(), _symbol(F.col("f1"), F.col("s1"))), F.when(F.col("s2").isNotNull(), _symbol(p, F.col("s2"))))
-        return _edge(d.withColumn("dst_", dst).where("dst_ IS NOT NULL"), _symbol(p, F.col("own")), kind, F.col("dst_"), variant=None if variant is None else F.lit(variant))
 
-    out += [names_of("extends_names", "inheritance", "extends"), names_of("implements_names", "inheritance", "implements"), names_of("composition_names", "composition"), names_of("type_refs", "references")]
-    return reduce(DataFrame.union, out)
+def merged(analysis: DataFrame, *kinds: str) -> DataFrame:
+    """Merged edges of all kinds, or of some."""
+    return graph.merged_edges(edges(analysis, *kinds))
 
 
 def build(analysis: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, merged edges) of a repository."""
-    n = checkpointed(nodes(analysis).dropDuplicates(["id"]))
-    return n, checkpointed(graph.merged_edges(edges(analysis), n))
+    return checkpointed(nodes(analysis).dropDuplicates(["id"])), checkpointed(merged(analysis))
