@@ -36,17 +36,28 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[A-Za-z_$][A-Za-z0-9_$]*"), F.lit(0))
 
 
-def word_terms(w: Column) -> Column:
-    """Terms of one identifier."""
+def _is_plain(w: Column, low: Column) -> Column:
+    """Whether a word is one part, told without a search: no separator, no capital after the first letter, no digit after a
+    capital. For most words, in small letters, that is two looks for a byte."""
+    rest = F.substring(w, 2, 1_000_000)
+    return ~w.contains("_") & ~w.contains("$") & ((w == low) | ((F.substring(w, 2, 1) > "9") & (rest == F.lower(rest))))
+
+
+def _compound_terms(w: Column, low: Column) -> Column:
+    """Terms of an identifier that is not plain and no stopword."""
     none = F.array().cast("array<string>")
-    low, rest = F.lower(w), F.substring(w, 2, 1_000_000)
     single = F.when(F.length(low) >= 2, F.array(low)).otherwise(none)
-    # one part without a search: no separator, no capital after the first letter, no digit after a capital
-    plain = (F.locate("_", w) == 0) & (F.locate("$", w) == 0) & (rest == F.lower(rest)) & ((w == low) | (F.substring(w, 2, 1) > "9"))
     whole = F.when((F.length(low) >= 2) & (F.length(low) <= 48), F.array(low)).otherwise(none)
     parts = F.filter(F.transform(split_identifier(w), F.lower), _is_term)
-    several = F.when(F.size(split_identifier(w)) > 1, F.concat(whole, parts)).otherwise(single)
-    return F.when(low.isin(*STOPWORDS), none).when(plain, single).otherwise(several)
+    return F.when(F.size(split_identifier(w)) > 1, F.concat(whole, parts)).otherwise(single)
+
+
+def word_terms(w: Column) -> Column:
+    """Terms of one identifier."""
+    none = F.array().cast("array<string>")
+    low = F.lower(w)
+    single = F.when(F.length(low) >= 2, F.array(low)).otherwise(none)
+    return F.when(low.isin(*STOPWORDS), none).when(_is_plain(w, low), single).otherwise(_compound_terms(w, low))
 
 
 def tokenize(text: Column) -> Column:
@@ -54,10 +65,19 @@ def tokenize(text: Column) -> Column:
     return F.flatten(F.transform(words(text), word_terms))
 
 
+def distinct_terms(text: Column) -> Column:
+    """Terms of a text, each once; a spelling is looked at once."""
+    return F.array_distinct(F.flatten(F.transform(F.array_distinct(words(text)), word_terms)))
+
+
 def term_rows(df: DataFrame, text: str, *keys: str) -> DataFrame:
-    """(keys, term) with a row for each term of a text: tokenize() as rows, which compiles to one stage."""
-    w = df.select(*keys, F.explode(words(F.col(text))).alias("_w"))
-    return w.select(*keys, F.explode(word_terms(F.col("_w"))).alias("term"))
+    """(keys, term) with a row for each term of a text: tokenize() as rows, which compiles to one stage. Only identifiers
+    that are not plain words make an array of terms."""
+    w = df.select(*keys, F.explode(words(F.col(text))).alias("_w")).withColumn("_l", F.lower("_w"))
+    word, low = F.col("_w"), F.col("_l")
+    w = w.where(~low.isin(*STOPWORDS)).withColumn("_p", _is_plain(word, low)).where(~F.col("_p") | (F.length(low) >= 2))
+    w = w.select(*keys, "_l", "_p", F.explode_outer(F.when(~F.col("_p"), _compound_terms(word, low))).alias("_t"))
+    return w.where("_p OR _t IS NOT NULL").select(*keys, F.coalesce("_t", "_l").alias("term"))
 
 
 def identifiers(text: Column) -> Column:

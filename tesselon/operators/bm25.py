@@ -17,6 +17,15 @@ def postings(corpus: DataFrame) -> DataFrame:
     return T.term_rows(corpus, "text", "id").groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
+def corpus_frequency(corpus: DataFrame) -> DataFrame:
+    """document_frequency of the postings of a corpus, where no postings are wanted: terms are made distinct within each
+    text, so only sums by term are shuffled. If an id has several texts, pairs of id and term are made distinct first."""
+    rows = corpus.select("id", F.explode(T.distinct_terms(F.col("text"))).alias("term"))
+    if not corpus.groupBy("id").count().where("count > 1").isEmpty():
+        rows = rows.distinct()
+    return document_frequency(rows)
+
+
 def lengths(corpus: DataFrame) -> DataFrame:
     """(id, len) of every document, those without terms too."""
     w = corpus.select("id", F.explode_outer(T.words(F.col("text"))).alias("w"))

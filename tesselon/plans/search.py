@@ -51,7 +51,7 @@ def token_tf(spark, sf):
 
 def df_idf(spark, sf):
     c = D.corpus(spark, sf)
-    df = bm25.document_frequency(bm25.postings(c)).withColumn("_k", F.lit(1))
+    df = bm25.corpus_frequency(c).withColumn("_k", F.lit(1))
     n = c.agg(F.count("*").alias("n")).withColumn("_k", F.lit(1))
     return df.join(F.broadcast(n), "_k").select("term", "df", F.round(bm25.idf(F.col("df"), F.col("n")), 6).alias("idf"))
 

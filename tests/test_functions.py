@@ -35,6 +35,26 @@ def test_t9_t10_tokenize(spark, text, terms):
     assert one(spark, text, T.tokenize) == terms
 
 
+def test_term_rows_are_tokens(spark):
+    """Rows of plain words, stopwords and compounds are those of tokenize; an ASCII word of any form is decided alike."""
+    text = " ".join(a + b + c for a in ("a", "A", "_", "$", "fo", "FO") for b in ("", "b", "B", "7", "_", "é") for c in ("", "x", "X9", "9")) + " the The THE getUser V2 x"
+    d = spark.createDataFrame([(1, text), (2, None), (3, "")], "id int, text string")
+    rows = [tuple(r) for r in T.term_rows(d, "text", "id").collect()]
+    assert sorted(rows) == sorted((1, t) for t in one(spark, text, T.tokenize)) and len(rows) > 100
+
+
+def test_document_frequency_without_postings(spark):
+    """Only sums by term are shuffled; an id of several texts counts once."""
+    rows = [(1, "foo Foo bar getUser user"), (2, "foo"), (None, "foo"), (None, "foo baz"), (2, "foo bar")]
+    for n in (2, 5):
+        d = spark.createDataFrame(rows[:n], "id int, text string")
+        want = {r.term: r.df for r in bm25.document_frequency(bm25.postings(d)).collect()}
+        assert {r.term: r.df for r in bm25.corpus_frequency(d).collect()} == want
+    assert want["foo"] == 3 and want["bar"] == 2
+    plan = bm25.corpus_frequency(spark.createDataFrame(rows[:2], "id int, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1
+
+
 def test_identifiers(spark):
     assert one(spark, "find .TokenStore. tokenstore in a.b.c, 9x ab my_fn()", T.identifiers) == ["find", "TokenStore", "a.b.c", "my_fn"]
 
