@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Parts of the edges for each shuffle partition.
+PARTS = 2
+
 
 def edge_id(src="src", kind="kind", dst="dst"):
     return F.concat_ws("|", F.col(src), F.col(kind), F.col(dst))
@@ -23,15 +26,20 @@ def merged_nodes(raw: DataFrame, order: str = "seq") -> DataFrame:
 def merged_edges(raw: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Sum of weights by (src, kind, dst); the first edge (by seq) gives variant and resolution.
 
-    Self-loops go, and so do edges with an end that is not in nodes.
+    Self-loops go, and so do edges with an end that is not in nodes. Edges are dealt before they are summed, as nearly all
+    differ: a hash table for each split of the input would hold the whole split. Ends are looked for afterwards, so that
+    no task sorts for a join beside its hash table.
     """
-    e = raw.where("src <> dst")
-    if nodes is not None:
-        ids = nodes.select("id")
-        e = e.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    spark = raw.sparkSession
+    parts = PARTS * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    e = raw.where("src <> dst").repartition(parts, "src", "kind", "dst")
     extra = [c for c in ("variant", "resolution") if c in e.columns]
     firsts = [F.min_by(c, "seq").alias(c) for c in extra if "seq" in e.columns]
-    return e.groupBy("src", "kind", "dst").agg(F.sum("weight").alias("weight"), F.count("*").alias("n"), *firsts)
+    e = e.groupBy("src", "kind", "dst").agg(F.sum("weight").alias("weight"), F.count("*").alias("n"), *firsts)
+    if nodes is not None:
+        ids, columns = nodes.select("id"), e.columns
+        e = e.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*columns)
+    return e
 
 
 def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -453,3 +453,12 @@ def test_streamed_reindex(spark, tmp_path):
         reindex.start(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = {(r.id, r.term, r.tf) for r in reindex.current(spark, str(tmp_path / "out")).collect()}
     assert got == {(1, "gamma", 1), (2, "beta", 1)}
+
+
+def test_edges_are_dealt_before_they_are_summed(spark):
+    """No hash table for a whole split of the input, and no sort for a join beside one."""
+    raw = spark.createDataFrame([("a", "x", "b", 1.0), ("a", "x", "b", 2.0), ("a", "x", "a", 1.0), ("a", "x", "gone", 1.0), ("gone", "x", "a", 1.0)], "src string, kind string, dst string, weight double")
+    d = graph.merged_edges(raw, spark.createDataFrame([("a",), ("b",)], "id string"))
+    assert [tuple(r) for r in d.collect()] == [("a", "x", "b", 3.0, 2)]
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftSemi") < plan.index("Aggregate [") < plan.index("RepartitionByExpression")
