@@ -29,25 +29,28 @@ ANALYSIS = (
 Analyzer = tuple[tuple[str, ...], Callable[[str, str], dict | None]]
 BUILT_IN: Analyzer = (EXTENSIONS, script.analyze)
 FILE_CHUNK, SYMBOL_CHUNK = 4000, 8000
-#: Parts of the files for each core.
-PARTS = 4
+#: Parts of the files for each core, and analyses that a task holds as Python objects at once.
+PARTS, HELD = 4, 256
 
 
 def analyses(files: DataFrame, analyzers: tuple[Analyzer, ...] = (BUILT_IN,)) -> DataFrame:
     """One row per file that an analyzer could read. Files are dealt to all cores first: a table of a million of them may
-    be one small split."""
+    be one small split. A task hands its analyses on in small groups: each has hundreds of objects, which the collector
+    would walk through again and again."""
     schema = to_arrow_schema(StructType.fromDDL(ANALYSIS))
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                dot = path.rfind(".")
-                own = next((f for ext, f in analyzers if path[dot:].lower() in ext), None)
-                got = own(path, content or "") if own else None
-                if got is not None:
-                    rows.append(got)
-            yield from pa.Table.from_pylist(rows, schema=schema).to_batches()
+            for at in range(0, batch.num_rows, HELD):
+                part = batch.slice(at, HELD)
+                rows = []
+                for path, content in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    dot = path.rfind(".")
+                    own = next((f for ext, f in analyzers if path[dot:].lower() in ext), None)
+                    got = own(path, content or "") if own else None
+                    if got is not None:
+                        rows.append(got)
+                yield from pa.Table.from_pylist(rows, schema=schema).to_batches()
 
     parts = PARTS * files.sparkSession.sparkContext.defaultParallelism
     return files.select("path", "content").repartition(parts, "path").mapInArrow(run, ANALYSIS)

@@ -77,3 +77,30 @@ def test_symbols_that_the_analysis_left_out(spark):
     a = A.analyses(spark.createDataFrame([("a.ts", "export class A { m() {} }")], "path string, content string"))
     a = a.withColumn("symbols", F.filter("symbols", lambda s: s["symbol_path"] != "A"))
     assert [(r.src, r.dst) for r in link.merged(a, "contains", "exports").collect()] == [("repo:.", "file:a.ts")]
+
+
+def test_a_lexer_matches_words_only(monkeypatch):
+    """Single spaces, line ends and brackets need no match of the pattern."""
+    from tesselon.sources import script
+
+    class Counted:
+        asked, pattern = 0, script._TOKEN
+
+        def match(self, s, i):
+            self.asked += 1
+            return self.pattern.match(s, i)
+
+    counted = Counted()
+    monkeypatch.setattr(script, "_TOKEN", counted)
+    text = "f (a, [b]) ;\n{ c : d }\n`x\n` /* y\n*/ e"
+    assert [(t.text, t.line) for t in script.lex(text)] == [*((x, 1) for x in "f(a,[b]);"), *((x, 2) for x in "{c:d}"), ("`x\n`", 3), ("e", 5)]
+    assert counted.asked == 8
+
+
+def test_a_task_holds_few_analyses(spark):
+    """A batch of files is analyzed in groups, with the same rows whether it ends one or not."""
+    from tesselon.sources import analysis as A
+
+    n = A.HELD + 3
+    held = spark.createDataFrame([(f"a/f{i}.ts", f"export const x{i} = {i};") for i in range(n)], "path string, content string")
+    assert {(r.path, r.exports[0].exported) for r in A.analyses(held).collect()} == {(f"a/f{i}.ts", f"x{i}") for i in range(n)}
