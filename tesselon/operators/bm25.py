@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.checkpoints import checkpointed
+from . import terms as terms_of
 
 # Parameters of the scoring formula.
 K1, B = 1.2, 0.75
 
 
 def postings(corpus: DataFrame) -> DataFrame:
-    """(id, term, tf). One shuffle on (id, term) with map-side partial counts."""
-    return T.term_rows(corpus, "text", "id").groupBy("id", "term").agg(F.count("*").alias("tf"))
+    """(id, term, tf). Terms are counted within each text; one shuffle on (id, term) sums up those of an id."""
+    return terms_of.counts(corpus).groupBy("id", "term").agg(F.sum("tf").alias("tf"))
 
 
 def corpus_frequency(corpus: DataFrame) -> DataFrame:
@@ -53,12 +54,12 @@ def idf(df, n):
 def matches(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     """Scores of (query_id, id) for queries (query_id, query): one pass over the corpus that keeps query terms only.
 
-    Query terms are a bounded table (queries are few and short) and are sent to every task. Of a document only the
-    counts of those terms and of all others together are shuffled; its length is their sum.
+    Query terms are a bounded table (queries are few and short) and are sent to every task. A document makes rows of
+    those terms and one of all others together; its length is their sum.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(T.tokenize(F.col("query")))).alias("term"))
-    wanted = terms.select("term", F.col("term").alias("q")).distinct()
-    counts = T.term_rows(corpus, "text", "id").join(F.broadcast(wanted), "term", "left").groupBy("id", "q").agg(F.count("*").alias("tf"))
+    wanted = sorted(r["term"] for r in terms.select("term").distinct().collect())
+    counts = terms_of.counts_of(corpus, wanted).groupBy("id", "q").agg(F.sum("tf").alias("tf"))
     # used three times below; plans with lambdas are not recognized as equal, so it is written once instead
     counts = checkpointed(counts)
     lens = counts.groupBy("id").agg(F.sum("tf").alias("len"))

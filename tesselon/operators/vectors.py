@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import terms as terms_of
 
 # Width of the hashed embedding and the bit that gives the sign.
 DIMENSIONS, SIGN_BIT = 256, 16
@@ -74,8 +75,13 @@ def nearest(vectors: DataFrame, queries: list[tuple[int, list[float]]], limit: i
 
 
 def hashed_sparse(corpus: DataFrame) -> DataFrame:
-    """Local embedding of (id, text) as sparse cells (id, idx, val) before normalization."""
-    terms = T.term_rows(corpus, "text", "id").groupBy("id", "term").agg(F.count("*").alias("tf"))
+    """Local embedding of (id, text) as sparse cells (id, idx, val) before normalization.
+
+    A text makes its own cells, without a shuffle. If an id has several texts, their terms are counted together first.
+    """
+    if not terms_of.repeats(corpus):
+        return terms_of.hashed(corpus, DIMENSIONS, SIGN_BIT)
+    terms = terms_of.counts(corpus).groupBy("id", "term").agg(F.sum("tf").alias("tf"))
     h = T.fnv1a32(F.col("term"))
     cell = terms.select("id", "tf", h.alias("h"))
     sign = F.when(F.shiftright("h", SIGN_BIT).bitwiseAND(F.lit(1)) == 1, -1.0).otherwise(1.0)
