@@ -49,3 +49,11 @@ def test_what_a_task_remembers_is_bounded(monkeypatch):
     monkeypatch.setattr(terms, "SPELLINGS", 3)
     of = terms.Remembered(terms.word_terms)
     assert [of[w] for w in WORDS] == [terms.word_terms(w) for w in WORDS] and len(of) <= 3
+
+
+def test_retrieval_reads_texts_no_more_than_once_for_each_use(spark, sf_dir):
+    """Hits, first lines and edges are written once: what ranks them reads no table again."""
+    from tesselon.plans import registry
+
+    plan = registry.queries()["retrieve_hybrid"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" not in plan
