@@ -10,8 +10,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from ..functions import text as T
+from ..sources.analysis import ANALYSIS
 from ..sources.checkpoints import checkpointed
 from . import graph
 
@@ -65,14 +67,19 @@ def normalized(folder, specifier):
 
 
 def references(analysis: DataFrame) -> DataFrame:
-    """(path, specifier, bindings, type_only, seq, package): imports, and re-exports with a null seq. A package is read off
-    the specifier."""
-    i = analysis.select("path", F.posexplode("imports").alias("seq", "i")).select("path", F.col("i.specifier").alias("specifier"), F.col("i.bindings").alias("bindings"), F.col("i.type_only").alias("type_only"), "seq")
-    r = analysis.select("path", F.explode("reexports").alias("r")).select("path", F.col("r.specifier").alias("specifier"))
-    kinds = dict(i.dtypes)
-    r = r.select("path", "specifier", *[F.lit(None).cast(kinds[c]).alias(c) for c in ("bindings", "type_only", "seq")])
+    """(path, specifier, bindings, type_only, seq, package): imports, and re-exports with a null seq, in one pass."""
+    i = F.transform("imports", lambda m, k: F.struct(m["specifier"].alias("specifier"), m["bindings"].alias("bindings"), m["type_only"].alias("type_only"), k.alias("seq")))
+    kind = analysis.select(i.alias("i")).schema["i"].dataType
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in kind.elementType.fields[1:]]
+    r = F.transform("reexports", lambda m: F.struct(m["specifier"].alias("specifier"), *none))
+    empty = F.array().cast(kind)
+    return _packaged(analysis.select("path", F.inline(F.concat(F.coalesce(i, empty), F.coalesce(r, empty)))))
+
+
+def _packaged(refs: DataFrame) -> DataFrame:
+    """refs with the package, which is read off the specifier."""
     outer = ~F.col("specifier").startswith(".") & ~F.col("specifier").startswith("/")
-    return i.union(r).withColumn("package", F.when(outer, package_of(F.col("specifier"))))
+    return refs.withColumn("package", F.when(outer, package_of(F.col("specifier"))))
 
 
 def resolved(refs: DataFrame, analysis: DataFrame) -> DataFrame:
@@ -99,9 +106,8 @@ def lookup(table: DataFrame) -> DataFrame:
     return F.broadcast(out) if out.limit(LOOKUP + 1).count() <= LOOKUP else out
 
 
-def imported(analysis: DataFrame) -> DataFrame:
-    """references() with a folder and target: those that name a file or a package."""
-    refs = references(analysis)
+def imported(analysis: DataFrame, refs: DataFrame) -> DataFrame:
+    """refs, of references() or some of them, with a target: those that name a file or a package."""
     outer = refs.where("package IS NOT NULL").withColumn("target", F.lit(None).cast("string"))
     inner = refs.where(F.col("specifier").startswith(".")).withColumn("folder", T.dirname(F.col("path")))
     inner = inner.join(lookup(resolved(refs, analysis)), ["folder", "specifier"])
@@ -121,21 +127,22 @@ def own_exports(analysis: DataFrame) -> DataFrame:
     return d.select("path", "again", F.inline(known)).select("path", "again", "name", p.alias("file"), "symbol_path", F.when(F.col("held"), _symbol(p, F.col("symbol_path"))).otherwise("").alias("to"))
 
 
-def exported(analysis: DataFrame, targets: DataFrame) -> DataFrame:
-    """(path, name, file, symbol_path, to): what each file exports under which name, re-export chains resolved.
+def exported(analysis: DataFrame, again: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(path, name, file, symbol_path, to): what each file exports under which name, re-export chains resolved; and the part
+    of it that files which re-export have. again: the re-exports (path, r).
 
     Only files that re-export, or that others re-export, take part in the rounds, and a round follows what the last one
     has found.
     """
     cells = ["path", "name", "file", "symbol_path", "to"]
     own = own_exports(analysis)
-    r = analysis.select("path", F.explode("reexports").alias("r")).select("path", F.col("r.specifier").alias("specifier"), "r.star", "r.names")
+    r = again.select("path", F.col("r.specifier").alias("specifier"), "r.star", "r.names")
     r = r.join(targets.where("target IS NOT NULL AND seq IS NULL").select("path", "specifier", "target").distinct(), ["path", "specifier"])
     star = lookup(r.where("star").select(F.col("path").alias("via"), F.col("target").alias("path")).distinct())
     named = r.where("NOT star").select(F.col("path").alias("via"), F.col("target").alias("path"), F.explode("names").alias("n")).select("via", "path", F.col("n.imported").alias("name"), F.col("n.exported").alias("as_name"))
     named = lookup(named.where("as_name IS NOT NULL").distinct())
     ends = lookup(star.select("path").union(named.select("path")).distinct())
-    chains = own.where("again").union(own.where("NOT again").join(ends, "path", "left_semi").select(*own.columns))
+    chains = own.join(ends.withColumn("is_end", F.lit(True)), "path", "left").where("again OR is_end")
     new = found = checkpointed(chains.select(*cells).distinct())
     while not new.isEmpty():  # each round follows re-exports one file further, until nothing new is reached
         through = new.join(star, "path").where("name <> 'default'").select(F.col("via").alias("path"), "name", "file", "symbol_path", "to")
@@ -143,9 +150,8 @@ def exported(analysis: DataFrame, targets: DataFrame) -> DataFrame:
         new = checkpointed(through.union(renamed).distinct().join(found, cells, "left_anti"))
         found = found.union(new)
     w = Window.partitionBy("path", "name").orderBy((F.col("file") != F.col("path")), "file", "symbol_path")
-    again = own.where("again").select("path").union(star.select("via")).union(named.select("via")).distinct()
-    first = checkpointed(found.join(again, "path", "left_semi").withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*cells))
-    return first.union(own.where("NOT again").select(*cells))
+    first = checkpointed(found.join(again.select("path").distinct(), "path", "left_semi").withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*cells))
+    return first.union(own.where("NOT again").select(*cells)), first
 
 
 def _edge(df, src, kind, dst, weight=None, variant=None, resolution=None, seq=None):
@@ -159,6 +165,25 @@ def _edge(df, src, kind, dst, weight=None, variant=None, resolution=None, seq=No
 HERITAGE = {"extends_names": ("inheritance", "extends"), "implements_names": ("inheritance", "implements"), "composition_names": ("composition", None), "type_refs": ("references", None)}
 
 
+#: Columns of an analysis, and fields of its symbols, that the edges of a kind are made of.
+_HEIRS = "path imports reexports exports symbols"
+NEEDS = {
+    "contains": ("path symbols", "symbol_path parent"), "imports": ("path imports reexports", ""), "exports": ("path reexports exports symbols", "symbol_path"),
+    **{kind: (_HEIRS, f"symbol_path parent {' '.join(f for f, (k, _) in HERITAGE.items() if k == kind)}") for kind in ("inheritance", "composition", "references")},
+    "calls": (f"{_HEIRS} file_calls", "symbol_path parent name exported calls"),
+}
+
+
+def needs(*kinds: str) -> StructType:
+    """The part of an analysis that edges() reads for some kinds."""
+    columns, fields = ({x for k in kinds for x in NEEDS[k][at].split()} for at in (0, 1))
+    out = StructType([f for f in StructType.fromDDL(ANALYSIS) if f.name in columns])
+    for f in out:
+        if f.name == "symbols":
+            f.dataType = ArrayType(StructType([x for x in f.dataType.elementType if x.name in fields]))
+    return out
+
+
 def edges(analysis: DataFrame, *kinds: str) -> DataFrame:
     """Edges of all kinds, or of some; only what those need is linked.
 
@@ -185,7 +210,12 @@ def edges(analysis: DataFrame, *kinds: str) -> DataFrame:
     fields = [f for f, (kind, _) in HERITAGE.items() if asked(kind)]
     if not (asked("imports", "exports", "calls") or fields):
         return reduce(DataFrame.union, out)
-    i = checkpointed(imported(analysis))
+    again = checkpointed(analysis.select("path", F.explode("reexports").alias("r"))) if asked("exports", "calls") or fields else None
+    if asked("imports", "calls") or fields:
+        refs = references(analysis)
+    else:  # exports alone follow no imports
+        refs = _packaged(again.select("path", F.col("r.specifier").alias("specifier"), F.lit(None).cast("int").alias("seq")))
+    i = checkpointed(imported(analysis, refs))
     named = i.where("seq IS NOT NULL")
     if asked("imports"):  # weighted by their bindings
         weight = F.greatest(F.size("bindings"), F.lit(1))
@@ -193,13 +223,12 @@ def edges(analysis: DataFrame, *kinds: str) -> DataFrame:
         out.append(_edge(named, _file(p), "imports", to, weight, F.when(F.col("type_only"), "type-only"), seq=F.col("seq")))
     if not (asked("exports", "calls") or fields):
         return reduce(DataFrame.union, out)
-    x = exported(analysis, i)
+    x, chained = exported(analysis, again, i)
     if asked("exports"):  # own symbols, named re-exports to the symbol, stars to the file
-        r = analysis.select("path", F.explode("reexports").alias("r"))
-        names = r.where("NOT r.star").select("path", F.explode("r.names").alias("n")).select("path", F.col("n.exported").alias("name")).distinct()
+        names = again.where("NOT r.star").select("path", F.explode("r.names").alias("n")).select("path", F.col("n.exported").alias("name")).distinct()
         out.append(_edge(x.where("file = path"), _file(p), "exports", F.col("to")))
-        out.append(_edge(x.where("file <> path").join(names, ["path", "name"]), _file(p), "exports", F.col("to"), variant=F.lit("reexport")))
-        star = r.where("r.star").select("path", F.col("r.specifier").alias("specifier")).join(i.where("target IS NOT NULL AND seq IS NULL").select("path", "specifier", "target").distinct(), ["path", "specifier"])
+        out.append(_edge(chained.where("file <> path").join(names, ["path", "name"]), _file(p), "exports", F.col("to"), variant=F.lit("reexport")))
+        star = again.where("r.star").select("path", F.col("r.specifier").alias("specifier")).join(i.where("target IS NOT NULL AND seq IS NULL").select("path", "specifier", "target").distinct(), ["path", "specifier"])
         out.append(_edge(star, _file(p), "exports", _file(F.col("target")), variant=F.lit("reexport")))
     if asked("calls") or fields:
         out += _uses(analysis, named.where("target IS NOT NULL"), x, fields, asked("calls"))
@@ -225,7 +254,7 @@ def _uses(analysis: DataFrame, named: DataFrame, x: DataFrame, fields: list[str]
     tops = F.transform(F.filter("symbols", lambda s: s["parent"].isNull()), lambda s: s["symbol_path"])
     locals_ = F.flatten(F.transform("imports", lambda m: m["bindings"]))["local"]
     s = analysis.select("path", F.explode("symbols").alias("s"))
-    files = analysis.select("path", "symbols", "file_calls", tops.alias("tops"), locals_.alias("locals"))
+    files = analysis.select("path", "symbols", *["file_calls"] * calls, tops.alias("tops"), locals_.alias("locals"))
 
     def linked(rows):
         """rows with path, name, is_bound -> and t1, what the import of the name leads to."""

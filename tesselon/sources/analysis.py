@@ -33,11 +33,12 @@ FILE_CHUNK, SYMBOL_CHUNK = 4000, 8000
 PARTS, HELD = 4, 256
 
 
-def analyses(files: DataFrame, analyzers: tuple[Analyzer, ...] = (BUILT_IN,)) -> DataFrame:
-    """One row per file that an analyzer could read. Files are dealt to all cores first: a table of a million of them may
+def analyses(files: DataFrame, analyzers: tuple[Analyzer, ...] = (BUILT_IN,), schema: StructType | None = None) -> DataFrame:
+    """One row per file that an analyzer could read, with the columns and fields of schema (None: all). Files are dealt to all cores first: a table of a million of them may
     be one small split. A task hands its analyses on in small groups: each has hundreds of objects, which the collector
     would walk through again and again."""
-    schema = to_arrow_schema(StructType.fromDDL(ANALYSIS))
+    columns = schema or StructType.fromDDL(ANALYSIS)
+    arrow = to_arrow_schema(columns)
 
     def run(batches):
         for batch in batches:
@@ -50,10 +51,10 @@ def analyses(files: DataFrame, analyzers: tuple[Analyzer, ...] = (BUILT_IN,)) ->
                     got = own(path, content or "") if own else None
                     if got is not None:
                         rows.append(got)
-                yield from pa.Table.from_pylist(rows, schema=schema).to_batches()
+                yield from pa.Table.from_pylist(rows, schema=arrow).to_batches()
 
     parts = PARTS * files.sparkSession.sparkContext.defaultParallelism
-    return files.select("path", "content").repartition(parts, "path").mapInArrow(run, ANALYSIS)
+    return files.select("path", "content").repartition(parts, "path").mapInArrow(run, columns)
 
 
 def chunks(analysis: DataFrame, files: DataFrame) -> DataFrame:

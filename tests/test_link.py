@@ -104,3 +104,17 @@ def test_a_task_holds_few_analyses(spark):
     n = A.HELD + 3
     held = spark.createDataFrame([(f"a/f{i}.ts", f"export const x{i} = {i};") for i in range(n)], "path string, content string")
     assert {(r.path, r.exports[0].exported) for r in A.analyses(held).collect()} == {(f"a/f{i}.ts", f"x{i}") for i in range(n)}
+
+
+def test_a_kind_needs_part_of_an_analysis(spark, every, monkeypatch):
+    """Edges of one kind come from the columns and fields that they are made of; exports alone follow no imports."""
+    from tesselon.sources import analysis as A
+
+    whole = A.analyses
+    for kind in link.NEEDS:
+        with monkeypatch.context() as m:
+            m.setattr(A, "analyses", lambda files, kind=kind: whole(files, schema=link.needs(kind)))
+            part = odd_repository(spark)
+        assert set(part.columns) < {f.name for f in link.StructType.fromDDL(A.ANALYSIS)}
+        assert rows(link.merged(part, kind)) == rows(every.where(F.col("kind") == kind)) != []
+    assert "imports" not in link.needs("exports").names
