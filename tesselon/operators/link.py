@@ -32,20 +32,21 @@ def _symbol(path, name):
     return F.concat(F.lit("sym:"), path, F.lit("#"), name)
 
 
-def nodes(analysis: DataFrame) -> DataFrame:
+def nodes(analysis: DataFrame, *columns: str) -> DataFrame:
+    """All columns, or some; only what those are made of is read."""
     none = F.lit(None).cast("string")
     number = F.lit(None).cast("int")
 
     def row(df, id_, kind, name, path=none, file=none, start=number, end=number, signature=none, doc=none, exported=F.lit(None).cast("boolean"), language=none, external=F.lit(False)):
         cols = dict(id=id_, kind=kind, name=name, path=path, file=file, start_line=start, end_line=end, signature=signature, doc=doc, exported=exported, language=language, external=external)
-        return df.select(*[c.alias(k) for k, c in cols.items()])
+        return df.select(*[cols[k].alias(k) for k in columns or cols])
 
     p = F.col("path")
     repo = row(analysis.sparkSession.range(1), F.lit("repo:."), F.lit("repository"), F.lit("."), path=F.lit("."))
     dirs = analysis.select(F.explode(T.ancestors(p)).alias("d")).distinct()
     dirs = row(dirs, F.concat(F.lit("dir:"), "d"), F.lit("directory"), T.basename(F.col("d")), path=F.col("d"))
     files = row(analysis, _file(p), F.lit("file"), T.basename(p), p, p, F.lit(1), F.col("loc"), language=F.col("language"))
-    s = analysis.select("path", "language", F.explode("symbols").alias("s"))
+    s = analysis.withColumn("s", F.explode("symbols"))
     symbols = row(s, _symbol(p, F.col("s.symbol_path")), F.col("s.kind"), F.col("s.name"), p, p, F.col("s.start_line"), F.col("s.end_line"), F.col("s.signature"), F.col("s.doc"), F.col("s.exported"), F.col("language"))
     m = references(analysis).where("package IS NOT NULL").select("package").distinct()
     modules = row(m, F.concat(F.lit("mod:"), "package"), F.lit("module"), F.col("package"), external=F.lit(True))
@@ -88,6 +89,7 @@ def resolved(refs: DataFrame, analysis: DataFrame) -> DataFrame:
     What a specifier names follows from its folder, so each pair is tried once, however many files write it.
     """
     d = refs.where(F.col("specifier").startswith(".")).select(T.dirname(F.col("path")).alias("folder"), "specifier").distinct()
+    d = checkpointed(d)  # else a join's filter on the base is tried on every reference, before they are made distinct
     d = d.withColumn("base", normalized(F.col("folder"), F.col("specifier")))
     base = F.col("base")
     bare = F.regexp_replace(base, r"\.([cm]?)js(x?)$", "")
@@ -165,17 +167,17 @@ def _edge(df, src, kind, dst, weight=None, variant=None, resolution=None, seq=No
 HERITAGE = {"extends_names": ("inheritance", "extends"), "implements_names": ("inheritance", "implements"), "composition_names": ("composition", None), "type_refs": ("references", None)}
 
 
-#: Columns of an analysis, and fields of its symbols, that the edges of a kind are made of.
+#: Columns of an analysis, and fields of its symbols, that the edges of a kind, and ids and kinds of nodes, are made of.
 _HEIRS = "path imports reexports exports symbols"
 NEEDS = {
     "contains": ("path symbols", "symbol_path parent"), "imports": ("path imports reexports", ""), "exports": ("path reexports exports symbols", "symbol_path"),
     **{kind: (_HEIRS, f"symbol_path parent {' '.join(f for f, (k, _) in HERITAGE.items() if k == kind)}") for kind in ("inheritance", "composition", "references")},
-    "calls": (f"{_HEIRS} file_calls", "symbol_path parent name exported calls"),
+    "calls": (f"{_HEIRS} file_calls", "symbol_path parent name exported calls"), "nodes": ("path imports reexports symbols", "symbol_path kind"),
 }
 
 
 def needs(*kinds: str) -> StructType:
-    """The part of an analysis that edges() reads for some kinds."""
+    """The part of an analysis that edges() reads for some kinds, and nodes() for id and kind."""
     columns, fields = ({x for k in kinds for x in NEEDS[k][at].split()} for at in (0, 1))
     out = StructType([f for f in StructType.fromDDL(ANALYSIS) if f.name in columns])
     for f in out:
@@ -199,14 +201,14 @@ def edges(analysis: DataFrame, *kinds: str) -> DataFrame:
     up = T.dirname(p)
     above = F.when(up == ".", F.lit("repo:.")).otherwise(F.concat(F.lit("dir:"), up))
     if asked("contains"):  # repository, directories, files, symbols
-        out.append(_edge(analysis.select("path"), above, "contains", _file(p)))
         dirs = analysis.select(F.explode(T.ancestors(p)).alias("path")).distinct()
         out.append(_edge(dirs, above, "contains", F.concat(F.lit("dir:"), p)))
         here = F.col("symbols.symbol_path")
-        held = F.transform("symbols", lambda x: F.struct(x["symbol_path"].alias("own"), x["parent"].alias("parent"), (x["parent"].isNull() | F.array_contains("here", x["parent"])).alias("held")))
-        h = analysis.select("path", here.alias("here"), "symbols").select("path", F.posexplode(held).alias("seq", "s")).where("s.held")
-        holder = F.when(F.col("s.parent").isNull(), _file(p)).otherwise(_symbol(p, F.col("s.parent")))
-        out.append(_edge(h, holder, "contains", _symbol(p, F.col("s.own")), seq=F.col("seq")))
+        row = lambda a, b, seq: F.struct(a.alias("a"), b.alias("b"), seq.alias("seq"))
+        held = F.transform("symbols", lambda x, k: F.when(x["parent"].isNull() | F.array_contains("here", x["parent"]), row(F.when(x["parent"].isNull(), _file(p)).otherwise(_symbol(p, x["parent"])), _symbol(p, x["symbol_path"]), k)))
+        whole = F.array(row(above, _file(p), F.lit(0)))
+        h = analysis.select("path", here.alias("here"), "symbols").select(F.inline(F.concat(whole, F.filter(F.coalesce(held, F.array().cast("array<struct<a:string,b:string,seq:int>>")), lambda x: x.isNotNull()))))
+        out.append(_edge(h, F.col("a"), "contains", F.col("b"), seq=F.col("seq")))
     fields = [f for f, (kind, _) in HERITAGE.items() if asked(kind)]
     if not (asked("imports", "exports", "calls") or fields):
         return reduce(DataFrame.union, out)
@@ -251,36 +253,38 @@ def _uses(analysis: DataFrame, named: DataFrame, x: DataFrame, fields: list[str]
     bound = b.join(_found(b.select(F.col("target").alias("path"), "name"), x, "path", "name").withColumnRenamed("path", "target"), ["target", "name"])
     bound = bound.select("path", "local", "file", "symbol_path", "to").repartition("path", "local").distinct()
     by_import = bound.select("path", F.col("local").alias("name"), F.col("to").alias("t1"))
+    none = F.array().cast("array<string>")
     tops = F.transform(F.filter("symbols", lambda s: s["parent"].isNull()), lambda s: s["symbol_path"])
     locals_ = F.flatten(F.transform("imports", lambda m: m["bindings"]))["local"]
     s = analysis.select("path", F.explode("symbols").alias("s"))
-    files = analysis.select("path", "symbols", *["file_calls"] * calls, tops.alias("tops"), locals_.alias("locals"))
+    files = analysis.select("path", "symbols", *["file_calls"] * calls, F.coalesce(tops, none).alias("tops"), F.coalesce(locals_, none).alias("locals"))
 
     def linked(rows):
         """rows with path, name, is_bound -> and t1, what the import of the name leads to."""
         free = rows.where("NOT is_bound").withColumn("t1", F.lit(None).cast("string"))
         return rows.where("is_bound").join(by_import, ["path", "name"], "left").select(*free.columns).union(free)
 
-    def marked(name):
+    def marked(name):  # in the arrays, so that no row carries the names of its file
         return F.coalesce(F.array_contains("locals", name), F.lit(False)).alias("is_bound"), F.coalesce(F.array_contains("tops", name), F.lit(False)).alias("is_top")
 
     if fields:
         def listed(s, field):
-            return F.transform(F.coalesce(s[field], F.array().cast("array<string>")), lambda n: F.struct(s["symbol_path"].alias("own"), F.lit(field).alias("field"), n.alias("name")))
+            kind, variant = (F.lit(x).cast("string") for x in HERITAGE[field])
+            return F.transform(F.coalesce(s[field], none), lambda n: F.struct(s["symbol_path"].alias("own"), kind.alias("kind"), variant.alias("variant"), n.alias("name"), *marked(n)))
 
         used = F.flatten(F.transform("symbols", lambda s: F.concat(*[listed(s, f) for f in fields])))
-        u = files.select("path", "tops", "locals", F.inline(used))
-        u = linked(u.select("path", "own", "field", "name", *marked(F.col("name"))))
+        u = linked(files.select("path", F.inline(used)))
         to = F.coalesce("t1", F.when(F.col("is_top"), _symbol(p, F.col("name"))))
-        for f in fields:
-            kind, variant = HERITAGE[f]
-            out.append(_edge(u.where(F.col("field") == f).withColumn("dst_", to).where("dst_ IS NOT NULL"), _symbol(p, F.col("own")), kind, F.col("dst_"), variant=None if variant is None else F.lit(variant)))
+        out.append(_edge(u.withColumn("dst_", to).where("dst_ IS NOT NULL"), _symbol(p, F.col("own")), F.col("kind"), F.col("dst_"), variant=F.col("variant")))
     if not calls:
         return out
-    inner = F.flatten(F.transform("symbols", lambda s: F.transform(s["calls"], lambda c: F.struct(s["symbol_path"].alias("own"), s["parent"].alias("parent"), c["name"].alias("name"), c["receiver"].alias("receiver"), c["is_new"].alias("is_new")))))
-    outer = F.transform("file_calls", lambda c: F.struct(F.lit(None).cast("string").alias("own"), F.lit(None).cast("string").alias("parent"), c["name"].alias("name"), c["receiver"].alias("receiver"), c["is_new"].alias("is_new")))
-    c = files.select("path", "tops", "locals", F.inline(F.concat(F.coalesce(inner, F.array().cast(dict(files.select(outer.alias("o")).dtypes)["o"])), outer)))
-    c = c.select("path", "own", "parent", "name", "receiver", "is_new", *marked(F.col("name")))
+
+    def called(c, own, parent):
+        return F.struct(own.alias("own"), parent.alias("parent"), c["name"].alias("name"), c["receiver"].alias("receiver"), c["is_new"].alias("is_new"), *marked(c["name"]))
+
+    inner = F.flatten(F.transform("symbols", lambda s: F.transform(s["calls"], lambda c: called(c, s["symbol_path"], s["parent"]))))
+    outer = F.transform("file_calls", lambda c: called(c, F.lit(None).cast("string"), F.lit(None).cast("string")))
+    c = files.select("path", F.inline(F.concat(F.coalesce(inner, F.array().cast(dict(files.select(outer.alias("o")).dtypes)["o"])), outer)))
     c = checkpointed(c.groupBy(*c.columns).agg(F.count("*").alias("n")))
     free, this = F.col("receiver").isNull(), F.col("receiver") == "this"
     # members of the own class, of namespaces and of classes: only those that a call names are looked for
